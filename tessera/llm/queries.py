@@ -3,16 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, url_filter
+from tessera.llm import exact_dedup, sentencepiece_codec, token_counts, toxicity, url_filter
 from tessera.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text as count and hash, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents")
+    return sentencepiece_codec.round_trip(docs)
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.train(url_filter.default_labelled(spark))
     return url_filter.judge(table(spark, sf_dir, "pages"), model)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("passages")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
@@ -29,7 +46,7 @@ FROM t WINDOW same AS (PARTITION BY norm)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filters, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_toxicity, op7_token_counts, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict:
