@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, sentencepiece_codec, token_counts, toxicity, url_filter
+from tessera.llm import block_search, chat_format, exact_dedup, sentencepiece_codec, token_counts, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -26,10 +26,56 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).drop("passages")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotate(table(spark, sf_dir, "conversations"))
+
+
+OP9_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body
+  FROM conversations
+), p AS (
+  SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
+), s AS (
+  SELECT t.conv_id, perspective, turn, speaker, body,
+         CASE WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10)
+              WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10)
+              ELSE '<|im_start|>user name=' || speaker || chr(10) END AS header
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), g AS (SELECT *, header || body || '<|im_end|>' || chr(10) AS segment FROM s
+), o AS (
+  SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, body
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM g
+)
+SELECT conv_id, perspective, turn, speaker, segment, start, (start + length(header))::BIGINT AS mask_start,
+       (CASE WHEN speaker = perspective THEN start + length(segment) - 1 ELSE start + length(header) END)::BIGINT AS mask_end
+FROM o
+"""
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
@@ -46,8 +92,8 @@ FROM t WINDOW same AS (PARTITION BY norm)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_toxicity, op7_token_counts, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_toxicity, op4_nearest, op7_token_counts, op9_chat_format, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op4_nearest": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_exact_dedup": OP10_SQL}
