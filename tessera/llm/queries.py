@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import block_search, chat_format, exact_dedup, sentencepiece_codec, token_counts, toxicity, url_filter
+from tessera.llm import block_search, chat_format, exact_dedup, near_dedup, sentencepiece_codec, token_counts, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -45,6 +45,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_copies(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -92,7 +96,7 @@ FROM t WINDOW same AS (PARTITION BY norm)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_toxicity, op4_nearest, op7_token_counts, op9_chat_format, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_toxicity, op4_nearest, op5_near_dedup, op7_token_counts, op9_chat_format, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict:
