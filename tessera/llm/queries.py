@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import block_search, chat_format, exact_dedup, near_dedup, sentencepiece_codec, token_counts, toxicity, url_filter
+from tessera.llm import block_search, chat_format, exact_dedup, mixing, near_dedup, repeated_spans, sentencepiece_codec, token_counts, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -49,10 +49,23 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = mixing.labelled_languages(docs, table(spark, sf_dir, "labels"))
+    model = mixing.train(labelled, list(mixing.TARGETS))
+    found = mixing.rates(docs, model, mixing.TARGETS)
+    posteriors = [F.round(F.get("posterior", k), 6).alias(f"p_{d}") for k, d in enumerate(mixing.TARGETS)]
+    return found.select("doc_id", "n_tokens", *posteriors, F.round("rate", 6).alias("rate"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(table(spark, sf_dir, "conversations"))
 
@@ -96,7 +109,7 @@ FROM t WINDOW same AS (PARTITION BY norm)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_toxicity, op4_nearest, op5_near_dedup, op7_token_counts, op9_chat_format, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_toxicity, op4_nearest, op5_near_dedup, op6_repeated_spans, op7_token_counts, op8_mixing, op9_chat_format, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict:
