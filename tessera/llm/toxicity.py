@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -258,3 +259,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         f"doc_id {kind}, held_out boolean, score double, predicted int, n_passages int, "
         "passages array<struct<start:int,end:int,evidence:double>>",
     )
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is below THRESHOLD, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(model.weights)
+        for batch in batches:
+            keep = []
+            for text in batch.column(at).to_pylist():
+                n, hits = scorer.hits(text or "")
+                best = max((s[2] for s in segments(hits)), default=0.0)
+                keep.append(probability(evidence(best, n, model), model) < THRESHOLD)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
