@@ -71,19 +71,16 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def hashed_grams(host: Column, path: Column) -> Column:
     """The distinct buckets of the n-grams of host and of path, each with marks at both ends."""
 
+    def of_length(kind: str, marked: Column, n: int) -> Column:
+        starts = F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - (n - 1)))
+        hashed = F.transform(
+            starts, lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substring(marked, i, F.lit(n))), F.lit(BUCKETS)).cast("int")
+        )
+        return F.coalesce(hashed, F.array().cast("array<int>"))
+
     def grams(kind: str, part: Column) -> Column:
         marked = F.concat(F.lit("\2"), part, F.lit("\3"))
-        return F.concat(
-            *[
-                F.transform(
-                    F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - (n - 1))).otherwise(
-                        F.array().cast("array<int>")
-                    ),
-                    lambda i, n=n: F.pmod(F.xxhash64(F.lit(kind), F.substring(marked, i, F.lit(n))), F.lit(BUCKETS)).cast("int"),
-                )
-                for n in GRAMS
-            ]
-        )
+        return F.concat(*[of_length(kind, marked, n) for n in GRAMS])
 
     return F.array_distinct(F.concat(grams("h", host), grams("p", path)))
 
