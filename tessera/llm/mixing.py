@@ -26,6 +26,7 @@ MAX_TRAINING_DOCS = 5_000
 #: A text counts for at most so many independent trigrams, so that long texts keep soft posteriors.
 EVIDENCE = 10.0
 MAX_STEPS = 12
+MAX_TRIALS = 24
 #: The default domains and their shares of all tokens.
 TARGETS = {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.14}
 TOLERANCE = 1e-9
@@ -130,32 +131,47 @@ def fit(described: DataFrame, weights: list[float], tokens: str = "__tokens", po
     """The steps of the projected gradient search from rates of 1.
 
     It minimises the distance of the expected domain totals A r from the targets b (weights, normalised,
-    times all tokens) in the norm of the inverse of G = sum(tokens * p p'), with each rate's step divided by
-    its tokens; in these the gradient's Lipschitz constant is 1, so that whole steps converge.
+    times all tokens). Each rate's step is divided by its tokens, and the gradient is scaled by the inverse
+    of the sum of tokens * p p' over the documents with a rate above 0; a step that does not come nearer to
+    the targets is halved. Every step needs one row of sums over all documents.
     """
     k = len(weights)
     t = F.col(tokens)
     p = [F.get(F.col(posterior), i) for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    first = described.agg(F.sum(t).alias("n"), *[F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    total = float(first.n or 0)
+
+    def sums(steps):
+        r = rate(steps, posterior)
+        free = F.when(r > 0, t).otherwise(0)
+        row = described.agg(
+            F.sum(t).alias("n"),
+            *[F.sum(t * r * p[i]).alias(f"a{i}") for i in range(k)],
+            *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs],
+        ).first()
+        gram = np.zeros((k, k))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
+        return float(row.n or 0), np.array([float(row[f"a{i}"] or 0) for i in range(k)]), gram
+
+    total, got, gram = sums([])
     if not total:
         return []
-    gram = np.zeros((k, k))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = first[f"g{i}_{j}"]
     target = np.array(weights) / sum(weights) * total
-    inverse = np.linalg.pinv(gram + 1e-9 * total * np.eye(k))
     steps: list[np.ndarray] = []
-    for _ in range(MAX_STEPS):
-        got = described.agg(*[F.sum(t * rate(steps, posterior) * p[i]).alias(f"a{i}") for i in range(k)]).first()
-        residual = np.array([float(v) for v in got]) - target
-        if np.abs(residual).max() <= TOLERANCE * total:
+    share = 1.0
+    for _ in range(MAX_TRIALS):
+        residual = got - target
+        if np.abs(residual).max() <= TOLERANCE * total or len(steps) == MAX_STEPS:
             break
-        step = inverse @ residual
-        if steps and np.abs(step).max() < 1e-12:
+        step = share * (np.linalg.pinv(gram + 1e-9 * total * np.eye(k)) @ residual)
+        _, next_got, next_gram = sums([*steps, step])
+        if np.linalg.norm(next_got - target) < (1 - 1e-4) * np.linalg.norm(residual):
+            steps.append(step)
+            got, gram, share = next_got, next_gram, min(1.0, 2 * share)
+        elif share < 1e-3:
             break
-        steps.append(step)
+        else:
+            share /= 2
     return steps
 
 
