@@ -66,11 +66,8 @@ def patch(found: DataFrame, updates: dict[str, str], key: str = "path") -> DataF
     told = [(t, b) for t, b in updates.items() if b and b.strip()]
     if not told:
         return found
-    rows = ", ".join("(?, ?, ?)" for _ in told)
-    args = [v for n, (t, b) in enumerate(told, 1) for v in (n, t, b.strip())]
-    new = found.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(n, new_title, new_body)", args=args)
-    pages = found.groupBy(key).agg(F.max("section").alias("last"))
-    wanted = pages.crossJoin(F.broadcast(new))  # a handful of sections
+    new = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(t).alias("new_title"), F.lit(b.strip()).alias("new_body")) for n, (t, b) in enumerate(told, 1)])
+    wanted = found.groupBy(key).agg(F.max("section").alias("last")).select(key, "last", F.inline(new))
     same = F.lower("title") == F.lower("new_title")
     joined = found.join(wanted.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & same, "full_outer")
     return joined.select(
