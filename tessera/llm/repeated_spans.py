@@ -31,9 +31,11 @@ from tessera.llm.shingles import _BASE, _BYTE, _INVERSE, Powers, mix, powers, te
 DEPTH = 100
 GRAM = 32
 #: A group of more places is keyed by whole windows.
-LARGE = 2000
+LARGE = 20_000
+#: So many contexts are settled at a time, or one group.
+FLUSH = 8000
 #: So many places of an anchor in one batch make it a large group at once, dealt over SALTS keys.
-LOCAL = 128
+LOCAL = 1024
 SALTS = 64
 DIGITS = 4
 _ZERO = np.uint64(0)
@@ -268,7 +270,7 @@ def _marks(depth: int, most: int):
             table.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, left + depth))
             held = table if held is None else [np.concatenate([a, b]) for a, b in zip(held, table, strict=True)]
             edges = np.flatnonzero(held[0][1:] != held[0][:-1])
-            if len(held[0]) > 2 * most and len(edges):
+            if len(held[0]) > min(FLUSH, most) and len(edges):
                 cut = int(edges[-1]) + 1
                 yield settle([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
