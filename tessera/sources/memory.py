@@ -50,6 +50,10 @@ def number_sections(lines: DataFrame, key: list[str], at: str, heading: Column)
     return lines.withColumn("heading", heading).withColumn("section", F.sum(F.col("heading").cast("int")).over(order))
 
 
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def sections(pages: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """(key, section, title, body): a page cut at its "## " headings; section 0 is what stands before the first."""
     lines = pages.select(key, F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
@@ -57,7 +61,7 @@ def sections(pages: DataFrame, key: str = "path", text: str = "text") -> DataFra
     body = F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("at", "line"))))
     return numbered.groupBy(key, "section").agg(
         F.max(F.when(F.col("heading"), F.trim(F.substring("line", 4, 1_000_000)))).alias("title"),
-        F.trim(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("body"),
+        _stripped(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("body"),
     )
 
 
@@ -81,7 +85,7 @@ def patch(found: DataFrame, updates: dict[str, str], key: str = "path") -> DataF
 def render(found: DataFrame, key: str = "path") -> DataFrame:
     """(key, text): sections put together again in order."""
     text = F.when(F.col("title").isNull(), F.col("body")).otherwise(
-        F.trim(F.concat(F.lit("## "), "title", F.lit("\n"), F.coalesce("body", F.lit(""))))
+        _stripped(F.concat(F.lit("## "), "title", F.lit("\n"), F.coalesce("body", F.lit(""))))
     )
     ordered = F.array_sort(F.collect_list(F.struct("section", text.alias("text"))))
     return found.groupBy(key).agg(F.concat(F.array_join(F.filter(F.transform(ordered, lambda x: x["text"]), lambda x: x != ""), "\n\n"), F.lit("\n")).alias("text"))
