@@ -49,10 +49,47 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w
+), n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s
+), u AS (SELECT doc_id, unnest(g) AS t FROM s
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS MATERIALIZED (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT n.doc_id, n.n AS n_shingles, min(b) AS component_id, n.doc_id = min(b) AS kept FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
 def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+OP6_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), wins AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM h WHERE len(x) >= 200)
+), later AS (
+  SELECT doc_id, i, (row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1)::INTEGER AS rep FROM wins
+), bytes AS (SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS b FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS i FROM h)
+), covered AS (
+  SELECT b.doc_id, b.i, b, coalesce(max(rep) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM bytes b LEFT JOIN later l ON l.doc_id = b.doc_id AND l.i = b.i
+), marked AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS head FROM covered
+), cut AS (
+  SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (head) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (gone = 0) AS kept FROM marked GROUP BY doc_id
+)
+SELECT h.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -113,4 +150,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_nearest": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op4_nearest": OP4_SQL, "op5_near_dedup": OP5_SQL, "op6_repeated_spans": OP6_SQL, "op9_chat_format": OP9_SQL, "op10_exact_dedup": OP10_SQL}
