@@ -38,6 +38,8 @@ FLUSH = 8000
 LOCAL = 1024
 SALTS = 64
 DIGITS = 4
+#: Rows of one batch of contexts.
+PACK = 50_000
 _ZERO = np.uint64(0)
 
 
@@ -175,8 +177,10 @@ def _contexts(depth: int):
                     key = mix((total[starts + depth] - total[starts]) * memory.down[starts]).view(np.int64)
                     none = np.zeros(len(starts), dtype=np.int64)
                     out.append((True, node, key, starts, none, none, None))
-            for part in _packed(out, left + depth):
-                yield part
+                if sum(len(p[3]) for p in out) > PACK:
+                    yield from _packed(out, left + depth)
+                    out = []
+            yield from _packed(out, left + depth)
 
     return run
 
