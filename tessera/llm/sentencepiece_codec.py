@@ -14,11 +14,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stage
-from tessera.llm.unigram import NONE, SPACE, UNIT, Units, Vocabulary, decode, marked, relax, trace
+from tessera.llm.unigram import NONE, SPACE, Decoder, Units, Vocabulary, marked, shared_units, trace
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
@@ -46,49 +47,47 @@ def _forced_last(text: str, start: int, stop: int) -> int:
     return -1
 
 
-def _forward(text: str, init: list[float], stop: int, v: Vocabulary) -> tuple[list[float], list[int]]:
+def _forward(text: str, init: list[float], stop: int, units: Units) -> tuple[list[float], list[int]]:
     best, back = init + [NONE] * (len(text) + 1 - len(init)), [-1] * (len(text) + 1)
-    relax(text, best, back, v, stop)
+    units.relax(text, best, back, stop)
     return best, back
 
 
-def transfer(text: str, length: int, v: Vocabulary, units: Units) -> np.ndarray:
+def transfer(text: str, length: int, units: Units) -> np.ndarray:
     """Entry (a, b): the best score of a path that enters the chunk at a and leaves it b behind its end.
 
     text: the chunk's length characters and up to longest - 1 more. Unreachable states are -inf.
     """
+    v = units.v
     states = v.longest
     first, last = _forced(text, states - 1, length), _forced_last(text, states - 1, length)
     out = np.full((states, states), NONE)
     if first < 0:
         for a in range(min(states, length)):
-            best, _ = _forward(text, [NONE] * a + [0.0], length, v)
+            best, _ = _forward(text, [NONE] * a + [0.0], length, units)
             ends = best[length : length + states]
             out[a, : len(ends)] = ends
         return out
-    middle = sum(units.get(u)[1] for u in _units(text[first:last]))
-    best, _ = _forward(text[last:], [0.0], length - last, v)
+    middle = sum(units.score(u) for u in units.cut(text[first:last]))
+    best, _ = _forward(text[last:], [0.0], length - last, units)
     tail = best[length - last : length - last + states]
     for a in range(min(states, first + 1)):
-        head, _ = _forward(text[:first], [NONE] * a + [0.0], first, v)
+        head, _ = _forward(text[:first], [NONE] * a + [0.0], first, units)
         out[a, : len(tail)] = head[first] + middle + np.array(tail)
     return out
 
 
-def _units(searched: str) -> list[str]:
-    return [u for u in UNIT.findall(searched) if u]
-
-
 def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The max-plus product."""
     return (left[:, :, None] + right[None, :, :]).max(axis=1)
 
 
-def traces(text: str, length: int, scores: list[float], v: Vocabulary, units: Units):
+def traces(text: str, length: int, scores: list[float], units: Units):
     """(ids of the part that all paths share, for each state at the end the ids after it, for each the entry state).
 
     scores: of every state at the chunk's start, from the scan.
     """
+    v = units.v
     states = v.longest
     first, last = _forced(text, states - 1, length), _forced_last(text, states - 1, length)
     shared: list[int] = []
@@ -96,12 +95,12 @@ def traces(text: str, length: int, scores: list[float], v: Vocabulary, units: Un
     if first < 0:
         start, init = 0, list(scores[: len(text) + 1])
     else:
-        best, back = _forward(text[:first], list(scores[: first + 1]), first, v)
+        best, back = _forward(text[:first], list(scores[: first + 1]), first, units)
         entry, shared = trace(text, back, first, v)
-        for u in _units(text[first:last]):
-            shared.extend(units.get(u)[0])
+        for u in units.cut(text[first:last]):
+            shared.extend(units.get(u))
         start, init = last, [0.0]
-    best, back = _forward(text[start:], init, length - start, v)
+    best, back = _forward(text[start:], init, length - start, units)
     ends, entries = [], []
     for b in range(states):
         at = length - start + b
@@ -135,10 +134,9 @@ def _encode_long(long: DataFrame, shared_vocabulary, longest: int, chunk: int) -
     chunks = stage(_chunks(long, longest, chunk).repartition(F.col("row"), F.col("chunk")), "chunks")
 
     def matrices(batches):
-        v = shared_vocabulary.value
-        units = Units(v)
+        units = shared_units(shared_vocabulary.value)
         for pdf in batches:
-            found = [transfer(t, n, v, units).ravel().tolist() for t, n in zip(pdf["text"], pdf["length"], strict=True)]
+            found = [transfer(t, n, units).ravel().tolist() for t, n in zip(pdf["text"], pdf["length"], strict=True)]
             yield pdf[["row", "chunk"]].assign(matrix=found)
 
     def blocks(pdf):
@@ -187,11 +185,10 @@ def _encode_long(long: DataFrame, shared_vocabulary, longest: int, chunk: int) -
     )
 
     def back(batches):
-        v = shared_vocabulary.value
-        units = Units(v)
+        units = shared_units(shared_vocabulary.value)
         for pdf in batches:
             found = [
-                traces(t, n, list(s), v, units) for t, n, s in zip(pdf["text"], pdf["length"], pdf["scores"], strict=True)
+                traces(t, n, list(s), units) for t, n, s in zip(pdf["text"], pdf["length"], pdf["scores"], strict=True)
             ]
             yield pdf[["row", "chunk"]].assign(
                 shared=[f[0] for f in found], ends=[f[1] for f in found], entries=[f[2] for f in found]
@@ -220,6 +217,24 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int):
+    """Texts that are searched whole, rows (doc_id, text_md5, ids) of the longer ones, and the vocabulary."""
+    v = Vocabulary.load(path)
+    if chunk < 4 * v.longest:
+        raise ValueError("chunk is too small for the longest piece")
+    vocabulary = docs.sparkSession.sparkContext.broadcast(v)  # bounded by the vocabulary file
+    rows = _rows(docs, id_col, text_col)
+    long = stage(
+        rows.where(F.char_length("text") >= chunk).withColumn("row", F.monotonically_increasing_id()), "long-texts"
+    )
+    encoded = _encode_long(long, vocabulary, v.longest, chunk)
+    return (
+        rows.where(F.char_length("text") < chunk),
+        long.select("doc_id", "text_md5", "row").join(encoded, "row").drop("row"),
+        vocabulary,
+    )
+
+
 def encode(
     docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
 ) -> DataFrame:
@@ -228,25 +243,18 @@ def encode(
     Null and empty texts have no ids; repeated rows are each encoded; an empty table gives an empty result;
     other columns are not read. path names a SentencePiece model file; it is read by the driver only.
     """
-    v = Vocabulary.load(path)
-    if chunk < 4 * v.longest:
-        raise ValueError("chunk is too small for the longest piece")
-    vocabulary = docs.sparkSession.sparkContext.broadcast(v)  # bounded by the vocabulary file
-    rows = _rows(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    short, long, vocabulary = _encoded(docs, path, id_col, text_col, chunk)
+    kind = short.schema["doc_id"].dataType.simpleString()
 
     def whole(batches):
-        units = Units(vocabulary.value)
-        for pdf in batches:
-            ids = [np.array(units.encode(marked(t)), dtype=np.int32) for t in pdf["text"]]
-            yield pdf[["doc_id", "text_md5"]].assign(ids=ids)
+        units = shared_units(vocabulary.value)
+        for batch in batches:
+            ids = [np.array(units.encode(marked(t.as_py())), dtype=np.int32) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, ids)])
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), listed], names=["doc_id", "text_md5", "ids"])
 
-    short = rows.where(F.char_length("text") < chunk).mapInPandas(whole, f"doc_id {kind}, text_md5 string, ids array<int>")
-    long = stage(
-        rows.where(F.char_length("text") >= chunk).withColumn("row", F.monotonically_increasing_id()), "long-texts"
-    )
-    encoded = _encode_long(long, vocabulary, v.longest, chunk)
-    return short.unionByName(long.select("doc_id", "text_md5", "row").join(encoded, "row").drop("row"))
+    return short.mapInArrow(whole, f"doc_id {kind}, text_md5 string, ids array<int>").unionByName(long)
 
 
 def decode_ids(encoded: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -255,9 +263,9 @@ def decode_ids(encoded: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        v = vocabulary.value
+        decoder = Decoder(vocabulary.value)
         for pdf in batches:
-            texts = [decode(i.tolist(), v) if i is not None else "" for i in pdf["ids"]]
+            texts = [decoder.decode(i.tolist()) if i is not None else "" for i in pdf["ids"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts})
 
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInPandas(
@@ -265,25 +273,43 @@ def decode_ids(encoded: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id
     )
 
 
-def round_trip(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def round_trip(
+    docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
+) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 (of the ids as 4-byte little-endian numbers), decoded (whether
     decoding the ids gives the text back, space marks as spaces)."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
-    encoded = encode(docs, path, id_col, text_col, chunk)
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+    short, long, vocabulary = _encoded(docs, path, id_col, text_col, chunk)
+    kind = short.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded boolean"
+
+    def told(decoder, ids, md5):
+        text = decoder.decode(ids.tolist())
+        same = hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest() == md5
+        return len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), same
+
+    def batch_of(ids, rows):
+        n, sha, same = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())],
+            names=["doc_id", "n_tokens", "ids_sha256", "decoded"],
+        )
 
-    def run(batches):
-        v = vocabulary.value
-        for pdf in batches:
-            ids = [np.asarray(i, dtype="<i4") for i in pdf["ids"]]
-            decoded = [hashlib.md5(decode(i.tolist(), v).encode("utf-8", "surrogatepass")).hexdigest() for i in ids]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "n_tokens": [len(i) for i in ids],
-                    "ids_sha256": [hashlib.sha256(i.tobytes()).hexdigest() for i in ids],
-                    "decoded": [d == m for d, m in zip(decoded, pdf["text_md5"], strict=True)],
-                }
-            )
+    def whole(batches):
+        units, decoder = shared_units(vocabulary.value), Decoder(vocabulary.value)
+        for batch in batches:
+            rows = [
+                told(decoder, np.array(units.encode(marked(t.as_py())), dtype=np.int32), m.as_py())
+                for t, m in zip(batch.column(1), batch.column(2), strict=True)
+            ]
+            yield batch_of(batch.column(0), rows)
+
+    def joined(batches):
+        decoder = Decoder(vocabulary.value)
+        for batch in batches:
+            rows = [
+                told(decoder, i.values.to_numpy(zero_copy_only=False).astype(np.int32), m.as_py())
+                for m, i in zip(batch.column(1), batch.column(2), strict=True)
+            ]
+            yield batch_of(batch.column(0), rows)
 
-    return encoded.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded boolean")
+    return short.mapInArrow(whole, schema).unionByName(long.mapInArrow(joined, schema))

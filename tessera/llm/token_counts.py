@@ -3,12 +3,14 @@ the search carries the best score and its number of pieces over a window of the
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.sentencepiece_codec import VOCABULARY
-from tessera.llm.unigram import CACHED_CHARS, CACHED_UNITS, NONE, UNIT, Vocabulary, marked
+from tessera.llm.unigram import CACHED_CHARS, CACHED_UNITS, NONE, Vocabulary, marked
 
 
 class Counter:
@@ -23,6 +25,7 @@ class Counter:
             self.matches.add_word(text, (len(text), score))
         self.matches.make_automaton()
         self.spelled = bool(v.byte_ids)
+        self.cut = re.compile(v.units).findall
         self.known: dict[str, int] = {}
 
     def search(self, unit: str) -> int:
@@ -51,14 +54,13 @@ class Counter:
 
     def count(self, text: str | None) -> int:
         total, known = 0, self.known
-        for unit in UNIT.findall(marked(text)):
-            if unit:
-                n = known.get(unit)
-                if n is None:
-                    n = self.search(unit)
-                    if len(unit) <= CACHED_CHARS and len(known) < CACHED_UNITS:
-                        known[unit] = n
-                total += n
+        for unit in self.cut(marked(text)):
+            n = known.get(unit)
+            if n is None:
+                n = self.search(unit)
+                if len(unit) <= CACHED_CHARS and len(known) < CACHED_UNITS:
+                    known[unit] = n
+            total += n
         return total
 
 

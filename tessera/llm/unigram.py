@@ -6,18 +6,20 @@ place the one that starts first wins. A character that is no piece counts as unk
 score, and is written as its bytes where the vocabulary has byte pieces.
 
 No piece has the space mark behind another character, so that a cut before every space mark that follows
-another character never changes the result: a text falls into units that are searched on their own.
+another character never changes the result: a text falls into units that are searched on their own. The
+same holds for both sides of line breaks and tabs, if no piece has them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-UNIT = re.compile(f"{SPACE}*[^{SPACE}]*")
-CACHED_UNITS = 400_000
+ALONE = "\n\t\r"
+CACHED_UNITS = 300_000
 CACHED_CHARS = 64
 NONE = float("-inf")
 
@@ -32,13 +34,16 @@ class Vocabulary:
     unknown_id: int
     unknown_score: float
     longest: int
+    digest: str
+    units: str
 
     @staticmethod
     def load(path: str) -> Vocabulary:
         import sentencepiece
 
         with open(path, "rb") as f:
-            found = sentencepiece.SentencePieceProcessor(model_proto=f.read())
+            model = f.read()
+        found = sentencepiece.SentencePieceProcessor(model_proto=model)
         texts = [found.id_to_piece(i) for i in range(found.get_piece_size())]
         special = [found.is_control(i) or found.is_unknown(i) or found.is_byte(i) or found.is_unused(i) for i in range(len(texts))]
         pieces = {t: (i, found.get_score(i)) for i, t in enumerate(texts) if not special[i]}
@@ -51,6 +56,8 @@ class Vocabulary:
             unknown_id=found.unk_id(),
             unknown_score=min(s for _, s in pieces.values()) - UNKNOWN_PENALTY,
             longest=max(map(len, pieces)),
+            digest=hashlib.sha256(model).hexdigest(),
+            units=unit_pattern(pieces),
         )
 
     def spell(self, char: str) -> list[int]:
@@ -60,32 +67,18 @@ class Vocabulary:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
 
+def unit_pattern(pieces) -> str:
+    """A pattern that cuts a text into units which no piece spans."""
+    held = {c for p in pieces for c in p}
+    alone = re.escape("".join(c for c in ALONE if c not in held))
+    return f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
+
+
 def marked(text: str | None) -> str:
     """The text as it is searched: a space mark in front, and for every space; empty stays empty."""
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def relax(text: str, best: list[float], back: list[int], v: Vocabulary, stop: int) -> None:
-    """The forward search from every reached place before stop; pieces may end anywhere in text."""
-    pieces, n, longest = v.pieces, len(text), v.longest
-    for s in range(stop):
-        here = best[s]
-        if here == NONE:
-            continue
-        single = False
-        for e in range(s + 1, min(n, s + longest) + 1):
-            found = pieces.get(text[s:e])
-            if found is not None:
-                if e == s + 1:
-                    single = True
-                if here + found[1] > best[e]:
-                    best[e] = here + found[1]
-                    back[e] = s
-        if not single and here + v.unknown_score > best[s + 1]:
-            best[s + 1] = here + v.unknown_score
-            back[s + 1] = s
-
-
 def trace(text: str, back: list[int], end: int, v: Vocabulary) -> tuple[int, list[int]]:
     """Where the path to end entered (back is -1 there), and its ids."""
     ids: list[int] = []
@@ -98,46 +91,144 @@ def trace(text: str, back: list[int], end: int, v: Vocabulary) -> tuple[int, lis
 
 
 class Units:
-    """Segmentations of units, with a bounded cache."""
+    """Searches by an automaton of the pieces, with a bounded cache of units."""
 
     def __init__(self, v: Vocabulary):
-        self.v = v
-        self.known: dict[str, tuple[tuple[int, ...], float]] = {}
+        import ahocorasick
 
-    def get(self, unit: str) -> tuple[tuple[int, ...], float]:
+        self.v = v
+        self.matches = ahocorasick.Automaton()
+        for text, (i, score) in v.pieces.items():
+            self.matches.add_word(text, (len(text), score, i))
+        self.matches.make_automaton()
+        self.cut = re.compile(v.units).findall
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.scores: dict[str, float] = {}
+
+    def relax(self, text: str, best: list[float], back: list[int], stop: int) -> None:
+        """The forward search from every reached place before stop; pieces may end anywhere in text.
+
+        The automaton lists the matches that end at a place from the longest to the shortest, so that with a
+        strict comparison the one that starts first wins a tie, and what best holds already wins over all.
+        """
+        n, unknown = len(text), self.v.unknown_score
+        found = self.matches.iter(text)
+        end, match = next(found, (n, None))
+        for e in range(n):
+            top, came, single = best[e + 1], -1, False
+            while end == e:
+                length, score, _ = match
+                s = e + 1 - length
+                if s < stop and best[s] + score > top:
+                    top, came = best[s] + score, s
+                single = single or length == 1
+                end, match = next(found, (n, None))
+            if not single and e < stop and best[e] + unknown > top:
+                top, came = best[e] + unknown, e
+            if came >= 0:
+                best[e + 1], back[e + 1] = top, came
+
+    def get(self, unit: str) -> tuple[int, ...]:
+        """The unit's ids."""
         found = self.known.get(unit)
         if found is None:
-            n = len(unit)
-            best, back = [0.0] + [NONE] * n, [-1] * (n + 1)
-            relax(unit, best, back, self.v, n)
-            found = (tuple(trace(unit, back, n, self.v)[1]), best[n])
-            if n <= CACHED_CHARS and len(self.known) < CACHED_UNITS:
+            found = self._search(unit)[0]
+            if len(unit) <= CACHED_CHARS and len(self.known) < CACHED_UNITS:
                 self.known[unit] = found
         return found
 
+    def score(self, unit: str) -> float:
+        """The score of the unit's best path."""
+        found = self.scores.get(unit)
+        if found is None:
+            found = self._search(unit)[1]
+            if len(unit) <= CACHED_CHARS and len(self.scores) < CACHED_UNITS // 2:
+                self.scores[unit] = found
+        return found
+
+    def _search(self, unit: str) -> tuple[tuple[int, ...], float]:
+        """relax and trace in one, for a unit on its own: places are filled in order, so that none is unreached."""
+        best, back, piece = [0.0], [0], [-1]
+        unknown, at, top, single = self.v.unknown_score, 0, NONE, False
+        came = which = -1
+        for end, (length, score, i) in self.matches.iter(unit):
+            while at < end:  # the place before is complete
+                if not single and best[at] + unknown > top:
+                    top, came, which = best[at] + unknown, at, -1
+                best.append(top)
+                back.append(came)
+                piece.append(which)
+                at, top, single = at + 1, NONE, False
+            here = best[end + 1 - length] + score
+            if here > top:
+                top, came, which = here, end + 1 - length, i
+            if length == 1:
+                single = True
+        n = len(unit)
+        while at < n:
+            if not single and best[at] + unknown > top:
+                top, came, which = best[at] + unknown, at, -1
+            best.append(top)
+            back.append(came)
+            piece.append(which)
+            at, top, single = at + 1, NONE, False
+        ids: list[int] = []
+        while n > 0:
+            if piece[n] >= 0:
+                ids.append(piece[n])
+            else:
+                ids.extend(reversed(self.v.spell(unit[n - 1])))
+            n = back[n]
+        return tuple(reversed(ids)), best[-1]
+
     def encode(self, searched: str) -> list[int]:
         ids: list[int] = []
-        for unit in UNIT.findall(searched):
-            if unit:
-                ids.extend(self.get(unit)[0])
+        known, get = self.known, self.get
+        for unit in self.cut(searched):
+            found = known.get(unit)
+            ids.extend(found if found is not None else get(unit))
         return ids
 
 
-def decode(ids, v: Vocabulary) -> str:
-    """The text of the ids: byte pieces together as UTF-8, space marks as spaces, without the first space."""
-    byte_of = {i: b for b, i in v.byte_ids.items()}
-    out: list[str] = []
-    pending = bytearray()
-    for i in ids:
-        b = byte_of.get(i)
-        if b is not None:
-            pending.append(b)
-            continue
-        if pending:
+_shared: dict[str, Units] = {}
+
+
+def shared_units(v: Vocabulary) -> Units:
+    """One Units a process and vocabulary, so that its cache outlives a task."""
+    found = _shared.get(v.digest)
+    if found is None:
+        _shared.clear()
+        found = _shared[v.digest] = Units(v)
+    return found
+
+
+class Decoder:
+    """Ids to texts. Byte pieces below 0x80 are characters of their own; others are read together as UTF-8."""
+
+    def __init__(self, v: Vocabulary):
+        self.byte_of = {i: b for b, i in v.byte_ids.items()}
+        self.texts = list(v.texts)
+        for b, i in v.byte_ids.items():
+            if b < 0x80:
+                self.texts[i] = chr(b)
+        self.high = frozenset(i for b, i in v.byte_ids.items() if b >= 0x80)
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of the ids: space marks as spaces, without the first space."""
+        if self.high.isdisjoint(ids):
+            text = "".join(map(self.texts.__getitem__, ids))
+        else:
+            out: list[str] = []
+            pending = bytearray()
+            for i in ids:
+                if i in self.high:
+                    pending.append(self.byte_of[i])
+                    continue
+                if pending:
+                    out.append(pending.decode("utf-8", "replace"))
+                    pending.clear()
+                out.append(self.texts[i])
             out.append(pending.decode("utf-8", "replace"))
-            pending.clear()
-        out.append(v.texts[i])
-    if pending:
-        out.append(pending.decode("utf-8", "replace"))
-    text = "".join(out).replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
+            text = "".join(out)
+        text = text.replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
