@@ -30,6 +30,10 @@ MAX_TRIALS = 24
 #: The default domains and their shares of all tokens.
 TARGETS = {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.14}
 TOLERANCE = 1e-9
+#: Where every row must stay, rates do not fall under this bound; it is halved until the shares are met.
+FLOOR = 0.25
+#: A domain's share of the tokens is met when it is off by no more than this.
+MET = 1e-3
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -118,21 +122,21 @@ def with_posteriors(docs: DataFrame, model: np.ndarray, text_col: str = "text",
     return docs.mapInArrow(run, schema)
 
 
-def rate(steps: list[np.ndarray], posterior: str = "__p") -> Column:
-    """A document's rate after the steps: each takes off posterior * step, and stops at 0."""
+def rate(steps: list[np.ndarray], posterior: str = "__p", floor: float = 0.0) -> Column:
+    """A document's rate after the steps: each takes off posterior * step, and stops at the floor."""
     r = F.lit(1.0)
     for step in steps:
         off = sum((F.get(F.col(posterior), k) * float(v) for k, v in enumerate(step)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r - off)
+        r = F.greatest(F.lit(floor), r - off)
     return r
 
 
-def fit(described: DataFrame, weights: list[float], tokens: str = "__tokens", posterior: str = "__p") -> list[np.ndarray]:
-    """The steps of the projected gradient search from rates of 1.
+def fit(described: DataFrame, weights: list[float], tokens: str = "__tokens", posterior: str = "__p", floor: float = 0.0) -> list[np.ndarray]:
+    """The steps of the projected gradient search from rates of 1, over rates of floor or more.
 
     It minimises the distance of the expected domain totals A r from the targets b (weights, normalised,
     times all tokens). Each rate's step is divided by its tokens, and the gradient is scaled by the inverse
-    of the sum of tokens * p p' over the documents with a rate above 0; a step that does not come nearer to
+    of the sum of tokens * p p' over the documents with a rate above the floor; a step that does not come nearer to
     the targets is halved. Every step needs one row of sums over all documents.
     """
     k = len(weights)
@@ -141,8 +145,8 @@ def fit(described: DataFrame, weights: list[float], tokens: str = "__tokens", po
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
     def sums(steps):
-        r = rate(steps, posterior)
-        free = F.when(r > 0, t).otherwise(0)
+        r = rate(steps, posterior, floor)
+        free = F.when(r > floor, t).otherwise(0)
         row = described.agg(
             F.sum(t).alias("n"),
             *[F.sum(t * r * p[i]).alias(f"a{i}") for i in range(k)],
@@ -191,18 +195,44 @@ def rates(docs: DataFrame, model: np.ndarray, targets: dict[str, float], id_col:
     )
 
 
+def fit_whole(described: DataFrame, weights: list[float], tokens: str = "__tokens", posterior: str = "__p") -> Column:
+    """The rate of each document, 1 for the smallest, so that the domains' shares of all tokens meet the weights.
+
+    The fit is held above a floor, as a document of rate r comes r / smallest times. The floor is halved while
+    shares are missed by more than MET and the miss still falls by a tenth: at weights that cannot be met (of a
+    domain without documents, say) the larger floor stays.
+    """
+    share = np.array(weights) / sum(weights)
+    floor, best, chosen = FLOOR, np.inf, F.lit(1.0)
+    while True:
+        r = rate(fit(described, weights, tokens, posterior, floor), posterior, floor)
+        row = described.agg(
+            F.min(r).alias("low"),
+            F.sum(F.col(tokens) * r).alias("n"),
+            *[F.sum(F.col(tokens) * r * F.get(F.col(posterior), i)).alias(f"a{i}") for i in range(len(weights))],
+        ).first()
+        if not row.n:
+            return chosen
+        miss = max(abs(row[f"a{i}"] / row.n - share[i]) for i in range(len(weights)))
+        if miss > 0.9 * best:
+            return chosen
+        best, chosen = miss, r / float(row.low)
+        if miss <= MET:
+            return chosen
+        floor /= 2
+
+
 def repeat_to_targets(docs: DataFrame, model: np.ndarray, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each row as often as its rate says, so that the domains' tokens come to the targets.
 
     Rates are scaled so that the smallest is 1: no document is lost, those of domains that are short of
-    their target are repeated. The fraction of a rate becomes one more copy for that share of documents,
-    chosen by a hash of id and text.
+    their target are repeated. A domain that holds s of the tokens against a target of w makes the result
+    s / w times as large at least, and more where memberships are soft. The fraction of a rate becomes one
+    more copy for that share of documents, chosen by a hash of id and text.
     """
     described = with_posteriors(docs, model, text_col)
     light = stage(described.select("__tokens", "__p"), "posteriors")
-    steps = fit(light, list(targets.values()))
-    lowest = light.agg(F.min(rate(steps)).alias("low")).first().low
-    scaled = rate(steps) / max(0.25, float(lowest if lowest is not None else 1.0))
+    scaled = fit_whole(light, list(targets.values()))
     chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)
     copies = F.greatest(F.lit(1), F.floor(scaled + chance).cast("int"))
     return (

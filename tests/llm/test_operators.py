@@ -243,6 +243,32 @@ def test_rates_with_projection_satisfy_the_optimality_conditions(spark):
     assert (r >= 0).all() and np.abs(got - [0.9, 0.05, 0.05]).max() < 0.02
 
 
+@pytest.mark.parametrize(("large", "alpha"), [(1, 0.3), (3, 0.3), (3, 3.0)])
+def test_whole_rates_meet_the_targets_where_one_domain_dominates(spark, large, alpha):
+    rng = np.random.default_rng(7)
+    weights = [0.5, 0.18, 0.18, 0.14]
+    domain = np.where(rng.random(2000) < 0.85, large, rng.integers(0, 4, 2000))
+    rows = [(int(t), rng.dirichlet(alpha / 4 + 5 * np.eye(4)[d]).tolist()) for t, d in zip(rng.integers(1, 500, 2000), domain, strict=True)]
+    light = spark.createDataFrame(rows, "__tokens long, __p array<double>")
+    found = light.select("__tokens", "__p", mixing.fit_whole(light, weights).alias("r")).collect()
+    t, q, r = (np.array([x[i] for x in found]) for i in range(3))
+    assert abs(r.min() - 1) < 1e-9
+    assert np.abs((t * r) @ q / (t * r).sum() - weights).max() <= mixing.MET
+
+
+def test_repeated_rows_meet_the_targets_where_one_domain_dominates(spark):
+    words = {"en": "the house and", "fr": "une maison et", "de": "ein haus und", "es": "la casa y"}
+    domains = ["es"] * 850 + ["en", "fr", "de"] * 50
+    rows = [(i, f"{words[d]} {i}", d) for i, d in enumerate(domains)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = mixing.train(docs, list(mixing.TARGETS), domain_col="lang")
+    found = mixing.repeat_to_targets(docs, model, mixing.TARGETS)
+    assert found.select("doc_id").distinct().count() == len(rows)
+    p = mixing.with_posteriors(found, model).select("__tokens", "__p").collect()
+    got = sum(np.array(x[1]) * x[0] for x in p) / sum(x[0] for x in p)
+    assert np.abs(got - np.array(list(mixing.TARGETS.values()))).max() < 0.02
+
+
 def test_mixing_edges(spark):
     schema = "doc_id long, text string, lang string, n_tokens int, rate string"
     docs = spark.createDataFrame([(1, None, "en", 1, ""), (2, "", None, 1, ""), (None, "the of and", "en", 1, ""), (None, "the of and", "en", 1, "")], schema)
