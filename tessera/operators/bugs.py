@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.staging import checkpointed
+
+_COLUMNS = ["symptom", "error_message", "root_cause", "fix", "file", "line", "tags", "occurrences", "first_seen", "last_seen"]
 
 
 def _latest(c: str, at: Column) -> Column:
@@ -13,6 +16,12 @@ def _latest(c: str, at: Column) -> Column:
     return F.max_by(c, F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", at)).alias(c)
 
 
+def tags_of(named: DataFrame) -> DataFrame:
+    """(symptom, tags): repeats go before a symptom's tags are gathered, however many reports it has."""
+    tags = named.select("symptom", F.explode("tags").alias("tag")).distinct()
+    return tags.groupBy("symptom").agg(F.array_sort(F.collect_list(F.struct("tag"))["tag"]).alias("tags"))
+
+
 def upsert(reports: DataFrame) -> DataFrame:
     """reports (error_message, root_cause, fix, file, line, tags, at, seq) folded into one bug per symptom.
 
@@ -20,24 +29,38 @@ def upsert(reports: DataFrame) -> DataFrame:
     are united, ids follow first sight.
     """
     at = F.struct("at", "seq")
+    named = reports.withColumn("symptom", T.normalise_symptom(F.col("error_message"))).where("symptom <> ''")
     merged = (
-        reports.withColumn("symptom", T.normalise_symptom(F.col("error_message")))
-        .where("symptom <> ''")
-        .groupBy("symptom")
+        named.groupBy("symptom")
         .agg(
             F.min_by("error_message", at).alias("error_message"),
             *[_latest(c, at) for c in ("root_cause", "fix", "file")],
             F.max_by("line", F.when(F.col("line").isNotNull(), at)).alias("line"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tags", F.array().cast("array<string>")))))).alias("tags"),
             F.count(F.lit(1)).alias("occurrences"),
             F.min("at").alias("first_seen"),
             F.max("at").alias("last_seen"),
             F.min(at).alias("first"),
         )
     )
-    # one row a symptom: numbering needs one order over all of them
-    number = F.row_number().over(Window.orderBy("first"))
-    return merged.withColumn("id", F.format_string("bug-%03d", number)).drop("first")
+    none = F.array().cast(reports.schema["tags"].dataType)
+    whole = merged.join(tags_of(named), "symptom", "left").withColumn("tags", F.coalesce("tags", none))
+    return _numbered(whole, ["first", "symptom"]).withColumn("id", F.format_string("bug-%03d", "number")).select(*_COLUMNS, "id")
+
+
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with number from 1 in the given order: by ranges, each on from the rows of those before it."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # kept, since another run could draw the ranges otherwise
+    ranged = checkpointed(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return (
+        ranged.join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range")
+        .withColumn("number", within + F.col("_before"))
+        .drop("_range", "_before")
+    )
 
 
 def merge(known: DataFrame, reports: DataFrame) -> DataFrame:

@@ -83,6 +83,23 @@ def test_bug_log(spark, tmp_path):
     assert memory.read_bugs(spark, str(log)).first().id == "bug-007"
 
 
+def test_bug_log_gathers_no_repeated_tags_and_numbers_by_ranges(spark):
+    reports = spark.range(4000).selectExpr(
+        "case when id % 3 = 0 then 'hot' else concat('symptom ', id % 50) end AS error_message", "'' AS root_cause", "'' AS fix", "'' AS file", "1 AS line",
+        "case when id % 7 > 0 then array(concat('t', id % 5), 't0') end AS tags", "lpad(id, 6, '0') AS at", "id AS seq",
+    )
+    found = bugs.upsert(reports)
+    rows = found.orderBy("first_seen").collect()
+    assert [r.id for r in rows] == [f"bug-{i:03d}" for i in range(1, len(rows) + 1)] and len(rows) == 51
+    assert rows[0].symptom == "hot" and rows[0].tags == ["t0", "t1", "t2", "t3", "t4"] and sum(r.occurrences for r in rows) == 4000
+    bare = bugs.upsert(reports.withColumn("tags", memory.F.lit(None).cast("array<string>")))
+    assert bare.where("size(tags) = 0").count() == 51
+    # what is gathered for the hot symptom is its distinct tags, not a list a report; numbering has no window over all rows
+    gathered = bugs.tags_of(reports.withColumn("symptom", memory.F.col("error_message")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in gathered and "flatten" not in gathered
+    assert "windowspecdefinition(first" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_guard_remembers_successes_only(spark):
     rows = [
         (1, "s", "w", "a", False, True), (2, "s", "w", "a", False, True), (3, "s", "w", "b", False, False), (4, "s", "w", "b", False, True),
