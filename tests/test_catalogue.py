@@ -1,11 +1,15 @@
 """Registered queries against DuckDB on the smallest tables, and the memory files."""
 
+import random
+
 import duckdb
+import pyarrow as pa
 import pytest
 
 from tessera.plans import catalogue
 from tessera.sources import memory
 from tessera.operators import bugs, guard
+from tessera.streaming import guard as stream
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -108,3 +112,44 @@ def test_guard_remembers_successes_only(spark):
     events = spark.createDataFrame(rows, "n long, session string, win string, stat string, reset boolean, ok boolean")
     found = guard.repeated_reads(events, "session", ["win"], "stat", ["n"], "reset", "ok").orderBy("n")
     assert [r.duplicate for r in found.collect()] == [False, True, False, False, True, False, False, False, False]
+
+
+def test_streamed_guard_keeps_its_state_between_batches(spark):
+    rng = random.Random(4)
+    rows = [
+        (i, rng.choice(["a", "b", None]), f"w{rng.randrange(5)}", rng.choice(["x", "y", None]), rng.random() < 0.03, rng.random() < 0.8)
+        for i in range(600)
+    ]
+    want, known = {}, {}
+    for event, session, window, stat, reset, ok in rows:
+        mine = known.setdefault(session, {})
+        want[event] = not reset and stat is not None and mine.get(window) == stat
+        if reset:
+            mine.clear()
+        elif ok:
+            mine.pop(window, None)
+            mine[window] = stat
+            if len(mine) > 3:
+                del mine[next(iter(mine))]
+    events = spark.createDataFrame(rows, "event long, session string, window string, stat string, reset boolean, ok boolean")
+    found, state = {}, None
+    for low in (0, 200, 400):
+        state = stream.repeated_reads(events.where(f"event >= {low} and event < {low + 200}"), state, ["event"], most=3)
+        found |= {r.event: r.duplicate for r in state.where("kind = 1").collect()}
+    assert found == want
+
+
+def test_streamed_guard_does_not_hold_a_session():
+    taken = 0
+
+    def batches():
+        nonlocal taken
+        for i in range(50):
+            taken += 1
+            n = list(range(100 * i, 100 * i + 100))
+            yield pa.RecordBatch.from_pydict(
+                {"kind": pa.array([1] * 100, pa.int32()), "session": ["hot"] * 100, "event": n, "window": [f"w{x % 2}" for x in n], "stat": ["s"] * 100, "reset": [False] * 100, "ok": [True] * 100}
+            )
+
+    first = next(iter(stream._processor(256)(batches())))
+    assert taken == 1 and first.num_rows == 100
