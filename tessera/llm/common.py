@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -47,3 +47,26 @@ def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null counts as empty."""
     t = F.coalesce(text, F.lit(""))
     return F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
+
+
+def text_sha(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def text_keys(digests: DataFrame) -> DataFrame | None:
+    """A number (node) for each distinct doc and sha of digests, by doc, then sha; None if no doc has two of them.
+
+    Ranges are numbered on their own, each on from the rows of those before it.
+    """
+    shas = digests.groupBy("doc").agg(F.min("sha").alias("low"), F.max("sha").alias("high"))
+    if not shas.where("low <> high").limit(1).count():
+        return None
+    n = shuffle_partitions(digests.sparkSession)
+    distinct = digests.select("doc", "sha").distinct()
+    ranged = stage(distinct.repartitionByRange(n, "doc", "sha").withColumn("range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
+    # one row a range
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("range").orderBy("doc", "sha"))
+    numbered = ranged.join(F.broadcast(counts.select("range", before.alias("before"))), "range")
+    return stage(numbered.select("doc", "sha", (within + F.col("before")).cast("long").alias("node")), "text-keys")

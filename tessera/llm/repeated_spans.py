@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, stage
+from tessera.llm.common import NULL_ID, stage, text_keys, text_sha
 from tessera.llm.shingles import _BASE, _BYTE, _INVERSE, Powers, mix, powers, text_slices
 
 DEPTH = 100
@@ -339,21 +339,18 @@ def remove_repeats(
 
     Removed is every byte covered by a string of depth bytes that also starts earlier: in a document of
     smaller id, or earlier in the same. Null texts are empty. A null id is smaller than all others. Rows
-    that repeat id and text are one document and get the same result each; of rows that repeat an id with
-    different texts the one of the smallest hash is the document, and the others are returned uncut and
-    are not searched. An empty table gives an empty result; other columns are not read.
+    that repeat id and text are one document and get the same result each; different texts of one id are
+    documents in the order of their SHA-256. An empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    whole = stage(rows.select("node", F.octet_length("text").alias("n"), F.sha2("text", 256).alias("sha")), "digests")
-    own = whole.groupBy("node").agg(F.min("sha").alias("sha"), F.max("sha").alias("other"), F.min("n").alias("n"))
-    strange = own.where("sha <> other")
-    searched = rows
-    if strange.limit(1).count():
-        others = whole.join(own.select("node", F.col("sha").alias("main")), "node").where("sha <> main").select("node", "sha")
-        searched = rows.join(others, (rows["node"] == others["node"]) & (F.sha2(rows["text"], 256) == others["sha"]), "left_anti")
-    own = own.where("sha = other").unionByName(
-        strange.drop("n").join(whole, ["node", "sha"]).select("node", "sha", "other", "n").distinct()
-    )
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = stage(rows.select("doc", F.octet_length("text").alias("n"), text_sha(F.col("text")).alias("sha")), "digests")
+    keys = text_keys(whole)
+    if keys is None:
+        searched, whole = rows.withColumnRenamed("doc", "node"), whole.withColumnRenamed("doc", "node")
+    else:
+        searched = stage(rows.withColumn("sha", text_sha(F.col("text"))).join(keys, ["doc", "sha"]).select("node", "text"), "keyed")
+        whole = whole.join(keys, ["doc", "sha"]).select("node", "n", "sha")
+    own = whole.groupBy("node").agg(F.min("sha").alias("sha"), F.min("n").alias("n"))
     firsts = own.where(F.col("n") >= depth).groupBy("sha").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
     copies = stage(own.join(firsts, "sha").where("node <> first").select("node", F.lit(True).alias("copy")), "copies")
 
@@ -394,8 +391,6 @@ def remove_repeats(
 
     light = by_text.join(copies, "node", "full_outer")
     cut = searched.join(light, "node", "left").select("node", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "marks")
-    if strange.limit(1).count():
-        left_out = rows.join(others, (rows["node"] == others["node"]) & (F.sha2(rows["text"], 256) == others["sha"]), "left_semi")
-        cut = cut.unionByName(left_out.select("node", "text", F.lit(False).alias("copy"), F.lit(None).cast(cut.schema["marks"].dataType).alias("marks")))
     result = cut.mapInArrow(_cut(depth), "node long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return result.select(F.when(F.col("node") != NULL_ID, F.col("node")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    result = result.withColumnRenamed("node", "doc") if keys is None else result.join(keys.select("node", "doc"), "node")
+    return result.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -61,3 +61,12 @@ def test_repeated_rows_empty_and_clashing_columns(spark):
     rows = [(1, text, 0, 0, True, ""), (1, text, 0, 0, True, ""), (2, text[50:], 0, 0, True, ""), (2, "short", 0, 0, True, "")]
     found = {(r.doc_id, r.n_bytes, r.n_removed) for r in repeated_spans.remove_repeats(spark.createDataFrame(rows, schema)).collect()}
     assert (1, 300, 0) in found and (2, 5, 0) in found and len(found) == 3
+
+
+def test_every_text_of_a_null_or_repeated_id_is_searched(spark):
+    rng = random.Random(8)
+    a, b, c, d = ("".join(rng.choices("abcdefgh ", k=300)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, "x" + a[20:250]), (1, c), (1, d), (1, c[:150] + d[:150]), (2, b[30:200]), (3, "y" + d[100:] + a[:120]), (4, "z")]
+    found = sorted((tuple(r) for r in repeated_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+    assert found == brute(rows, repeated_spans.DEPTH)
