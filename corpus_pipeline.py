@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, mixing, near_dedup, sentencepiece_codec, toxicity
-from tessera.llm.common import NULL_ID, stage, table
+from tessera.llm.common import NULL_ID, stage, table, text_keys, text_sha
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,20 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group linked by five-word shingles at 0.8 or more the document of the smallest doc_id stays."""
-    kept = near_dedup.near_copies(docs).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__kept")).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__kept"), "left_semi")
+    """Of every group linked by five-word shingles at 0.8 or more the document of the smallest doc_id stays.
+
+    Texts of one id, or of null, are documents of their own, in the order of their SHA-256.
+    """
+    node, sha = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), text_sha(docs["text"])
+    keys = text_keys(stage(docs.select(node.alias("doc"), sha.alias("sha")), "digests"))
+    if keys is None:
+        kept = near_dedup.near_copies(docs).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__kept")).distinct()
+        return docs.join(kept, node == F.col("__kept"), "left_semi")
+    keyed = docs.select(node.alias("doc"), sha.alias("sha"), "text").join(keys, ["doc", "sha"])
+    found = near_dedup.near_copies(stage(keyed.select(F.col("node").alias("doc_id"), "text"), "keyed"))
+    kept = found.where("kept").select(F.col("doc_id").alias("node")).distinct().join(keys, "node")
+    kept = kept.select(F.col("doc").alias("__doc"), F.col("sha").alias("__sha"))
+    return docs.join(kept, (node == F.col("__doc")) & (sha == F.col("__sha")), "left_semi")
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,16 @@ def test_stages_take_empty_tables_and_clashing_columns(spark):
         assert step(spark, docs.limit(0), SF).collect() == [], name
         out = step(spark, docs.limit(40), SF)
         assert out.columns == docs.columns and out.count() > 0, name
+
+
+def test_near_copies_are_decided_by_row_where_ids_are_null_or_repeated(spark):
+    def text(name, n=60):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [(None, text("a")), (None, text("a") + " end"), (None, text("b")), (1, text("c")), (7, text("c") + " end"), (7, text("d")), (7, text("e")), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert near and all(r in rows for r in map(tuple, near))
+    found = [tuple(r) for r in near]
+    assert len(found) == 7 and sum(r in found for r in rows[:2]) == 1
+    assert {rows[2], rows[3], rows[5], rows[6], rows[7], rows[8]} <= set(found) and rows[4] not in found
