@@ -33,6 +33,40 @@ def test_copies_equal_a_dictionary(spark, buckets):
     assert sorted(tuple(r) for r in found.collect()) == want
 
 
+@pytest.mark.parametrize("shuffles", [4, 16])
+def test_near_copies_that_share_their_first_characters_keep_their_groups(spark, shuffles):
+    """Texts that agree in 40 characters and lie over many buckets, with separators of every kind inside."""
+    rng = random.Random(shuffles)
+    heads = ["the same forty characters at the front of", "\0" * 30, "\0\0a\0", "é" * 30, "."]
+    kinds = [h + rng.choice(["", " x", " Y"]) * rng.randint(1, 3) + str(i) for h in heads for i in range(12)]
+    texts = [rng.choice(kinds) for _ in range(900)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(low(t), []).append(i)
+    want = sorted((i, max(groups[low(t)]), len(groups[low(t)])) for i, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(shuffles))
+    try:
+        for buckets in (2, 16, 64):
+            found = exact_dedup.find_copies(docs, buckets=buckets).collect()
+            assert sorted((r.doc_id, r.keep_id, r.group_size) for r in found) == want, buckets
+            assert sum(r.kept for r in found) == len(groups)
+            stay = exact_dedup.drop_copies(docs, buckets=buckets).collect()
+            assert sorted(r.doc_id for r in stay) == sorted(map(max, groups.values()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_copies_are_dropped_whatever_the_columns_are_called(spark):
+    names = ["__id", "__sha", "__norm", "__n", "__key", "__kept", "__row", "__top", "__bucket", "a.b", "row"]
+    rows = [(1, "a", *names), (2, "A", *names), (2, "A", *names)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    assert [tuple(r) for r in exact_dedup.drop_copies(docs).collect()] in ([rows[1]], [rows[2]])
+
+
 def test_copies_with_null_and_repeated_ids(spark):
     schema = "doc_id long, text string, norm string, bucket int, kept boolean"
     rows = [(None, "a", "", 0, True), (None, "A", "", 0, True), (5, "b", "", 0, True), (5, "b", "", 0, True), (6, "c", "", 0, True), (None, "c", "", 0, True)]
