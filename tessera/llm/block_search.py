@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import map_arrow, map_pandas, stage
 
 QUERY_BLOCK = 4096
 STRIPE = 4096
@@ -196,7 +196,7 @@ def nearest(
         queries.unionByName(candidates)
         .repartition(max(cells, 1), "dim", "qb", "stripe")
         .sortWithinPartitions("dim", "qb", "stripe", "kind")
-        .mapInArrow(_cells(k), "query_id long, scores array<double>, ids array<long>")
+        .transform(map_arrow, _cells(k), "query_id long, scores array<double>, ids array<long>")
     )
     # at most MAX_STRIPES lists of k for each query
     lists = tiles.groupBy("query_id").agg(F.collect_list(F.struct("scores", "ids")).alias("lists"))
@@ -212,4 +212,4 @@ def nearest(
                     out.append((query, rank, i, -score))
             yield pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
 
-    return lists.mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
+    return lists.transform(map_pandas, merge, "query_id long, rank int, vec_id long, score double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +31,63 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of the Arrow batches that tasks exchange with Python, and the setting that bounds them.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_LARGER = {"67108864", "67108864b", "64m", "64mb", str((1 << 31) - 1), f"{(1 << 31) - 1}b"}
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores behind it as keep it apart from the columns taken."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def release() -> None:
+    """Gives what a task has freed back to the system, as Python workers outlive their tasks."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def _released(f):
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def _bounded(spark: SparkSession) -> None:
+    """A row-count bound alone lets long texts make batches of 64 MB; a session that sets its own bound keeps it."""
+    if spark.conf.get(BATCH_SETTING, "67108864").lower() in _LARGER:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """mapInArrow over batches of about BATCH_BYTES (or one row); what a task used is given back when it ends."""
+    _bounded(df.sparkSession)
+    return df.mapInArrow(_released(f), schema)
+
+
+def map_pandas(df: DataFrame, f, schema) -> DataFrame:
+    """mapInPandas in the same way."""
+    _bounded(df.sparkSession)
+    return df.mapInPandas(_released(f), schema)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and returns them as read from there.
 

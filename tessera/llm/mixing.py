@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import map_arrow, map_pandas, stage
 from tessera.llm.shingles import text_slices
 
 BUCKETS = 1 << 13
@@ -70,7 +70,7 @@ def train(labelled: DataFrame, domains: list[str], text_col: str = "text", domai
 
     found = np.zeros((len(domains), BUCKETS + 1))
     # at most domains x (BUCKETS + 1) rows
-    for r in sample.mapInPandas(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).collect():
+    for r in sample.transform(map_pandas, count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).collect():
         found[r.k, r.bucket] = r.n
     grams, seen = found[:, :BUCKETS] + 0.5, found[:, BUCKETS:] + 1.0
     return np.log(np.concatenate([grams / grams.sum(axis=1, keepdims=True), seen / seen.sum()], axis=1))
@@ -119,7 +119,7 @@ def with_posteriors(docs: DataFrame, model: np.ndarray, text_col: str = "text",
             listed = pa.ListArray.from_arrays(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64()), listed], names=[*batch.schema.names, tokens_as, posterior_as])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(map_arrow, run, schema)
 
 
 def rate(steps: list[np.ndarray], posterior: str = "__p", floor: float = 0.0) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, stage
+from tessera.llm.common import NULL_ID, map_arrow, map_pandas, stage
 from tessera.llm.components import components
 from tessera.llm.shingles import Powers, mix, sets
 
@@ -124,7 +124,7 @@ def _sift(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return stage(
         pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
         .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        .mapInPandas(run, "a long, b long"),
+        .transform(map_pandas, run, "a long, b long"),
         "sifted",
     )
 
@@ -143,7 +143,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     # at most FILTER_BITS / 64 rows
     kept = docs.select("node", "text", word.alias("word"), one.alias("one")).join(F.broadcast(table), "word")
     kept = kept.where(F.col("bits").bitwiseAND(F.col("one")) != 0).select("node", "text")
-    return stage(kept.join(nodes, "node", "left_semi").mapInArrow(_sets(words), "node long, members binary"), "sets")
+    return stage(kept.join(nodes, "node", "left_semi").transform(map_arrow, _sets(words), "node long, members binary"), "sets")
 
 
 def _verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return stage(
         pairs.join(full.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
         .join(full.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
-        .mapInPandas(run, "a long, b long"),
+        .transform(map_pandas, run, "a long, b long"),
         "links",
     )
 
@@ -233,7 +233,8 @@ def _class(n, percent: int):
 def _crossing(crowded: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs across components among crowded (node, component), by the prefix filter."""
     tokens = stage(
-        crowded.join(full, "node").select("node", "component", "members").mapInArrow(
+        crowded.join(full, "node").select("node", "component", "members").transform(
+            map_arrow,
             _tokens, "node long, component long, n long, value long, parity array<long>"
         ),
         "tokens",
@@ -300,7 +301,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("node"), F.col(text_col).alias("text"))
     described = stage(
-        rows.mapInArrow(_describe(words), "node long, n long, s1 long, s2 long, sketch array<long>"), "sketches"
+        rows.transform(map_arrow, _describe(words), "node long, n long, s1 long, s2 long, sketch array<long>"), "sketches"
     )
     same = ["n", "s1", "s2"]
     classes = stage(

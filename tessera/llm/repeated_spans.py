@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, stage, text_keys, text_sha
+from tessera.llm.common import NULL_ID, map_arrow, stage, text_keys, text_sha
 from tessera.llm.shingles import _BASE, _BYTE, _INVERSE, Powers, mix, powers, text_slices
 
 DEPTH = 100
@@ -356,17 +356,18 @@ def remove_repeats(
 
     found = (
         searched.where(F.octet_length("text") >= depth)
-        .mapInArrow(_anchors(depth, local), "h long, salt int, node long, pos int")
+        .transform(map_arrow, _anchors(depth, local), "h long, salt int, node long, pos int")
         .repartition("h", "salt")
         .sortWithinPartitions("h", "salt", "pos")
-        .mapInArrow(_repeated(large), "h long, node long, pos int, large boolean")
+        .transform(map_arrow, _repeated(large), "h long, node long, pos int, large boolean")
     )
     repeated = stage(found, "repeated").join(copies.select("node"), "node", "left_anti")
     by_text = repeated.groupBy("node").agg(F.collect_list(F.struct("pos", "h", "large")).alias("found"))
     contexts = stage(
         searched.join(by_text, "node")
         .select("node", "text", "found")
-        .mapInArrow(
+        .transform(
+            map_arrow,
             _contexts(depth), "large boolean, node long, key long, pos int, before int, after int, context binary"
         ),
         "contexts",
@@ -376,7 +377,7 @@ def remove_repeats(
         .select("key", "node", "pos", "before", "after", "context")
         .repartition("key")
         .sortWithinPartitions("key", "node", "pos")
-        .mapInArrow(_marks(depth, large), "node long, pos int, mask binary")
+        .transform(map_arrow, _marks(depth, large), "node long, pos int, mask binary")
     )
     none = F.lit(None).cast("binary").alias("mask")
     first_places = (
@@ -391,6 +392,6 @@ def remove_repeats(
 
     light = by_text.join(copies, "node", "full_outer")
     cut = searched.join(light, "node", "left").select("node", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "marks")
-    result = cut.mapInArrow(_cut(depth), "node long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    result = cut.transform(map_arrow, _cut(depth), "node long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     result = result.withColumnRenamed("node", "doc") if keys is None else result.join(keys.select("node", "doc"), "node")
     return result.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import map_arrow, map_pandas, stage
 from tessera.llm.unigram import NONE, SPACE, Decoder, Units, Vocabulary, marked, shared_units, trace
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -167,7 +167,7 @@ def _encode_long(long: DataFrame, shared_vocabulary, longest: int, chunk: int) -
         return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "scores": out})
 
     transfers = stage(
-        chunks.mapInPandas(matrices, "row long, chunk int, matrix array<double>").withColumn(
+        chunks.transform(map_pandas, matrices, "row long, chunk int, matrix array<double>").withColumn(
             "block", F.floor(F.col("chunk") / FAN_IN).cast("int")
         ),
         "transfers",
@@ -203,7 +203,8 @@ def _encode_long(long: DataFrame, shared_vocabulary, longest: int, chunk: int) -
             state = int(entries[state])
         return pd.DataFrame({"row": pdf["row"].iloc[:1], "ids": [[i for p in reversed(parts) for i in p]]})
 
-    traced = chunks.join(chunk_starts, ["row", "chunk"]).mapInPandas(
+    traced = chunks.join(chunk_starts, ["row", "chunk"]).transform(
+        map_pandas,
         back, "row long, chunk int, shared array<int>, ends array<array<int>>, entries array<int>"
     )
     return traced.groupBy("row").applyInPandas(follow, "row long, ids array<int>")
@@ -254,7 +255,7 @@ def encode(
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), listed], names=["doc_id", "text_md5", "ids"])
 
-    return short.mapInArrow(whole, f"doc_id {kind}, text_md5 string, ids array<int>").unionByName(long)
+    return short.transform(map_arrow, whole, f"doc_id {kind}, text_md5 string, ids array<int>").unionByName(long)
 
 
 def decode_ids(encoded: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -268,7 +269,8 @@ def decode_ids(encoded: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id
             texts = [decoder.decode(i.tolist()) if i is not None else "" for i in pdf["ids"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts})
 
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInPandas(
+    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).transform(
+        map_pandas,
         run, f"doc_id {kind}, text string"
     )
 
@@ -312,4 +314,4 @@ def round_trip(
             ]
             yield batch_of(batch.column(0), rows)
 
-    return short.mapInArrow(whole, schema).unionByName(long.mapInArrow(joined, schema))
+    return short.transform(map_arrow, whole, schema).unionByName(long.transform(map_arrow, joined, schema))

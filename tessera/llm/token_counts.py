@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import map_pandas
 from tessera.llm.sentencepiece_codec import VOCABULARY
 from tessera.llm.unigram import CACHED_CHARS, CACHED_UNITS, NONE, Vocabulary, marked
 
@@ -85,4 +86,4 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id"
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, n_chars long, n_tokens long")
+    return rows.transform(map_pandas, run, f"doc_id {kind}, n_chars long, n_tokens long")

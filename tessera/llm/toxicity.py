@@ -1,10 +1,12 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-A token's score is the largest log-odds (informative Dirichlet prior) among its features: the word itself
-and its prefixes and suffixes; tokens without a significant feature get a small negative score. A
-linear-time scan finds every maximal segment of a text. Segment scores are put on the extreme-value scale
-of Karlin and Altschul, lambda * S - ln(K * n), so that long clean texts do not look toxic by chance; the
-best of a text is turned into a probability by a one-dimensional logistic fit.
+A token's score is a signed log-odds (informative Dirichlet prior) of its features, the word itself, its
+prefixes and its suffixes: the largest above zero, or the least where none is. DRIFT is taken off every token, so that clean text scores
+below zero on average, as the extreme-value law needs. A linear-time scan finds every maximal segment of a
+text. On the scale of Karlin and Altschul a segment of score S in n tokens is worth lambda * S - ln(K * n):
+lambda solves E exp(lambda * score) = 1 over the tokens of clean training texts, K is the maximum-likelihood
+estimate from their best segments. The evidence of a text adds up its significant segments by the law of the
+sum of the r best (those of a normalised score above SIGNIFICANT), and a one-dimensional logistic fit turns it into a probability.
 """
 
 from __future__ import annotations
@@ -20,23 +22,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import map_arrow, map_pandas, stage
 
 #: At most about so many labelled documents are learned from, chosen by a hash of their id.
 MAX_TRAINING_DOCS = 20_000
 PRIOR = 20.0
+#: A feature counts if its log-odds lie so many standard errors from zero.
 MIN_Z = 4.0
+#: And, above zero, if they are so large.
+MIN_ODDS = 2.0
 MAX_FEATURES = 50_000
-DRIFT = 0.25
+DRIFT = 0.5
+#: The normalised score from which a segment is added to a better one.
+SIGNIFICANT = 5.0
 AFFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 HELD_OUT = 2
-CACHED_WORDS = 400_000
+#: Words whose score a task remembers, and the length up to which it does.
+CACHED_WORDS = 100_000
+CACHED_CHARS = 32
+#: Token scores are counted in steps of 1 / STEPS where lambda is fitted.
+STEPS = 100
 WORD = re.compile(r"\w+")
 
 
 @dataclass
 class Model:
+    """weights: feature -> log-odds."""
+
     weights: dict[str, float] = field(default_factory=dict)
     scale: float = 1.0
     k: float = 0.1
@@ -63,61 +76,72 @@ class Scorer:
         self.known: dict[str, float] = {}
 
     def word(self, word: str) -> float:
-        found = max((self.weights[f] for f in features(word) if f in self.weights), default=0.0)
-        if len(self.known) < CACHED_WORDS:
-            self.known[word] = found
-        return found
-
-    def hits(self, text: str) -> tuple[int, list[tuple[int, int, int, float]]]:
-        """How many tokens the text has; (index, start, end, score) of those that score above zero."""
-        known, word, found, n = self.known, self.word, [], 0
-        lowered = text.lower()
-        for n, w in enumerate(WORD.findall(lowered), 1):
+        """The features' largest log-odds, the least where none is above zero, 0 without any; less DRIFT."""
+        found = [o for f in features(word) if (o := self.weights.get(f)) is not None]
+        most = max(found, default=0.0)
+        score = (most if most > 0 else min(found, default=0.0)) - DRIFT
+        if len(word) <= CACHED_CHARS and len(self.known) < CACHED_WORDS:
+            self.known[word] = score
+        return score
+
+    def tokens(self, text: str) -> list[float]:
+        return [s if (s := self.known.get(w)) is not None else self.word(w) for w in WORD.findall(text.lower())]
+
+    def hits(self, text: str) -> tuple[int, list[tuple[int, float, float]]]:
+        """The number of tokens, and of those above zero (index, sum of all scores before, sum with it)."""
+        known, word, found, n, total = self.known, self.word, [], 0, 0.0
+        for n, m in enumerate(WORD.finditer(text.lower()), 1):
+            w = m[0]
             score = known.get(w)
             if score is None:
                 score = word(w)
             if score > 0.0:
-                found.append((n - 1, score))
-        if not found:
-            return n, []
-        at = dict(found)
-        last = found[-1][0]
-        spans = []
-        for i, m in enumerate(WORD.finditer(lowered)):
-            if i in at:
-                spans.append((i, m.start(), m.end(), at[i]))
-            if i == last:
-                break
-        return n, spans
+                found.append((n - 1, total, total + score))
+            total += score
+        return n, found
 
 
-def segments(hits: list[tuple[int, int, int, float]]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments, (start, end, score) in characters, in linear time.
+def segments(hits: list[tuple[int, float, float]]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments as (first token, last token, score), in linear time.
 
-    Tokens between two hits score -DRIFT each; a segment begins and ends at a hit.
+    A segment begins and ends at a token above zero; those between count by the sums that hits carry.
     """
-    found: list[list] = []  # [left sum, right sum, start, end]
-    total, before = 0.0, -1
-    for index, start, end, score in hits:
-        total -= DRIFT * (index - before - 1)
-        before = index
-        current = [total, total + score, start, end]
-        total += score
+    found: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum with it
+    for index, before, after in hits:
+        first = index
         while True:
             j = len(found) - 1
-            while j >= 0 and found[j][0] >= current[0]:
+            while j >= 0 and found[j][2] >= before:
                 j -= 1
-            if j < 0 or found[j][1] >= current[1]:
-                found.append(current)
+            if j < 0 or found[j][3] >= after:
+                found.append((first, index, before, after))
                 break
-            current = [found[j][0], current[1], found[j][2], current[3]]
+            first, before = found[j][0], found[j][2]
             del found[j:]
-    return [(s, e, right - left) for left, right, s, e in found]
+    return [(a, b, after - before) for a, b, before, after in found]
 
 
-def evidence(best: float, n_tokens: int, model: Model) -> float:
+def normalised(raw: float, n_tokens: int, model: Model) -> float:
     """The extreme-value scale: above 0 a segment this good is not expected by chance in n tokens."""
-    return min(40.0, max(-20.0, model.scale * best - math.log(model.k * max(1, n_tokens))))
+    return model.scale * raw - math.log(model.k * max(1, n_tokens))
+
+
+def evidence(scores: list[float], n_tokens: int, model: Model) -> float:
+    """Minus the logarithm of the chance of the text's segments, between -20 and 40.
+
+    The best segment counts as it is. The r best of those above SIGNIFICANT together have the sum T of their normalised
+    scores, and a chance of about exp(-T) T^(r-1) / (r! (r-1)!), times 2^r for the choice of r.
+    """
+    ranked = sorted((normalised(s, n_tokens, model) for s in scores), reverse=True)
+    best = ranked[0] if ranked else normalised(0.0, n_tokens, model)
+    total = 0.0
+    for r, s in enumerate(ranked, 1):
+        if s <= SIGNIFICANT:
+            break
+        total += s
+        if r > 1 and total > r:
+            best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2))
+    return min(40.0, max(-20.0, best))
 
 
 def probability(x: float, model: Model) -> float:
@@ -130,16 +154,33 @@ def held_out(id_col: Column) -> Column:
 
 
 def _count_features(batches):
-    """(feature, toxic documents, clean documents) of one partition of the bounded training sample."""
-    toxic, clean, tokens = Counter(), Counter(), 0
+    """(feature, toxic documents, clean documents) of parts of the bounded training sample."""
+
+    def told(toxic, clean):
+        names = list(toxic | clean)
+        return pd.DataFrame({"feature": names, "n1": [toxic[f] for f in names], "n0": [clean[f] for f in names]})
+
+    toxic, clean = Counter(), Counter()
     for pdf in batches:
         for text, label in zip(pdf["text"], pdf["toxic"], strict=True):
             words = set(WORD.findall((text or "").lower()))
             (toxic if label else clean).update({f for w in words for f in features(w)})
-    names = list(toxic | clean)
-    for i in range(0, len(names), 50_000):
-        part = names[i : i + 50_000]
-        yield pd.DataFrame({"feature": part, "n1": [toxic[f] for f in part], "n0": [clean[f] for f in part]})
+            if len(toxic) + len(clean) > 200_000:
+                yield told(toxic, clean)
+                toxic, clean = Counter(), Counter()
+    if toxic or clean:
+        yield told(toxic, clean)
+
+
+def log_odds(n1: Column, n0: Column, d1: int, d0: int) -> tuple[Column, Column]:
+    """Log-odds of a feature in n1 of d1 toxic and n0 of d0 clean documents, and their standard errors from zero.
+
+    The Dirichlet prior of both classes is PRIOR documents dealt as the feature is in all of them, and 0.05.
+    """
+    prior = PRIOR * (n1 + n0) / (d1 + d0) + 0.05
+    y1, y0 = n1 + prior, n0 + prior
+    odds = F.log(y1 / (d1 + PRIOR + 0.1 - y1)) - F.log(y0 / (d0 + PRIOR + 0.1 - y0))
+    return odds, odds / F.sqrt(1 / y1 + 1 / y0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_TRAINING_DOCS) -> Model:
@@ -168,50 +209,70 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     d1, d0 = sizes.get(1, 0), sizes.get(0, 0)
     if not d1 or not d0:
         return Model()
-    counts = sample.mapInPandas(_count_features, "feature string, n1 long, n0 long").groupBy("feature").agg(
+    counts = sample.transform(map_pandas, _count_features, "feature string, n1 long, n0 long").groupBy("feature").agg(
         F.sum("n1").alias("n1"), F.sum("n0").alias("n0")
     )
-    prior = PRIOR * (F.col("n1") + F.col("n0")) / (d1 + d0) + 0.05
-    y1, y0 = F.col("n1") + prior, F.col("n0") + prior
-    odds = F.log(y1 / (d1 + PRIOR + 0.1 - y1)) - F.log(y0 / (d0 + PRIOR + 0.1 - y0))
+    odds, z = log_odds(F.col("n1"), F.col("n0"), d1, d0)
     best = (
-        counts.where("n1 >= 3")
-        .select("feature", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"))
-        .where((F.col("z") >= MIN_Z) & (F.col("odds") >= 1.0))
-        .orderBy(F.desc("z"), "feature")
+        counts.where("n1 + n0 >= 3")
+        .select("feature", odds.alias("odds"), z.alias("z"))
+        .where((F.abs("z") >= MIN_Z) & ((F.col("odds") < 0) | (F.col("odds") >= MIN_ODDS)))
+        .orderBy(F.desc(F.abs("z")), "feature")
         .limit(MAX_FEATURES)
         .collect()
     )
-    model = Model(weights={r.feature: r.odds for r in best})
-    return _calibrate(model, sample)
+    return _calibrate(Model(weights={r.feature: r.odds for r in best}), sample)
+
+
+def solve_scale(values: np.ndarray, counts: np.ndarray) -> float:
+    """The lambda above zero with E exp(lambda * value) = 1, where the mean of the values is below zero."""
+    low, high = 1e-3, 20.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        value = float((counts * np.exp(np.minimum(500.0, mid * values))).sum() / counts.sum())
+        low, high = (mid, high) if value < 1 else (low, mid)
+    return (low + high) / 2
 
 
 def _calibrate(model: Model, sample: DataFrame) -> Model:
-    """Lambda from the clean texts' token scores, then the logistic fit on the bounded sample."""
+    """lambda and K from the clean texts of the bounded sample, then the logistic fit on all of it."""
     weights = model.weights
 
+    def spread(batches):
+        """How often each token score occurs in clean texts."""
+        scorer, seen = Scorer(weights), Counter()
+        for pdf in batches:
+            for text in pdf.loc[pdf["toxic"] == 0, "text"]:
+                seen.update(round(STEPS * s) for s in scorer.tokens(text or ""))
+        yield pd.DataFrame({"step": np.array(list(seen), dtype=np.int64), "n": np.array(list(seen.values()), dtype=np.int64)})
+
     def measure(batches):
         scorer = Scorer(weights)
         for pdf in batches:
             rows = []
             for text, label in zip(pdf["text"], pdf["toxic"], strict=True):
                 n, hits = scorer.hits(text or "")
-                rows.append((label, n, max((s[2] for s in segments(hits)), default=0.0), len(hits), sum(h[3] for h in hits)))
-            yield pd.DataFrame(rows, columns=["toxic", "n", "best", "hits", "total"])
-
-    seen = sample.mapInPandas(measure, "toxic int, n long, best double, hits long, total double").toPandas()
-    clean = seen[seen.toxic == 0]
-    tokens, hits = max(1, int(clean.n.sum())), int(clean.hits.sum())
-    mean = float(clean.total.sum()) / hits if hits else (float(np.mean(list(weights.values()))) if weights else 1.0)
-    rate = (hits + 0.5) / (tokens + 1)
-    low, high = 1e-3, 20.0
-    for _ in range(80):  # sum of p(s) * exp(lambda * s) is 1
-        mid = (low + high) / 2
-        value = (1 - rate) * math.exp(-mid * DRIFT) + rate * math.exp(min(700.0, mid * mean))
-        low, high = (mid, high) if value < 1 else (low, mid)
-    model.scale = (low + high) / 2
-    x = np.array([evidence(b, n, model) for b, n in zip(seen.best, seen.n, strict=True)])
-    y = seen.toxic.to_numpy(dtype=float)
+                rows.append((label, n, [s[2] for s in segments(hits)]))
+            yield pd.DataFrame(rows, columns=["toxic", "n", "scores"])
+
+    # at most as many rows as the features have different scores
+    steps = sample.transform(map_pandas, spread, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toPandas()
+    if not len(steps) or steps.step.max() <= 0:  # no clean token is above zero: any hit is beyond chance
+        steps = pd.concat([steps, pd.DataFrame({"step": [STEPS], "n": [1]})])
+    model.scale = solve_scale(steps.step.to_numpy() / STEPS, steps.n.to_numpy(dtype=float))
+    # one row a training document
+    seen = sample.transform(map_pandas, measure, "toxic int, n long, scores array<double>").toPandas()
+    clean = seen[(seen.toxic == 0) & (seen.n > 0)]
+    if len(clean):
+        best = np.array([max(s, default=0.0) for s in clean.scores])
+        model.k = float(len(clean) / (clean.n.to_numpy() * np.exp(-model.scale * best)).sum())
+    x = np.array([evidence(list(s), n, model) for s, n in zip(seen.scores, seen.n, strict=True)])
+    model.slope, model.intercept = fit_logistic(x, seen.toxic.to_numpy(dtype=float))
+    return model
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope (above zero) and intercept by Newton steps with a small ridge."""
     w = np.zeros(2)
     design = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(50):
@@ -221,30 +282,41 @@ def _calibrate(model: Model, sample: DataFrame) -> Model:
         w += np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break
-    model.slope, model.intercept = max(1e-3, float(w[0])), float(w[1])
-    return model
+    return max(1e-3, float(w[0])), float(w[1])
+
+
+def judge(text: str | None, scorer: Scorer, model: Model) -> tuple[float, list[dict]]:
+    """The text's score, and its significant passages in characters of the lower-cased text."""
+    n, hits = scorer.hits(text or "")
+    found = segments(hits)
+    score = probability(evidence([s[2] for s in found], n, model), model)
+    told = [(a, b, x) for a, b, raw in found if (x := normalised(raw, n, model)) > 0]
+    if not told:
+        return score, []
+    starts, ends, last = {a for a, _, _ in told}, {b for _, b, _ in told}, told[-1][1]
+    start_at, end_at = {}, {}
+    for i, m in enumerate(WORD.finditer((text or "").lower())):
+        if i in starts:
+            start_at[i] = m.start()
+        if i in ends:
+            end_at[i] = m.end()
+        if i == last:
+            break
+    return score, [{"start": start_at[a], "end": end_at[b], "evidence": x} for a, b, x in told]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, n_passages, passages (start, end, evidence in characters
-    of the lower-cased text) for every segment with evidence above 0.
+    of the lower-cased text) for every segment that chance does not explain.
 
-    Null and empty texts get the score of a text without a hit; other columns are not read; repeated rows
-    are each scored; an empty table gives an empty result.
+    Null and empty texts get the score of a text without a hit; a text is read from end to end, of any length;
+    other columns are not read; repeated rows are each scored; an empty table gives an empty result.
     """
 
     def run(batches):
         scorer = Scorer(model.weights)
         for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                n, hits = scorer.hits(text or "")
-                found = segments(hits)
-                best = max((s[2] for s in found), default=0.0)
-                passages = [
-                    {"start": s, "end": e, "evidence": x} for s, e, raw in found if (x := evidence(raw, n, model)) > 0
-                ]
-                rows.append((probability(evidence(best, n, model), model), passages))
+            rows = [judge(text, scorer, model) for text in pdf["text"]]
             out = pdf[["doc_id", "held_out"]].copy()
             out["score"] = [r[0] for r in rows]
             out["predicted"] = [int(r[0] >= THRESHOLD) for r in rows]
@@ -254,7 +326,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    return rows.mapInPandas(
+    return rows.transform(
+        map_pandas,
         run,
         f"doc_id {kind}, held_out boolean, score double, predicted int, n_passages int, "
         "passages array<struct<start:int,end:int,evidence:double>>",
@@ -262,17 +335,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose score is below THRESHOLD, with all their columns."""
+    """The rows of docs whose score is below THRESHOLD, with all their columns, whatever their names.
+
+    Null and empty texts stay unless the model takes a text without a hit for toxic; repeated rows go or stay
+    together; an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
         scorer = Scorer(model.weights)
         for batch in batches:
             keep = []
-            for text in batch.column(at).to_pylist():
-                n, hits = scorer.hits(text or "")
-                best = max((s[2] for s in segments(hits)), default=0.0)
-                keep.append(probability(evidence(best, n, model), model) < THRESHOLD)
+            for text in batch.column(at):
+                n, hits = scorer.hits(text.as_py() or "")
+                keep.append(probability(evidence([s[2] for s in segments(hits)], n, model), model) < THRESHOLD)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -1,8 +1,10 @@
 """The other llm operators against brute force, rules or held-out rows."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -143,19 +145,92 @@ def test_url_model_learns_its_labels(spark):
 # toxicity
 
 
+def plain_segments(scores):
+    """All maximal segments by their definition: the best one, then the same on either side of it."""
+    best = max(((sum(scores[a:b]), -(b - a), -a, a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=None)
+    if best is None or best[0] <= 0:
+        return []
+    _, _, _, a, b = best
+    right = [(x + b, y + b, v) for x, y, v in plain_segments(scores[b:])]
+    return plain_segments(scores[:a]) + [(a, b - 1, sum(scores[a:b]))] + right
+
+
 def test_segments_equal_a_plain_search():
     rng = random.Random(4)
     for _ in range(200):
-        n = rng.randint(1, 40)
-        places = sorted(rng.sample(range(n), rng.randint(0, min(n, 8))))
-        hits = [(i, 10 * i, 10 * i + 5, rng.choice([0.3, 1.0, 4.0])) for i in places]
-        scores = [-toxicity.DRIFT] * n
-        for i, _, _, s in hits:
-            scores[i] = s
-        best = max((sum(scores[a:b]) for a in range(n) for b in range(a + 1, n + 1)), default=0)
-        found = toxicity.segments(hits)
-        assert max((s[2] for s in found), default=0.0) == pytest.approx(max(best, 0) if hits else 0.0)
-        assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+        scores = [rng.choice([-4.0, -1.0, -0.5, 0.25, 1.5, 4.0]) for _ in range(rng.randint(0, 30))]
+        total, hits = 0.0, []
+        for i, s in enumerate(scores):
+            if s > 0:
+                hits.append((i, total, total + s))
+            total += s
+        found, want = toxicity.segments(hits), plain_segments(scores)
+        assert max((f[2] for f in found), default=0.0) == max((w[2] for w in want), default=0.0)
+        assert sum(f[2] for f in found) == sum(w[2] for w in want)
+        assert all(x[1] < y[0] for x, y in zip(found, found[1:], strict=False))
+        assert all(f[2] == sum(scores[f[0] : f[1] + 1]) for f in found)
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    """Odds, lambda, K, evidence and score of a small corpus, each from its formula."""
+    rng = random.Random(9)
+    clean_words, toxic_words = [f"wort{i}" for i in range(30)], ["nasty", "vile", "scum", "rot"]
+    rows = []
+    for i in range(400):
+        words = rng.choices(clean_words, k=rng.randint(3, 60))
+        if i % 4 == 0 or i % 37 == 0:  # some clean texts have one such word
+            at = rng.randint(0, len(words))
+            words[at:at] = rng.choices(toxic_words, k=rng.randint(2, 5) if i % 4 == 0 else 1)
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    d = [sum(r[2] == y for r in train) for y in (0, 1)]
+    n = ({}, {})
+    for _, text, y in train:
+        for f in {f for w in text.split() for f in toxicity.features(w)}:
+            n[y][f] = n[y].get(f, 0) + 1
+    weights = {}
+    for f in {*n[0], *n[1]}:
+        n0, n1 = n[0].get(f, 0), n[1].get(f, 0)
+        prior = toxicity.PRIOR * (n0 + n1) / sum(d) + 0.05
+        y0, y1 = n0 + prior, n1 + prior
+        odds = math.log(y1 / (d[1] + toxicity.PRIOR + 0.1 - y1)) - math.log(y0 / (d[0] + toxicity.PRIOR + 0.1 - y0))
+        z = odds / math.sqrt(1 / y1 + 1 / y0)
+        if n0 + n1 >= 3 and abs(z) >= toxicity.MIN_Z and (odds < 0 or odds >= toxicity.MIN_ODDS):
+            weights[f] = odds
+    assert model.weights == pytest.approx(weights) and any(o > 0 for o in weights.values())
+
+    def token(word):
+        odds = [weights[f] for f in toxicity.features(word) if f in weights]
+        return (max(odds) if max(odds, default=0) > 0 else min(odds, default=0.0)) - toxicity.DRIFT
+
+    scored = {i: [token(w) for w in text.split()] for i, text, _ in rows}
+    pool = [s for i, _, y in train if y == 0 for s in scored[i]]
+    assert sum(math.exp(model.scale * s) for s in pool) / len(pool) == pytest.approx(1, abs=0.02)
+    best = {i: max((x[2] for x in plain_segments(s)), default=0.0) for i, s in scored.items()}
+    chance = [len(scored[i]) * math.exp(-model.scale * best[i]) for i, _, y in train if y == 0]
+    assert model.k == pytest.approx(len(chance) / sum(chance), rel=1e-6)
+    found = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, text, _ in rows:
+        values = [model.scale * x[2] - math.log(model.k * len(text.split())) for x in plain_segments(scored[i])] or [-math.log(model.k * len(text.split()))]
+        values.sort(reverse=True)
+        say = values[0]
+        for r in range(2, len(values) + 1):
+            if values[r - 1] <= toxicity.SIGNIFICANT:
+                break
+            t = sum(values[:r])
+            if t > r:
+                say = max(say, -math.log(2**r * math.exp(-t) * t ** (r - 1) / (math.factorial(r) * math.factorial(r - 1))))
+        say = max(-20, min(40, say))
+        assert found[i].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, model.slope * say + model.intercept)))), rel=1e-6)
+        assert found[i].predicted == int(found[i].score >= 0.3)
+        for p in found[i].passages:
+            assert text[p.start : p.end].split() and p.evidence > 0
+    stay = {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()}
+    assert stay == {i for i, r in found.items() if not r.predicted}
 
 
 def test_toxicity_on_held_out_rows(spark):
