@@ -28,11 +28,11 @@ from tessera.llm.common import map_arrow, map_pandas, stage
 MAX_TRAINING_DOCS = 20_000
 PRIOR = 20.0
 #: A feature counts if its log-odds lie so many standard errors from zero.
-MIN_Z = 4.0
+MIN_Z = 3.0
 #: And, above zero, if they are so large.
 MIN_ODDS = 2.0
 MAX_FEATURES = 50_000
-DRIFT = 0.5
+DRIFT = 1.0
 #: The normalised score from which a segment is added to a better one.
 SIGNIFICANT = 5.0
 AFFIXES = (3, 4, 5, 6)
