@@ -1,19 +1,21 @@
 """Removal of repeated byte spans: depth-limited radix sorting of suffixes.
 
 A suffix matters only through its first DEPTH bytes. Documents that equal an earlier one in full are settled
-by their hash. For the others:
-
-1. The first pass puts suffixes into groups by an anchor. Of every DEPTH bytes the anchor is the run of GRAM
-   bytes in them with the smallest hash: equal windows have equal anchors at equal places, and about one byte
-   in 35 starts an anchor. Anchors that occur once end here, and with them every suffix under them.
-2. The surviving anchors' surroundings are fetched. Within an anchor's group further passes refine the
-   suffixes by one digit (a quarter of DEPTH) after another, most significant first, and drop those that are
-   alone; groups that are left after the last digit are exactly the repeated windows. All but the first
-   member of each are marked.
+by their SHA-256. For the others:
+
+1. The first pass deals suffixes out by an anchor. Of every DEPTH bytes the anchor is the run of GRAM bytes in
+   them with the smallest hash: equal windows have equal anchors at equal places, and about one byte in 35
+   starts an anchor. Anchors that occur once end here, and with them every suffix under them.
+2. The surviving anchors' surroundings are fetched. Within a group what follows the anchor and, backwards, what
+   precedes it are put in order by most-significant-digit passes over digits of eight bytes; a pass touches
+   only what the digits before have left tied. A suffix that begins some bytes before the anchor is as far to
+   the left and the rest of DEPTH to the right of it, so that two neighbours in the order agree in it if they
+   share that many bytes: equal groups are exactly the repeated windows. All but the first member of each are
+   marked. Bytes decide; hashes only deal out.
 
 An anchor with very many places (a passage that a large share of all documents holds) would make a group too
-large for one task: its suffixes are keyed by their whole window instead, and the first place of each is
-found by an aggregation that combines before it shuffles.
+large for one task. Its suffixes are dealt out by all their digits at once instead, in an aggregation that
+combines before it shuffles and keeps the first place of each.
 """
 
 from __future__ import annotations
@@ -26,20 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, map_arrow, stage, text_keys, text_sha
-from tessera.llm.shingles import _BASE, _BYTE, _INVERSE, Powers, mix, powers, text_slices
+from tessera.llm.shingles import _BASE, _BYTE, SLICE_BYTES, Powers, mix, text_slices
 
 DEPTH = 100
 GRAM = 32
-#: A group of more places is keyed by whole windows.
-LARGE = 20_000
+#: The suffixes of a group of more places are dealt out by all their digits.
+LARGE = 4096
 #: So many contexts are settled at a time, or one group.
 FLUSH = 8000
 #: So many places of an anchor in one batch make it a large group at once, dealt over SALTS keys.
-LOCAL = 1024
+LOCAL = 256
 SALTS = 64
-DIGITS = 4
-#: Rows of one batch of contexts.
-PACK = 50_000
+#: Bytes of a digit.
+DIGIT = 8
+#: Rows of one batch of contexts or windows.
+PACK = 20_000
 _ZERO = np.uint64(0)
 
 
@@ -75,6 +78,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, depth: int, memory: Powers) -
     return chosen, grams[chosen]
 
 
+def text_anchors(data: np.ndarray, depth: int, memory: Powers, most: int = SLICE_BYTES):
+    """anchors of one text of any length, a bounded part at a time: whether a place is one depends on DEPTH bytes around."""
+    margin = 2 * depth
+    for start in range(0, max(1, len(data)), most):
+        low = max(0, start - margin)
+        part = data[low : start + most + margin]
+        at, h = anchors(part, np.array([0, len(part)]), depth, memory)
+        at = at + low
+        inside = (at >= start) & (at < start + most)
+        yield at[inside], h[inside]
+
+
 def _anchors(depth: int, local: int):
     def run(batches):
         memory = Powers()
@@ -82,6 +97,12 @@ def _anchors(depth: int, local: int):
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
             hashes, owners, places = [], [], []
             for start, offsets, data in text_slices(batch.column(1)):
+                if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES:
+                    for at, h in text_anchors(data, depth, memory):
+                        hashes.append(h.view(np.int64))
+                        owners.append(np.full(len(at), nodes[start]))
+                        places.append(at.astype(np.int32))
+                    continue
                 at, h = anchors(data, offsets, depth, memory)
                 row = np.searchsorted(offsets, at, side="right") - 1
                 hashes.append(h.view(np.int64))
@@ -152,100 +173,196 @@ def _repeated(most: int):
 
 
 def _contexts(depth: int):
-    """What surrounds each anchor, padded to one length; windows of large groups as (hash, start) instead."""
+    """What surrounds each anchor, padded to one length; of large groups the windows around it, each with its start."""
     left = depth - min(GRAM, depth)
 
     def run(batches):
-        memory = Powers()
         for batch in batches:
-            out = []
+            out, rows = [], 0
             for node, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                rows = found.values
-                pos, h, large = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                padded = np.concatenate([np.zeros(left, np.uint8), data, np.zeros(depth, np.uint8)])
-                small = np.flatnonzero(~large)
-                if len(small):
-                    at = pos[small]
-                    block = padded[at[:, None] + np.arange(left + depth)[None, :]]
-                    out.append((False, node, h[small], at, np.minimum(at, left), np.minimum(len(data) - at, depth), block))
-                if len(small) < len(pos):
-                    starts = _window_starts(pos[large], len(data), depth)
-                    n = len(data)
-                    memory.to(n + 1)
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * memory.up[:n], dtype=np.uint64)])
-                    key = mix((total[starts + depth] - total[starts]) * memory.down[starts]).view(np.int64)
-                    none = np.zeros(len(starts), dtype=np.int64)
-                    out.append((True, node, key, starts, none, none, None))
-                if sum(len(p[3]) for p in out) > PACK:
-                    yield from _packed(out, left + depth)
-                    out = []
-            yield from _packed(out, left + depth)
+                held = found.values
+                pos, h, large = (held.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                for part in _around(node, data, pos, h, large, left, depth):
+                    out.append(part)
+                    rows += len(part[3])
+                    if rows > PACK:
+                        yield _packed(out)
+                        out, rows = [], 0
+            if out:
+                yield _packed(out)
 
     return run
 
 
-def _window_starts(pos: np.ndarray, n: int, depth: int) -> np.ndarray:
-    """The starts of all windows around the places, within n bytes."""
+def _around(node, data, pos, h, large, left: int, depth: int):
+    """Parts (large, node, key, places, before, after, bytes of each) of one text, bounded each."""
+    at, key = pos[~large].astype(np.int64), h[~large]
+    by = np.argsort(at, kind="stable")
+    at, key = at[by], key[by]
+    for i in range(0, len(at), PACK):
+        p = at[i : i + PACK]
+        low, high = max(0, int(p[0]) - left), int(p[-1]) + depth
+        near = np.concatenate([np.zeros(left, np.uint8), data[low:high], np.zeros(left + depth, np.uint8)])
+        before, after = np.minimum(p, left), np.minimum(len(data) - p, depth)
+        block = near[(p - low)[:, None] + np.arange(left + depth)[None, :]]
+        yield False, node, key[i : i + PACK], p, before, after, block
+    for starts in _window_starts(pos[large], len(data), depth):
+        none = np.zeros(len(starts), dtype=np.int64)
+        yield True, node, none, starts, none, none, data[starts[:, None] + np.arange(depth)[None, :]]
+
+
+def _window_starts(pos: np.ndarray, n: int, depth: int):
+    """The starts of all windows around the places, within n bytes, in parts."""
     left = depth - min(GRAM, depth)
-    starts = np.unique((pos.astype(np.int64)[:, None] - np.arange(left + 1)[None, :]).ravel())
-    return starts[(starts >= 0) & (starts + depth <= n)]
+    step = max(1, PACK // (left + 1))
+    pos, done = np.sort(pos.astype(np.int64)), -1
+    for i in range(0, len(pos), step):
+        starts = np.unique((pos[i : i + step, None] - np.arange(left + 1)[None, :]).ravel())
+        starts = starts[(starts > done) & (starts >= 0) & (starts + depth <= n)]
+        if len(starts):
+            done = int(starts[-1])
+            yield starts
 
 
-def _packed(parts, width: int):
-    if not parts:
-        return
+def _packed(parts):
     rows = [len(p[3]) for p in parts]
-    blob, lengths = [], []
-    for p in parts:
-        if p[6] is None:
-            lengths.append(np.zeros(len(p[3]), dtype=np.int64))
-        else:
-            blob.append(p[6].ravel())
-            lengths.append(np.full(len(p[3]), width, dtype=np.int64))
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
-    data = np.concatenate(blob) if blob else np.zeros(0, dtype=np.uint8)
-    binary = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-    yield pa.RecordBatch.from_arrays(
+    lengths = np.repeat([p[6].shape[1] for p in parts], rows)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    data = np.concatenate([p[6].ravel() for p in parts])
+    return pa.RecordBatch.from_arrays(
         [
             pa.array(np.repeat([p[0] for p in parts], rows)),
             pa.array(np.repeat(np.array([p[1] for p in parts], dtype=np.int64), rows)),
             pa.array(np.concatenate([p[2] for p in parts])),
             *[pa.array(np.concatenate([p[i] for p in parts]).astype(np.int32)) for i in (3, 4, 5)],
-            binary.cast(pa.binary()),
+            pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
         ],
         names=["large", "node", "key", "pos", "before", "after", "context"],
     )
 
 
+def digits(block: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of numbers of DIGIT bytes that compare as the bytes do; zeros fill the last."""
+    rows, width = block.shape
+    full = np.zeros((rows, -(-width // DIGIT) * DIGIT), dtype=np.uint8)
+    full[:, :width] = block
+    return full.view(">u8").astype(np.uint64)
+
+
+def _same_bytes(x: np.ndarray) -> np.ndarray:
+    """How many leading bytes of numbers other than 0, taken as DIGIT bytes, are 0."""
+    out = np.zeros(len(x), dtype=np.int64)
+    for b in range(1, DIGIT):
+        out += x < np.uint64(1 << (8 * (DIGIT - b)))
+    return out
+
+
+def radix_order(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their digits within their groups, and how many bytes each shares with the row before.
+
+    group is sorted. Most significant digit first: a pass sorts the classes that its digit splits and drops the
+    members that are alone from then on. A group's first row shares nothing.
+    """
+    n, k = words.shape
+    order, shared = np.arange(n), np.zeros(n, dtype=np.int64)
+    live, held = np.arange(n), group.astype(np.int64)
+    for d in range(k + 1):
+        tied = held[1:] == held[:-1]
+        keep = np.zeros(len(live), dtype=bool)
+        keep[1:] |= tied
+        keep[:-1] |= tied
+        live, held = live[keep], held[keep]
+        tied = held[1:] == held[:-1]
+        if d == k or not len(live):
+            shared[live[1:][tied]] = k * DIGIT
+            break
+        digit = words[order[live], d]
+        differ = tied & (digit[1:] != digit[:-1])
+        if not differ.any():
+            continue
+        mixed = np.isin(held, held[1:][differ])
+        rows = order[live[mixed]]
+        sub = np.lexsort((digit[mixed], held[mixed]))
+        order[live[mixed]] = rows[sub]
+        digit[mixed] = digit[mixed][sub]
+        split = tied & (digit[1:] != digit[:-1])
+        shared[live[1:][split]] = d * DIGIT + _same_bytes(digit[1:][split] ^ digit[:-1][split])
+        held = np.cumsum(np.concatenate([[True], ~tied | split]))
+    return order, shared
+
+
 def later_windows(group, order, before, after, context, depth: int) -> np.ndarray:
-    """For each row and window around its anchor, whether an earlier row of the group has the same window.
+    """For each row and window around its anchor, whether a row of the group of a smaller order has the same window.
 
-    Most-significant-digit passes: each splits the groups of the windows left by their next digit and drops
-    those that are alone. Rows come sorted by group and order.
+    Rows come sorted by group and order. A window that begins a bytes before the anchor is equal in two rows if
+    they agree in a bytes to the left of the anchor and in depth - a bytes to the right.
     """
     left = depth - min(GRAM, depth)
     rows = len(group)
-    total = np.zeros((rows, left + depth + 1), dtype=np.uint64)
-    np.cumsum(_BYTE[context] * powers(_BASE, left + depth)[None, :], axis=1, dtype=np.uint64, out=total[:, 1:])
-    down = powers(_INVERSE, left + 1)
     column = np.arange(left + 1)
     valid = (column[None, :] >= left - before[:, None]) & (column[None, :] + depth <= left + after[:, None])
-    r, c = np.nonzero(valid)
-    member = group[r].astype(np.int64) * (left + 1) + c
-    bounds = [depth * d // DIGITS for d in range(DIGITS + 1)]
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        if not len(r):
-            break
-        digit = mix((total[r, c + b] - total[r, c + a]) * down[c])
-        _, member = np.unique(mix(digit ^ mix(member.view(np.uint64))), return_inverse=True)
-        alone = np.bincount(member)[member] == 1
-        r, c, member = r[~alone], c[~alone], member[~alone]
     later = np.zeros((rows, left + 1), dtype=bool)
-    if len(r):
-        first = np.full(member.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, member, order[r])
-        later[r, c] = order[r] > first[member]
+    # rows that equal one before in all bytes have all its windows
+    whole = digits(context)
+    spread = np.arange(1, 2 * whole.shape[1], 2, dtype=np.uint64) * np.uint64(_BASE)
+    h = mix((mix(whole) * spread[None, :]).sum(axis=1, dtype=np.uint64) + before.astype(np.uint64) * np.uint64(257) + after.astype(np.uint64))
+    by = np.lexsort((h, group))
+    same = (group[by[1:]] == group[by[:-1]]) & (h[by[1:]] == h[by[:-1]])
+    at = np.flatnonzero(same)
+    x, y = by[at + 1], by[at]
+    same[at] = (whole[x] == whole[y]).all(axis=1) & (before[x] == before[y]) & (after[x] == after[y])
+    run = np.concatenate([[0], np.cumsum(~same)])
+    head = by[np.flatnonzero(np.concatenate([[True], ~same]))][run]  # lexsort is stable: the first of equals leads
+    copy = np.zeros(rows, dtype=bool)
+    copy[by] = by != head
+    leader = np.empty(rows, dtype=np.int64)
+    leader[by] = head
+    c = np.flatnonzero(copy)
+    later[c] = valid[c] & (order[c] > order[leader[c]])[:, None]
+
+    own = np.flatnonzero(~copy)
+    if len(own):
+        _, start, size = np.unique(group[own], return_index=True, return_counts=True)
+        first = own[start[size == 2]]
+        second = own[start[size == 2] + 1]
+        later[second] |= _pairs(context, valid, first, second, left, depth) & (order[first] < order[second])[:, None]
+        many = np.repeat(size > 2, size)
+        own = own[many]
+        if len(own):
+            later[own] |= _classes(group[own], order[own], valid[own], context[own], left, depth)
+    return later
+
+
+def _pairs(context, valid, x, y, left: int, depth: int) -> np.ndarray:
+    """Which windows of the rows x and y agree, pair by pair."""
+    differ = context[x] != context[y]
+    before = np.where(differ[:, :left].any(axis=1), np.argmax(differ[:, left - 1 :: -1][:, :left], axis=1), left) if left else np.zeros(len(x), int)
+    right = differ[:, left:]
+    after = np.where(right.any(axis=1), np.argmax(right, axis=1), depth)
+    column = np.arange(left + 1)[None, :]
+    return (left - column <= before[:, None]) & (depth - left + column <= after[:, None]) & valid[x] & valid[y]
+
+
+def _classes(group, order, valid, context, left: int, depth: int) -> np.ndarray:
+    """later_windows for groups of any number of rows, by the order of both sides of the anchor."""
+    n = len(group)
+    after, shared_after = radix_order(group, digits(context[:, left:]))
+    before, shared_before = radix_order(group, digits(context[:, :left][:, ::-1])) if left else (np.arange(n), np.zeros(n, dtype=np.int64))
+    head = np.concatenate([[True], group[1:] != group[:-1]])
+    later = np.zeros((n, left + 1), dtype=bool)
+    of_after, of_before = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    for c in range(left + 1):
+        of_after[after] = np.cumsum(shared_after < depth - left + c)
+        of_before[before] = np.cumsum(head | (shared_before < left - c))
+        rows = np.flatnonzero(valid[:, c])
+        member = of_after[rows] * (n + 1) + of_before[rows]
+        by = np.argsort(member, kind="stable")
+        tied = np.concatenate([[False], member[by[1:]] == member[by[:-1]]])
+        if not tied.any():
+            continue
+        lead = np.maximum.accumulate(np.where(tied, 0, np.arange(len(by))))
+        later[rows[by], c] = tied & (order[rows[by]] > order[rows[by[lead]]])
     return later
 
 
@@ -288,21 +405,28 @@ def _cut(depth: int):
     """Removed bytes, spans and the hash of what is left, of each text with its marks."""
     left = depth - min(GRAM, depth)
 
-    def removed(data: np.ndarray, marks) -> np.ndarray:
-        n = len(data)
-        starts = np.zeros(n + 1, dtype=np.int32)
-        kind, pos = marks.field(0).to_numpy(zero_copy_only=False), marks.field(1).to_numpy(zero_copy_only=False)
-        masks = marks.field(2).filter(pa.array(kind == 0)).to_pylist()
-        if masks:
-            bits = np.unpackbits(np.frombuffer(b"".join(masks), dtype=np.uint8).reshape(len(masks), -1), axis=1)[:, : left + 1]
-            r, c = np.nonzero(bits)
-            starts[pos[kind == 0][r].astype(np.int64) - left + c] = 1
+    def removed(n: int, marks) -> np.ndarray:
+        """Which of n bytes a marked window covers."""
+        begins = np.zeros(n + 1, dtype=bool)
+        kind, pos = marks.field(0).to_numpy(zero_copy_only=False), marks.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        masks, at = marks.field(2).filter(pa.array(kind == 0)), pos[kind == 0]
+        for i in range(0, len(at), PACK):
+            raw = np.frombuffer(b"".join(masks[i : i + PACK].to_pylist()), dtype=np.uint8)
+            r, c = np.nonzero(np.unpackbits(raw.reshape(len(at[i : i + PACK]), -1), axis=1)[:, : left + 1])
+            begins[at[i : i + PACK][r] - left + c] = True
         if (kind == 1).any():
-            around = _window_starts(pos[kind == 1], n, depth)
-            starts[np.setdiff1d(around, pos[kind == 2])] = 1
-        total = np.cumsum(starts[:n])
-        total[depth:] -= total[:-depth].copy()
-        return total > 0
+            around = np.zeros(n + 1, dtype=bool)
+            for starts in _window_starts(pos[kind == 1], n, depth):
+                around[starts] = True
+            around[pos[kind == 2]] = False
+            begins |= around
+        at = np.flatnonzero(begins)
+        gone = np.zeros(n + 1, dtype=np.int8)
+        if len(at):  # runs of windows that overlap or touch
+            new = np.concatenate([[True], at[1:] - at[:-1] > depth])
+            gone[at[new]] = 1
+            gone[at[np.concatenate([new[1:], [True]])] + depth] -= 1
+        return np.cumsum(gone[:n], dtype=np.int8).view(bool)
 
     def run(batches):
         for batch in batches:
@@ -314,7 +438,7 @@ def _cut(depth: int):
                 if copy:
                     gone = np.ones(len(data), dtype=bool)
                 elif marks.is_valid and len(marks.values):
-                    gone = removed(data, marks.values)
+                    gone = removed(len(data), marks.values)
                 n_bytes.append(len(raw))
                 n_removed.append(0 if gone is None else int(gone.sum()))
                 n_spans.append(0 if gone is None or not len(gone) else int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
@@ -382,7 +506,7 @@ def remove_repeats(
     none = F.lit(None).cast("binary").alias("mask")
     first_places = (
         contexts.where("large")
-        .groupBy("key")
+        .groupBy("context")
         .agg(F.min(F.struct("node", "pos")).alias("first"))
         .select("first.node", F.lit(2).alias("kind"), "first.pos", none)
     )

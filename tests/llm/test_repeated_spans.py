@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tessera.llm import repeated_spans
@@ -70,3 +71,53 @@ def test_every_text_of_a_null_or_repeated_id_is_searched(spark):
     found = sorted((tuple(r) for r in repeated_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
     assert found == brute(rows, repeated_spans.DEPTH)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_radix_order_is_the_order_of_the_bytes(seed):
+    rng = np.random.default_rng(seed)
+    for width in (1, 8, 13, 100):
+        block = rng.integers(0, 2, (60, width), dtype=np.uint8) * rng.integers(1, 255, dtype=np.uint8)
+        block[20:40, : width * 3 // 4] = block[20, : width * 3 // 4]
+        group = np.sort(rng.integers(0, 5, 60))
+        order, shared = repeated_spans.radix_order(group, repeated_spans.digits(block))
+        rows = [(group[i], block[i].tobytes()) for i in order]
+        assert rows == sorted((g, b.tobytes()) for g, b in zip(group, block, strict=True))
+        for i in range(1, 60):
+            (g, x), (h, y) = rows[i - 1], rows[i]
+            same = next((k for k, (a, b) in enumerate(zip(x, y, strict=True)) if a != b), width)
+            assert min(shared[i], width) == (same if g == h else 0)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_later_windows_equal_a_dictionary(seed):
+    """Groups of one, two and many rows, with copies, zero bytes and text ends near the anchor."""
+    rng = np.random.default_rng(seed)
+    depth, left = 40, 8
+    context = np.where(rng.random((120, left + depth)) < 0.04, rng.integers(0, 3, (120, left + depth)), 1).astype(np.uint8)
+    context[60:90] = context[rng.integers(0, 60, 30)]
+    group = np.sort(rng.integers(0, 40, 120))
+    order = np.arange(120)
+    before, after = np.where(rng.random(120) < 0.2, rng.integers(0, left, 120), left), np.where(rng.random(120) < 0.2, rng.integers(32, depth, 120), depth)
+    for i in range(120):
+        context[i, : left - before[i]] = 0
+        context[i, left + after[i] :] = 0
+    found = repeated_spans.later_windows(group, order, before, after, context, depth)
+    seen, want = set(), np.zeros_like(found)
+    for i in range(120):
+        for c in range(left + 1):
+            if c >= left - before[i] and c + depth <= left + after[i]:
+                key = (group[i], c, context[i, c : c + depth].tobytes())
+                want[i, c] = key in seen
+                seen.add(key)
+    assert (found == want).all()
+
+
+def test_parts_of_a_long_text_have_its_anchors():
+    from tessera.llm.shingles import Powers
+
+    data = np.random.default_rng(3).integers(97, 100, 30_000).astype(np.uint8)
+    whole = repeated_spans.anchors(data, np.array([0, len(data)]), 100, Powers())
+    parts = list(repeated_spans.text_anchors(data, 100, Powers(), most=1000))
+    assert (np.concatenate([p[0] for p in parts]) == whole[0]).all()
+    assert (np.concatenate([p[1] for p in parts]) == whole[1]).all()
