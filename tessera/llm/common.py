@@ -129,3 +129,26 @@ def text_keys(digests: DataFrame) -> DataFrame | None:
     within = F.row_number().over(Window.partitionBy("range").orderBy("doc", "sha"))
     numbered = ranged.join(F.broadcast(counts.select("range", before.alias("before"))), "range")
     return stage(numbered.select("doc", "sha", (within + F.col("before")).cast("long").alias("node")), "text-keys")
+
+
+#: A key is dealt over several tasks from so many rows on, or from an eighth of an average partition.
+HOT_ROWS = 1024
+
+
+def join_lists(left: DataFrame, right: DataFrame, key: list[str], by: str, size: str = "m") -> DataFrame:
+    """left joined with right, one row a key that tells in size how many rows of left the key has (or more).
+
+    The rows of a large key are dealt over tasks by a hash of the column by, each with a copy of its right row.
+    Only the large keys are broadcast, fewer than eight a shuffle partition: each has an eighth of the rows that
+    a partition has on average, or more.
+    """
+    parts, salt = fresh([*left.columns, *right.columns], "parts", "salt")
+    total = right.agg(F.sum(size)).first()[0] or 0
+    share = max(HOT_ROWS, total // (8 * shuffle_partitions(left.sparkSession)))
+    split = F.ceil(F.col(size) / share).cast("int")
+    large = right.where(F.col(size) > share).select(*key, split.alias(parts))
+    dealt = left.join(F.broadcast(large), key, "left").withColumn(
+        salt, F.when(F.col(parts).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.col(parts)).cast("int"))
+    )
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(F.col(size) > share, split).otherwise(1) - 1)))
+    return dealt.drop(parts).join(copies, [*key, salt]).drop(salt)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, map_arrow, map_pandas, stage
+from tessera.llm.common import NULL_ID, join_lists, map_arrow, map_pandas, stage
 from tessera.llm.components import components
 from tessera.llm.shingles import Powers, mix, sets
 
@@ -37,6 +37,8 @@ SKETCH = 64
 #: Lists of more members go through the prefix filter, with sketches of so many values.
 LONG = 32
 CROWD = 512
+#: Pairs across components that one task forms of one list, about.
+BLOCK = 1 << 18
 #: Size classes within the threshold's ratio of sizes.
 FINE = 4
 #: 64-bit words of a parity sketch: every value of a set flips one bit, so that the sketches of two sets differ
@@ -189,18 +191,29 @@ def _across(lists: DataFrame, percent: int, key: list[str], once) -> DataFrame:
 
     once(x, y) tells whether this list is the one that emits the pair of the columns prefixed so.
     """
-    parts = lists.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("m"))
-    major = parts.groupBy(*key).agg(
-        F.max_by("component", F.struct("m", "component")).alias("major"), F.count(F.lit(1)).alias("parts")
+    parts = lists.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = (
+        parts.groupBy(*key)
+        .agg(
+            F.max_by("component", F.struct("size", "component")).alias("major"),
+            (F.sum("size") - F.max("size")).alias("minors"),
+            F.sum("size").alias("members"),
+            F.count(F.lit(1)).alias("parts"),
+        )
+        .where("parts > 1")
+        .withColumn("blocks", F.ceil(F.col("minors") * F.col("members") / BLOCK).cast("int"))
+        .drop("parts", "minors")
     )
-    mixed = lists.join(major.where("parts > 1").drop("parts"), key)
+    mixed = join_lists(lists, stage(mixed, "mixed"), key, "node", "members")
     rest = [c for c in lists.columns if c not in key]
 
-    def named(rows, side):
-        return rows.select(*key, *[F.col(c).alias(f"{side}_{c}") for c in rest])
+    def named(rows, side, block):
+        return rows.select(*key, block.alias("block"), *[F.col(c).alias(f"{side}_{c}") for c in rest])
 
-    minor = named(mixed.where("component <> major"), "x")
-    found = minor.join(named(mixed, "y"), key).where((F.col("x_component") != F.col("y_component")) & _fits("x_n", "y_n", percent))
+    # the pairs of a list are dealt out in blocks: some of the members outside with all
+    minor = named(mixed.where("component <> major"), "x", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = named(mixed, "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    found = minor.join(every, [*key, "block"]).where((F.col("x_component") != F.col("y_component")) & _fits("x_n", "y_n", percent))
     return found.where(once("x", "y")).select(*_ordered("x_node", "y_node")).distinct()
 
 
@@ -241,7 +254,7 @@ def _crossing(crowded: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     )
     often = tokens.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     common = (
-        tokens.join(often, "value")
+        join_lists(tokens, stage(often, "often"), ["value"], "node", "often")
         .groupBy("node", "component", "n")
         .agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("common"), F.first("parity").alias("parity"))
     )
@@ -285,9 +298,10 @@ def _crossing(crowded: DataFrame, full: DataFrame, percent: int) -> DataFrame:
         return mixed & near & ~F.arrays_overlap(F.col(f"{x}_before"), F.col(f"{y}_before"))
 
     # lists for two classes are of use only if both are there
-    both = lists.groupBy("value", "low", "high").agg(F.min("own").alias("o0"), F.max("own").alias("o1"))
-    both = both.where("low = high or o0 <> o1").select("value", "low", "high")
-    return _across(lists.join(both, ["value", "low", "high"]), percent, ["value", "low", "high"], once)
+    key = ["value", "low", "high"]
+    both = lists.groupBy(*key).agg(F.min("own").alias("o0"), F.max("own").alias("o1"), F.count(F.lit(1)).alias("m"))
+    both = stage(both.where("m > 1 and (low = high or o0 <> o1)").select(*key, "m"), "rare-keys")
+    return _across(stage(join_lists(lists, both, key, "node").drop("m"), "rare-shared"), percent, key, once)
 
 
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,16 +326,20 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         _lists(classes.select("node", "n", F.explode(F.slice("sketch", 1, INDEX)).alias("value")), percent), "lists"
     )
     key = ["value", "size_class"]
-    sizes = lists.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = stage(lists.join(sizes, key), "shared")
+    sizes = stage(lists.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+    shared = stage(join_lists(lists, sizes, key, "node"), "shared")
     central = shared.groupBy("node").agg(F.sum("m").alias("weight"))
     ends = (
         shared.join(central, "node")
         .groupBy(*key)
-        .agg(F.min(F.struct("node", "n")).alias("low"), F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("centre"))
+        .agg(
+            F.min(F.struct("node", "n")).alias("low"),
+            F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("centre"),
+            F.count(F.lit(1)).alias("m"),
+        )
     )
     first = (
-        shared.join(ends, key)
+        join_lists(shared.drop("m"), stage(ends, "ends"), key, "node")
         .select("node", "n", F.explode(F.array("low", "centre")).alias("end"))
         .where("node <> end.node")
         .select("node", F.col("n").alias("na"), F.col("end.node").alias("other"), F.col("end.n").alias("nb"))
@@ -346,11 +364,12 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     short = _sift(short, sketches, percent)
     # members of long lists that hold more than one component
     long = here.where(F.col("m") > LONG)
-    open_lists = long.groupBy(*key).agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    open_lists = long.groupBy(*key).agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("m").alias("m"))
+    open_lists = stage(open_lists.where("c0 <> c1").select(*key, "m"), "open-lists")
     # a pair that meets in no short list shares so many values of long ones
     many = F.least(F.lit(least_shared(INDEX, percent)), F.ceil(F.col("n") * percent / 100))
     often_in = long.groupBy("node", "n").agg(F.countDistinct("value").alias("v")).where(F.col("v") >= many).select("node")
-    crowded = long.join(open_lists.select(*key), key, "left_semi").select("node", "component").distinct()
+    crowded = join_lists(long.drop("m"), open_lists, key, "node").select("node", "component").distinct()
     crowded = stage(crowded.join(often_in, "node", "left_semi"), "crowded")
     wanted = _nodes(short).unionByName(crowded.select("node")).distinct().join(full.select("node"), "node", "left_anti")
     full = full.unionByName(_full_sets(rows, wanted, words))

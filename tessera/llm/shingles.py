@@ -61,6 +61,63 @@ def text_slices(texts: pa.Array, most: int = SLICE_BYTES):
         start = stop
 
 
+def _long_words(data: np.ndarray, memory: Powers, most: int):
+    """The word hashes of one text of any length, a bounded part at a time; a word may go on over parts."""
+    memory.to(most + 1)
+    open_sum, open_len = np.zeros(1, dtype=np.uint64), 0
+    for start in range(0, len(data), most):
+        low = _LOWER[data[start : start + most]]
+        inside, n = ~_SPACE[low], len(low)
+        begins = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
+        ends = np.flatnonzero(inside & np.concatenate([~inside[1:], [True]])) + 1
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[low] * memory.up[:n], dtype=np.uint64)])
+        sums, lengths = (total[ends] - total[begins]) * memory.down[begins], (ends - begins).astype(np.uint64)
+        if open_len:
+            if len(begins) and begins[0] == 0:
+                sums[:1] = open_sum + sums[:1] * np.uint64(pow(_BASE, open_len, 1 << 64))
+                lengths[0] += np.uint64(open_len)
+            else:
+                sums, lengths = np.concatenate([open_sum, sums]), np.concatenate([np.array([open_len], dtype=np.uint64), lengths])
+            open_len = 0
+        if len(ends) and ends[-1] == n:
+            open_sum, open_len = sums[-1:], int(lengths[-1])
+            sums, lengths = sums[:-1], lengths[:-1]
+        yield mix(sums + lengths)
+    if open_len:
+        yield mix(open_sum + np.uint64(open_len))
+
+
+def _shingles(word: np.ndarray, words: int) -> np.ndarray:
+    window = np.zeros(max(0, len(word) - words + 1), dtype=np.uint64)
+    for j in range(words):
+        window = window * np.uint64(_BASE) + word[j : j + len(window)]
+    return mix(window).view(np.int64)
+
+
+def _few(word: np.ndarray) -> np.ndarray:
+    """The one shingle of fewer words than a shingle has, none of no word."""
+    if not len(word):
+        return np.zeros(0, dtype=np.int64)
+    h = np.zeros(1, dtype=np.uint64)
+    for w in word:
+        h = h * np.uint64(_BASE) + w
+    return mix(h + np.uint64(len(word))).view(np.int64)
+
+
+def long_set(data: np.ndarray, words: int, memory: Powers, most: int = SLICE_BYTES) -> np.ndarray:
+    """The set of one text of any length: besides the set itself, memory is bounded by most."""
+    kept, pending, tail = np.zeros(0, dtype=np.int64), [], np.zeros(0, dtype=np.uint64)
+    seen = 0
+    for part in _long_words(data, memory, most):
+        seen += len(part)
+        word = np.concatenate([tail, part])
+        pending.append(np.unique(_shingles(word, words)))
+        tail = word[len(word) - min(len(word), words - 1) :]
+        if sum(map(len, pending)) > len(kept) + most:
+            kept, pending = np.unique(np.concatenate([kept, *pending])), []
+    return np.unique(np.concatenate([kept, *pending])) if seen >= words else _few(tail)
+
+
 def sets(texts: pa.Array, words: int, memory: Powers):
     """For each row in order the sorted distinct signed hashes of its shingles of so many words.
 
@@ -68,6 +125,9 @@ def sets(texts: pa.Array, words: int, memory: Powers):
     its whole sequence as its one shingle, a text without any has none.
     """
     for _, offsets, data in text_slices(texts):
+        if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES:
+            yield long_set(data, words, memory)
+            continue
         low = _LOWER[data]
         inside = ~_SPACE[low]
         n = len(low)
@@ -86,18 +146,7 @@ def sets(texts: pa.Array, words: int, memory: Powers):
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[low] * memory.up[:n], dtype=np.uint64)])
         word = mix((total[ends] - total[begins]) * memory.down[begins] + (ends - begins).astype(np.uint64))
         at = np.searchsorted(begins, offsets)
-        window = np.zeros(max(0, len(word) - words + 1), dtype=np.uint64)
-        for j in range(words):
-            window = window * np.uint64(_BASE) + word[j : j + len(window)]
-        window = mix(window).view(np.int64)
+        window = _shingles(word, words)
         for r in range(rows):
             a, b = at[r], at[r + 1]
-            if b - a >= words:
-                yield np.unique(window[a : b - words + 1])
-            elif b > a:
-                h = np.zeros(1, dtype=np.uint64)
-                for w in word[a:b]:
-                    h = h * np.uint64(_BASE) + w
-                yield mix(h + np.uint64(b - a)).view(np.int64)
-            else:
-                yield np.zeros(0, dtype=np.int64)
+            yield np.unique(window[a : b - words + 1]) if b - a >= words else _few(word[a:b])

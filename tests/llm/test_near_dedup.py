@@ -3,9 +3,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm import near_dedup
+from tessera.llm import common, near_dedup, shingles
 
 
 def brute(rows, words, percent):
@@ -70,3 +72,37 @@ def test_nulls_repeats_empty_and_clashing_columns(spark):
     rows = [(None, "a b c d e f", 1, 1, "", 1), (7, "a b c d e f", 1, 1, "", 1), (7, "a b c d e f", 1, 1, "", 1), (3, None, 1, 1, "", 1)]
     found = sorted((tuple(r) for r in near_dedup.near_copies(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert found == sorted([(None, 2, None, True), (7, 2, None, False), (7, 2, None, False), (3, 0, 3, True)], key=str)
+
+
+def test_two_large_groups_that_share_a_passage(spark, monkeypatch):
+    """Lists of many members in two components: keys and pairs are dealt out in parts, and no link is lost."""
+    monkeypatch.setattr(near_dedup, "LONG", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 50)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(vocabulary, k=80)
+    texts = []
+    for _ in range(2):
+        base = passage + rng.choices(vocabulary, k=40)
+        for _ in range(60):
+            words = list(base)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(80, len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    texts += [" ".join(passage + rng.choices(vocabulary, k=3)) for _ in range(10)]
+    rows = list(enumerate(texts, 1))
+    rng.shuffle(rows)
+    found = sorted(tuple(r) for r in near_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect())
+    assert found == brute(rows, 5, 80)
+
+
+@pytest.mark.parametrize("most", [1, 7, 64, 10_000])
+def test_a_text_in_parts_has_the_set_of_the_whole(most):
+    rng = random.Random(most)
+    texts = ["", " ", "one", " one two\t", "x" * 500, "Été " * 40, " ".join(rng.choices("abcdeF", k=400)), "".join(rng.choices("ab \n", k=900))]
+    memory = shingles.Powers()
+    for words in (1, 3, 5):
+        for text, want in zip(texts, shingles.sets(pa.array(texts), words, memory), strict=True):
+            found = shingles.long_set(np.frombuffer(text.encode(), np.uint8), words, shingles.Powers(), most)
+            assert found.tolist() == want.tolist(), (text, words)
