@@ -23,6 +23,8 @@ from tessera.llm.unigram import NONE, SPACE, Decoder, Units, Vocabulary, marked,
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
+#: So many chunks are passed on at a time.
+CHUNKS_AT_ONCE = 64
 #: How many matrices are combined in one step of the scan.
 FAN_IN = 256
 
@@ -115,22 +117,29 @@ def traces(text: str, length: int, scores: list[float], units: Units):
 
 
 def _chunks(long: DataFrame, longest: int, chunk: int) -> DataFrame:
-    """One row per chunk: row, chunk, length, text with longest - 1 characters of the next."""
-    searched = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
-    return (
-        long.select("row", searched.alias("searched"), (F.char_length("text") + 1).alias("n"))
-        .select("row", "searched", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("chunk"))
-        .select(
-            "row",
-            "chunk",
-            F.least(F.lit(chunk), F.col("n") - F.col("chunk") * chunk).cast("int").alias("length"),
-            F.substring("searched", F.col("chunk") * chunk + 1, F.lit(chunk + longest - 1)).alias("text"),
-        )
-    )
+    """One row per chunk: row, chunk, length, text with longest - 1 characters of the next. Each text is cut in one pass."""
+
+    def run(batches):
+        for batch in batches:
+            for row, text in zip(batch.column(0), batch.column(1), strict=True):
+                searched = marked(text.as_py())
+                starts = range(0, len(searched), chunk)
+                for some in (starts[i : i + CHUNKS_AT_ONCE] for i in range(0, len(starts), CHUNKS_AT_ONCE)):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row.as_py()] * len(some), pa.int64()),
+                            pa.array([s // chunk for s in some], pa.int32()),
+                            pa.array([min(chunk, len(searched) - s) for s in some], pa.int32()),
+                            pa.array([searched[s : s + chunk + longest - 1] for s in some], pa.string()),
+                        ],
+                        names=["row", "chunk", "length", "text"],
+                    )
+
+    return long.select("row", "text").transform(map_arrow, run, "row long, chunk int, length int, text string")
 
 
 def _encode_long(long: DataFrame, shared_vocabulary, longest: int, chunk: int) -> DataFrame:
-    """(row, ids) of texts of more than chunk characters."""
+    """(row, ids) of texts of chunk characters or more."""
     chunks = stage(_chunks(long, longest, chunk).repartition(F.col("row"), F.col("chunk")), "chunks")
 
     def matrices(batches):
@@ -191,23 +200,32 @@ def _encode_long(long: DataFrame, shared_vocabulary, longest: int, chunk: int) -
                 traces(t, n, list(s), units) for t, n, s in zip(pdf["text"], pdf["length"], pdf["scores"], strict=True)
             ]
             yield pdf[["row", "chunk"]].assign(
-                shared=[f[0] for f in found], ends=[f[1] for f in found], entries=[f[2] for f in found]
+                shared=[f[0] for f in found],
+                ends=[[e or [] for e in f[1]] for f in found],
+                entries=[[-1 if e is None else e for e in f[2]] for f in found],
             )
 
     def follow(pdf):
-        """From the last chunk to the first, the trace of the state that the next one entered in."""
+        """From the last chunk to the first, the state that the next one entered in."""
         pdf = pdf.sort_values("chunk", ascending=False)
-        state, parts = 0, []
-        for shared, ends, entries in zip(pdf["shared"], pdf["ends"], pdf["entries"], strict=True):
-            parts.append([*shared, *ends[state]])
+        state, states = 0, []
+        for entries in pdf["entries"]:
+            states.append(state)
             state = int(entries[state])
-        return pd.DataFrame({"row": pdf["row"].iloc[:1], "ids": [[i for p in reversed(parts) for i in p]]})
+        return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "state": states})
 
-    traced = chunks.join(chunk_starts, ["row", "chunk"]).transform(
-        map_pandas,
-        back, "row long, chunk int, shared array<int>, ends array<array<int>>, entries array<int>"
+    traced = stage(
+        chunks.join(chunk_starts, ["row", "chunk"]).transform(
+            map_pandas, back, "row long, chunk int, shared array<int>, ends array<array<int>>, entries array<int>"
+        ),
+        "traced",
+    )
+    # one number for each state of a chunk is all that one task holds of a text here
+    states = traced.select("row", "chunk", "entries").groupBy("row").applyInPandas(follow, "row long, chunk int, state int")
+    parts = traced.join(states, ["row", "chunk"]).select(
+        "row", "chunk", F.concat("shared", F.get(F.col("ends"), F.col("state"))).alias("ids")
     )
-    return traced.groupBy("row").applyInPandas(follow, "row long, ids array<int>")
+    return parts.groupBy("row").agg(F.flatten(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).getField("ids")).alias("ids"))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -259,7 +277,8 @@ def encode(
 
 
 def decode_ids(encoded: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Per row: doc_id, text. Null ids give an empty text."""
+    """Per row: doc_id, text. Null and empty ids give an empty text; repeated rows are each decoded; an empty
+    table gives an empty result; other columns are not read."""
     vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     kind = encoded.schema[id_col].dataType.simpleString()
 
@@ -279,15 +298,18 @@ def round_trip(
     docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
 ) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 (of the ids as 4-byte little-endian numbers), decoded (whether
-    decoding the ids gives the text back, space marks as spaces)."""
+    decoding the ids gives the text back, space marks as spaces).
+
+    Nulls, empty texts, repeated rows and empty tables go as in encode; other columns are not read.
+    """
     short, long, vocabulary = _encoded(docs, path, id_col, text_col, chunk)
     kind = short.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded boolean"
 
     def told(decoder, ids, md5):
-        text = decoder.decode(ids.tolist())
+        text = decoder.decode(ids)
         same = hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest() == md5
-        return len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), same
+        return len(ids), hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest(), same
 
     def batch_of(ids, rows):
         n, sha, same = zip(*rows, strict=True) if rows else ((), (), ())
@@ -300,7 +322,7 @@ def round_trip(
         units, decoder = shared_units(vocabulary.value), Decoder(vocabulary.value)
         for batch in batches:
             rows = [
-                told(decoder, np.array(units.encode(marked(t.as_py())), dtype=np.int32), m.as_py())
+                told(decoder, units.encode(marked(t.as_py())), m.as_py())
                 for t, m in zip(batch.column(1), batch.column(2), strict=True)
             ]
             yield batch_of(batch.column(0), rows)
@@ -309,7 +331,7 @@ def round_trip(
         decoder = Decoder(vocabulary.value)
         for batch in batches:
             rows = [
-                told(decoder, i.values.to_numpy(zero_copy_only=False).astype(np.int32), m.as_py())
+                told(decoder, i.as_py(), m.as_py())
                 for m, i in zip(batch.column(1), batch.column(2), strict=True)
             ]
             yield batch_of(batch.column(0), rows)

@@ -59,7 +59,9 @@ class Counter:
             n = known.get(unit)
             if n is None:
                 n = self.search(unit)
-                if len(unit) <= CACHED_CHARS and len(known) < CACHED_UNITS:
+                if len(unit) <= CACHED_CHARS:
+                    if len(known) >= CACHED_UNITS:
+                        known.clear()
                     known[unit] = n
             total += n
         return total

@@ -1,9 +1,14 @@
-"""A vocabulary file read as a unigram model, and its best segmentation.
+"""A unigram vocabulary, and the best segmentation by it.
 
-The score of a segmentation is the sum of its pieces' scores, in double precision (exact for the integer
-scores of the given file). Ties go as in the tokenizer's own unigram search: of the pieces that end at one
-place the one that starts first wins. A character that is no piece counts as unknown, 10 below the smallest
-score, and is written as its bytes where the vocabulary has byte pieces.
+The score of a segmentation is the sum of its pieces' log-probabilities. A unigram model file gives them. A file
+of another kind has none (its scores are merge ranks), so that its pieces, which stand in order of frequency,
+get those of Zipf's law by their place; as_unigram writes the same model for the tokenizer library, whose ids
+are equal text by text. Log-probabilities are kept in steps of 1 / STEPS: sums are then exact, in the library
+(single precision) up to some 200,000 pieces a text, here always.
+
+Ties go as in the library: of the pieces that end at one place the one that starts first wins. A character that
+is no piece counts as unknown, 10 below the smallest score, and is written as its bytes where the vocabulary
+has byte pieces.
 
 No piece has the space mark behind another character, so that a cut before every space mark that follows
 another character never changes the result: a text falls into units that are searched on their own. The
@@ -13,15 +18,39 @@ same holds for both sides of line breaks and tabs, if no piece has them.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from dataclasses import dataclass
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 ALONE = "\n\t\r"
-CACHED_UNITS = 300_000
+CACHED_UNITS = 150_000
 CACHED_CHARS = 64
 NONE = float("-inf")
+#: Scores are multiples of 1 / STEPS.
+STEPS = 8
+#: What is added to a place in Zipf's law.
+OFFSET = 2.7
+UNIGRAM, NORMAL, UNKNOWN, CONTROL, UNUSED, BYTE = 1, 1, 2, 3, 5, 6  # fixed values of the model format
+
+
+def as_unigram(path: str):
+    """The model file as a unigram model of the library's format, its normal pieces' scores in steps of 1 / STEPS."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    normal = [p for p in model.pieces if p.type == NORMAL]
+    scores = [p.score for p in normal]
+    if model.trainer_spec.model_type != UNIGRAM:
+        weights = [1 / (place + OFFSET) for place in range(1, len(normal) + 1)]
+        scores = [math.log(w / sum_of) for sum_of in [sum(weights)] for w in weights]
+    for p, score in zip(normal, scores, strict=True):
+        p.score = round(score * STEPS) / STEPS
+    model.trainer_spec.model_type = UNIGRAM
+    return model
 
 
 @dataclass(frozen=True)
@@ -39,24 +68,19 @@ class Vocabulary:
 
     @staticmethod
     def load(path: str) -> Vocabulary:
-        import sentencepiece
-
-        with open(path, "rb") as f:
-            model = f.read()
-        found = sentencepiece.SentencePieceProcessor(model_proto=model)
-        texts = [found.id_to_piece(i) for i in range(found.get_piece_size())]
-        special = [found.is_control(i) or found.is_unknown(i) or found.is_byte(i) or found.is_unused(i) for i in range(len(texts))]
-        pieces = {t: (i, found.get_score(i)) for i, t in enumerate(texts) if not special[i]}
+        model = as_unigram(path)
+        texts = [p.piece for p in model.pieces]
+        pieces = {p.piece: (i, p.score) for i, p in enumerate(model.pieces) if p.type not in (UNKNOWN, CONTROL, UNUSED, BYTE)}
         if any(SPACE in t.lstrip(SPACE) for t in pieces):
             raise ValueError("a piece has the space mark behind another character")
         return Vocabulary(
             pieces=pieces,
             texts=texts,
-            byte_ids={int(t[3:5], 16): i for i, t in enumerate(texts) if found.is_byte(i)},
-            unknown_id=found.unk_id(),
+            byte_ids={int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE},
+            unknown_id=next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN),
             unknown_score=min(s for _, s in pieces.values()) - UNKNOWN_PENALTY,
             longest=max(map(len, pieces)),
-            digest=hashlib.sha256(model).hexdigest(),
+            digest=hashlib.sha256(model.SerializeToString()).hexdigest(),
             units=unit_pattern(pieces),
         )
 
@@ -91,7 +115,7 @@ def trace(text: str, back: list[int], end: int, v: Vocabulary) -> tuple[int, lis
 
 
 class Units:
-    """Searches by an automaton of the pieces, with a bounded cache of units."""
+    """Searches by an automaton of the pieces, with a cache of units that is emptied when its bound is reached."""
 
     def __init__(self, v: Vocabulary):
         import ahocorasick
@@ -133,7 +157,9 @@ class Units:
         found = self.known.get(unit)
         if found is None:
             found = self._search(unit)[0]
-            if len(unit) <= CACHED_CHARS and len(self.known) < CACHED_UNITS:
+            if len(unit) <= CACHED_CHARS:
+                if len(self.known) >= CACHED_UNITS:
+                    self.known.clear()
                 self.known[unit] = found
         return found
 
@@ -142,7 +168,7 @@ class Units:
         found = self.scores.get(unit)
         if found is None:
             found = self._search(unit)[1]
-            if len(unit) <= CACHED_CHARS and len(self.scores) < CACHED_UNITS // 2:
+            if len(unit) <= CACHED_CHARS and len(self.scores) < CACHED_UNITS // 4:
                 self.scores[unit] = found
         return found
 

@@ -7,7 +7,7 @@ import pytest
 
 from tessera.llm import sentencepiece_codec as codec
 from tessera.llm import token_counts
-from tessera.llm.unigram import SPACE, Decoder, Units, Vocabulary, marked, trace
+from tessera.llm.unigram import SPACE, STEPS, Decoder, Units, Vocabulary, as_unigram, marked, trace
 
 NONE = float("-inf")
 
@@ -49,22 +49,27 @@ def test_units_and_counts_equal_one_search_over_the_whole(v):
         assert Decoder(v).decode(ids) == t.replace(SPACE, " ")
 
 
-def test_best_paths_equal_the_library_in_unigram_mode(v):
-    """Against the library's lattice search (its faster one rounds to 64 with this file's scores of -1e9)."""
+def test_ids_equal_the_library(v):
+    """Text by text, ties included: whole documents of four languages and strings of awkward characters."""
+    import pyarrow.parquet as pq
     import sentencepiece
 
-    with open(codec.VOCABULARY, "rb") as f:  # field 3 of the trainer's settings: 1 is unigram
-        library = sentencepiece.SentencePieceProcessor(model_proto=f.read() + b"\x12\x02\x18\x01")
+    library = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(codec.VOCABULARY).SerializeToString())
     rng = random.Random(3)
-    units = Units(v)
-    words = ["hand", "tion", "the", "ouelle", "schaft", "reading", "Enough", "x", "qu", "niño", "über", "ing"]
-    for _ in range(200):
-        text = " ".join("".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(rng.randint(1, 8)))
-        best, second = library.nbest_encode(text, nbest_size=2)
-        score = [sum(library.get_score(i) for i in ids) for ids in (best, second)]
-        found = units.encode(marked(text))
-        assert sum(library.get_score(i) for i in found) == score[0]
-        assert found == best or score[0] == score[1]
+    parts = ["a", "b", " ", "the", "ing", "▁", "\n", "é", "日", "😀", "\t", "tion", "e", "<s>", "<0x41>", "\u0301", "xxxxx", "oo", "▁▁", "  "]
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts += TEXTS + ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(2000)]
+    units, counter = Units(v), token_counts.Counter(v)
+    for t in texts:
+        ids = library.encode(t)
+        assert units.encode(marked(t)) == ids
+        assert counter.count(t) == len(ids)
+
+
+def test_steps_and_law(v):
+    scores = [s for _, s in sorted(v.pieces.values())]
+    assert scores == sorted(scores, reverse=True) and all(s * STEPS == round(s * STEPS) for s in scores)
+    assert sum(np.exp(scores)) == pytest.approx(1, abs=0.05)
 
 
 def test_chunks_equal_one_search(spark, v):
@@ -80,6 +85,15 @@ def test_chunks_equal_one_search(spark, v):
     assert all(r.decoded for r in codec.round_trip(docs, chunk=64).collect())
 
 
+def test_a_giant_text_without_spaces(spark, v):
+    """A million characters in 31 chunks, one block of the scan each way."""
+    rng = random.Random(6)
+    text = "".join(rng.choices(["the", "ab", "é", "x", "日"], k=400_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert codec.encode(docs).first().ids == Units(v).encode(marked(text))
+    assert token_counts.count_tokens(docs).first().n_tokens == codec.encode(docs).select("ids").first().ids.__len__()
+
+
 def test_combine_is_associative():
     rng = np.random.default_rng(0)
     a, b, c = (rng.integers(-9, 9, (5, 5)).astype(float) for _ in range(3))
