@@ -344,12 +344,92 @@ def test_rates_with_projection_satisfy_the_optimality_conditions(spark):
     p = rng.dirichlet([0.5, 0.5, 0.5], size=400)
     rows = [(int(t), x.tolist()) for t, x in zip(rng.integers(1, 50, 400), p, strict=True)]
     light = spark.createDataFrame(rows, "__tokens long, __p array<double>")
-    steps = mixing.fit(light, [0.9, 0.05, 0.05])
-    found = light.select("__tokens", "__p", mixing.rate(steps).alias("r")).collect()
-    t, r = np.array([x[0] for x in found]), np.array([x.r for x in found])
-    q = np.array([x[1] for x in found])
+    fitted = mixing.fit(light, [0.9, 0.05, 0.05])
+    t, q, r = (np.array([x[i] for x in fitted.rated.select("__tokens", "__p", fitted.column).collect()]) for i in range(3))
     got = (t * r) @ q / t.sum()
     assert (r >= 0).all() and np.abs(got - [0.9, 0.05, 0.05]).max() < 0.02
+    assert fitted.miss == pytest.approx(np.abs(got - [0.9, 0.05, 0.05]).max(), abs=1e-9)
+
+
+def solved(t, q, weights, floor=0.0, rounds=20_000):
+    """The least distance that rates of floor or more leave, by a plain accelerated projected gradient search."""
+    a = q * t[:, None] / t.sum()
+    rate = 1 / np.linalg.norm(a.T @ a, 2)
+    r = y = np.ones(len(t))
+    k = 1.0
+    for _ in range(rounds):
+        following = np.maximum(floor, y - rate * a @ (y @ a - weights))
+        k, last = (1 + math.sqrt(1 + 4 * k * k)) / 2, k
+        y, r = following + (last - 1) / k * (following - r), following
+    return np.linalg.norm(r @ a - weights)
+
+
+@pytest.mark.parametrize(("weights", "alpha", "floor"), [([0.8, 0.1, 0.1], 0.5, 0.0), ([0.2, 0.2, 0.6], 0.5, 0.5)])
+def test_the_fit_is_as_good_as_a_solver(spark, monkeypatch, weights, alpha, floor):
+    """Targets within reach and out of it; rates are written between steps."""
+    monkeypatch.setattr(mixing, "STEPS_HELD", 3)
+    rng = np.random.default_rng(11)
+    q, t = rng.dirichlet([alpha] * 3, size=60), rng.integers(1, 50, 60)
+    light = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, q, strict=True)], "__tokens long, __p array<double>").coalesce(1)
+    fitted = mixing.fit(light, weights, floor=floor)
+    t, q, r = (np.array([x[i] for x in fitted.rated.select("__tokens", "__p", fitted.column).collect()]) for i in range(3))
+    left = np.linalg.norm((t * r) @ q / t.sum() - weights)
+    best = solved(t, q, np.array(weights), floor)
+    # out of reach, the search ends when no step gains LEAST_GAIN
+    assert (r >= floor).all() and best - 1e-6 <= left <= best + (1e-3 if best < 1e-4 else 1e-2)
+
+
+def test_posteriors_equal_plain_naive_bayes(spark):
+    rng = random.Random(2)
+    words = {"en": "the house and of", "fr": "une maison et de", "es": "la casa y el"}
+    texts = [(d, " ".join(rng.choices(w.split(), k=rng.randint(1, 40)))) for d, w in words.items() for _ in range(20)]
+    rows = [(i, t, d) for i, (d, t) in enumerate(texts)] + [(900, "ab", None), (901, "", None), (902, None, None), (903, "la maison " * 300, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    domains = list(words)
+    model = mixing.train(docs, domains)
+    found = {r[0]: r for r in mixing.with_posteriors(docs, model).select("doc_id", "__tokens", "__p").collect()}
+
+    def grams(text):
+        b = text.encode()
+        out = []
+        for x, y, z in zip(b, b[1:], b[2:], strict=False):
+            h = (x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) & 0xFFFFFFFF
+            out.append((h ^ (h >> 15)) % mixing.BUCKETS)
+        return out
+
+    count = {d: [0.5] * mixing.BUCKETS for d in domains}
+    prior = {d: 1.0 for d in domains}
+    for d, t in texts:
+        prior[d] += 1
+        for g in grams(t):
+            count[d][g] += 1
+    for i, text, _ in rows:
+        g = grams(text or "")
+        logs = []
+        for d in domains:
+            mean = sum(math.log(count[d][x] / sum(count[d])) for x in g) / max(1, len(g))
+            logs.append(math.log(prior[d] / sum(prior.values())) + mean * min(len(g), mixing.EVIDENCE))
+        p = [math.exp(x - max(logs)) for x in logs]
+        assert found[i][1] == len((text or "").split())
+        assert found[i][2] == pytest.approx([x / sum(p) for x in p], rel=1e-6)
+
+
+def test_a_long_text_in_parts_counts_as_a_whole():
+    data = np.frombuffer(("la maison  et\tles " * 999 + "fin").encode(), np.uint8)
+    table = np.random.default_rng(1).normal(size=(mixing.BUCKETS, 3))
+    want = mixing._long(data, table, 1 << 20)
+    assert want[0] == len(bytes(data).split()) and want[2] == len(data) - 2
+    for most in (3, 100, 4096):
+        found = mixing._long(data, table, most)
+        assert found[::2] == want[::2] and np.allclose(found[1], want[1])
+
+
+def test_rows_are_repeated_whatever_the_columns_are_called(spark):
+    names = ["__tokens", "__p", "__copy", "tokens", "posterior", "chance", "rate", "n", "__id", "a.b"]
+    docs = spark.createDataFrame([(i, "the of and", "en", *names) for i in range(3)], ["doc_id", "text", "lang", *names])
+    model = mixing.train(docs.withColumnRenamed("lang", "domain"), list(mixing.TARGETS))
+    found = mixing.repeat_to_targets(docs, model, mixing.TARGETS)
+    assert found.columns == docs.columns and {tuple(r) for r in found.collect()} == {tuple(r) for r in docs.collect()}
 
 
 @pytest.mark.parametrize(("large", "alpha"), [(1, 0.3), (3, 0.3), (3, 3.0)])
@@ -359,9 +439,9 @@ def test_whole_rates_meet_the_targets_where_one_domain_dominates(spark, large, a
     domain = np.where(rng.random(2000) < 0.85, large, rng.integers(0, 4, 2000))
     rows = [(int(t), rng.dirichlet(alpha / 4 + 5 * np.eye(4)[d]).tolist()) for t, d in zip(rng.integers(1, 500, 2000), domain, strict=True)]
     light = spark.createDataFrame(rows, "__tokens long, __p array<double>")
-    found = light.select("__tokens", "__p", mixing.fit_whole(light, weights).alias("r")).collect()
-    t, q, r = (np.array([x[i] for x in found]) for i in range(3))
-    assert abs(r.min() - 1) < 1e-9
+    fitted = mixing.fit_whole(light, weights)
+    t, q, r = (np.array([x[i] for x in fitted.rated.select("__tokens", "__p", fitted.column).collect()]) for i in range(3))
+    assert r.min() == pytest.approx(fitted.lowest)
     assert np.abs((t * r) @ q / (t * r).sum() - weights).max() <= mixing.MET
 
 
