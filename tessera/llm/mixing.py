@@ -233,9 +233,9 @@ def fit(described: DataFrame, weights: list[float], tokens: str = "__tokens", po
             if failed == 3:
                 break
         if len(steps) == STEPS_HELD:
-            rows = stage(rows.withColumn(column, rate(steps, posterior, floor, start)), "rates")
+            rows = stage(rows.select("*", rate(steps, posterior, floor, start).alias(column)), "rates")
             start, steps = F.col(column), []
-    rated = rows.withColumn(column, rate(steps, posterior, floor, start))
+    rated = rows.select("*", rate(steps, posterior, floor, start).alias(column))
     if not total:
         return Fit(rated, column, share, 0.0, 1.0, 0)
     shares = got / float(row["all"]) if row["all"] else 0 * share
