@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Directories that are never read.
 EXCLUDES = (
-    "node_modules", ".git", ".memo", "dist", "build", "out", "target", "vendor", ".venv", "venv", "__pycache__",
+    "node_modules", ".git", "dist", "build", "out", "target", "vendor", ".venv", "venv", "__pycache__",
     ".next", ".nuxt", ".cache", "coverage", ".idea", ".vscode",
 )
 #: Suffixes and their languages. The suffix is case-sensitive.
@@ -22,7 +22,7 @@ LANGUAGES = {
     "gdres": (".tscn", ".tres"),
     "json": (".json",),
 }
-MAX_FILE_BYTES, MAX_FILES, MAX_DEPTH, NAMED_SUFFIXES = 512 * 1024, 20_000, 24, 24
+MAX_FILE_BYTES, MAX_DEPTH, NAMED_SUFFIXES = 512 * 1024, 24, 24
 
 
 def suffix(path: Column) -> Column:
@@ -79,14 +79,16 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = rows.select("path").limit(1).first()
     prefix = _prefix(spark, root) if base else ""
-    small = F.col("length") <= MAX_FILE_BYTES
-    text = F.when(small, F.decode("content", "UTF-8"))
-    return rows.select(
+    told = [
         F.substring("path", len(prefix) + 1, 1 << 30).alias("path"),
         F.col("length").alias("bytes"),
         (F.unix_micros("modificationTime") / 1000.0).alias("mtime_ms"),
-        F.when(~F.contains(text, F.lit("\0")), text).alias("content"),
-    ).withColumn("readable", F.col("content").isNotNull())
+    ]
+    # the source filters by length before it opens a file, and does not open what nobody reads the content of
+    text = F.decode("content", "UTF-8")
+    small = rows.where(F.col("length") <= MAX_FILE_BYTES).select(*told, F.when(~F.contains(text, F.lit("\0")), text).alias("content"))
+    large = rows.where(F.col("length") > MAX_FILE_BYTES).select(*told, F.lit(None).cast("string").alias("content"))
+    return small.unionByName(large).withColumn("readable", F.col("content").isNotNull())
 
 
 def _prefix(spark: SparkSession, root: str) -> str:
@@ -101,10 +103,10 @@ def from_map(spark: SparkSession, contents: dict[str, str], mtime_ms: float = 0.
 
 
 def candidates(listing: DataFrame, excludes=EXCLUDES, ignore: str = "") -> DataFrame:
-    """The files that are indexed, with their language; at most MAX_FILES, the first by path."""
+    """The files that are indexed, with their language."""
     names, endings = ignored_names(ignore)
     kept = listing.where(~left_out(F.col("path"), (*EXCLUDES, *excludes), names, endings)).withColumn("language", language(F.col("path")))
-    return kept.where("language is not null and readable").orderBy("path").limit(MAX_FILES)
+    return kept.where("language is not null and readable")
 
 
 def coverage(listing: DataFrame, excludes=EXCLUDES, ignore: str = "") -> DataFrame:
@@ -130,7 +132,7 @@ def coverage(listing: DataFrame, excludes=EXCLUDES, ignore: str = "") -> DataFra
     return totals.crossJoin(named)  # one row each
 
 
-def project_root(start: str, marker: str = ".memo") -> str:
+def project_root(start: str, marker: str) -> str:
     """The nearest folder from start up that holds the marker, else a git folder, else start."""
     for name in (marker, ".git"):
         at = os.path.abspath(start)

@@ -67,6 +67,51 @@ def test_imports_and_edges(spark, tables):
     assert not any(d == "README.md" or "junk" in d for _, d in edges)
 
 
+@pytest.mark.parametrize(("language", "text", "specs"), [
+    ("js", 'import a from "./a";\nexport {\n x\n} from \'b\';\nconst c = require("c"), d = import(\'d\');\nimport "side";\nlet s = "from";', ["./a", "b", "c", "d", "side"]),
+    ("py", "import os, pkg.b as b\nfrom . import c\n  from .x.y import (z,\n w)\nx = 'import no'\nimportant = 1", ["os", "pkg.b", ".", ".x.y"]),
+    ("go", 'import "fmt"\nimport (\n\tst "example.com/store"\n\t_ "db/driver"\n\t. "dot"\n)\nvar x = "no"\nf("no")', ["fmt", "example.com/store", "db/driver", "dot"]),
+    ("rs", "use crate::a::thing;\nuse std::{fmt,\n io};\nlet use_it = 1;", ["crate::a::thing", "std::{fmt", "io}"]),
+    ("gd", 'extends Node\nvar s = preload("res://a.gd")\nvar t = load( "res://b.gd" )\nvar n = load("user://c")', ["Node", "res://a.gd", "res://b.gd"]),
+    ("gdres", '[ext_resource type="Script" path="res://p.gd" id="1"]\n[node path="res://no"]', ["res://p.gd"]),
+    ("js", "", []),
+])
+def test_import_grammars(language, text, specs):
+    assert extract.import_specs(text, language) == specs
+
+
+@pytest.mark.parametrize(("language", "line", "want"), [
+    ("gd", "var p: Player", ("p", "Player")), ("gd", "func f(a: int, q: Enemy):", ("q", "Enemy")), ("gd", "var b := Box.new()", ("b", "Box")), ("gd", "var b = Box.make()", None),
+    ("py", "x: Thing = y", ("x", "Thing")), ("py", "s = Session(1)", ("s", "Session")), ("py", "s: a.b = Session()", ("s", "Session")), ("py", "s = session()", None),
+    ("js", "const a: Map = b", ("a", "Map")), ("js", "let s = new Session()", ("s", "Session")), ("js", "s = new Session()", None),
+    ("go", "var s *Store", ("s", "Store")), ("go", "s := &Store{}", ("s", "Store")), ("go", "s := Open()", None),
+    ("rs", "let mut s: &mut Store = x", ("s", "Store")), ("rs", "let s = Store::open()", ("s", "Store")), ("rs", "s = Store::open()", None),
+])
+def test_stated_types(language, line, want):
+    assert extract.declared_type(line, language) == want
+
+
+def test_declaring_lines(spark):
+    text = {
+        "a.ts": "export default async function* run() {}\nexport abstract class No {}\nexport interface Shape {}\ntype Id = string\ntype\nexport enum E {}\nconst f = async (x) => x\nlet g = function () {}\nexport const K = 1\nconst local = 1\n// function no() {}",
+        "b.go": "func (s *Store) Open() {\n}\nfunc main() {\n}\ntype S struct {\n}\ntype N int",
+        "c.rs": "pub async fn go() {}\npub struct P;\ntrait T {}\nfn inner() {}",
+        "d.gd": '@export_range(0, 10) var hp = 1\n@onready static var q\nclass Inner extends Node:\n\tpass\nclass Odd\nstatic func make():\n\tpass',
+        "e.py": "async def later():\n    pass\nclass K(Base):\n    pass\ndefinitely = 1",
+    }
+    found = extract.symbols(files.from_map(spark, text).transform(files.candidates).select("path", "language", "content")).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.path, r.line)):
+        got.setdefault(r.path, []).append((r.name, r.kind))
+    assert got == {
+        "a.ts": [("run", "function"), ("Shape", "interface"), ("Id", "type"), ("E", "enum"), ("f", "function"), ("g", "function"), ("K", "const")],
+        "b.go": [("Open", "method"), ("main", "function"), ("S", "type")],
+        "c.rs": [("go", "function"), ("P", "type"), ("T", "type"), ("inner", "function")],
+        "d.gd": [("hp", "var"), ("q", "var"), ("Inner", "class"), ("make", "function")],
+        "e.py": [("later", "function"), ("K", "class")],
+    }
+
+
 def test_importance_and_description(tables):
     rank = {f.path: f.importance for f in tables["files"]}
     assert rank["game/player.gd"] == max(rank.values()) and rank["src/util.ts"] > 1 > rank["src/server.ts"]
