@@ -149,11 +149,14 @@ def search_form(c: Column) -> Column:
 
 
 def matches_phrases(c: Column, q: str) -> Column:
-    """Whether every whitespace word of the query occurs as a phrase of whole words, case and accents aside."""
-    form = search_form(c)
+    """Whether every whitespace word of the query occurs as a phrase of whole words, case and accents aside.
+
+    Each CJK character is a word of its own.
+    """
+    form = search_form(pad_cjk(c))
     found = F.lit(bool(query_words(q)))
     for w in query_words(q):
-        found = found & F.contains(form, search_form(F.lit(w)))
+        found = found & F.contains(form, search_form(pad_cjk(F.lit(w))))
     return found
 
 

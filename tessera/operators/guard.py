@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_WINDOWS = 256
+#: The tools that read, and where their arguments may name the file, in the order they are tried.
+READ_TOOLS = ("read",)
+PATH_KEYS = ("file_path", "path", "file", "filename")
+
+
+def read_target(tool: Column, args: Column, tools: tuple[str, ...] = READ_TOOLS) -> Column:
+    """The file, offset and limit that a read call (arguments as JSON) asks for; null for another call.
+
+    The first of PATH_KEYS that is a string with text counts, trimmed; an offset or limit that is no number is null.
+    """
+    parsed = F.try_parse_json(args)
+
+    def typed(name: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+
+    paths = [F.when(typed(k) == "STRING", F.trim(F.try_variant_get(parsed, f"$.{k}", "string"))) for k in PATH_KEYS]
+    path = F.coalesce(*[F.when(p != "", p) for p in paths])
+
+    def number(name: str) -> Column:
+        return F.when(typed(name).rlike("BIGINT|DECIMAL|DOUBLE|FLOAT"), F.try_variant_get(parsed, f"$.{name}", "double"))
+
+    told = F.struct(path.alias("path"), number("offset").alias("offset"), number("limit").alias("limit"))
+    return F.when(tool.isin(*tools) & path.isNotNull(), told)
 
 
 def repeated_reads(events: DataFrame, session: str, window: list[str], stat: str, order: list[str], reset: str, ok: str | None = None) -> DataFrame:

@@ -40,23 +40,26 @@ def path_matches(files: DataFrame, q: str, limit: int = SYMBOL_LIMIT) -> DataFra
 
 
 def text_matches(docs: DataFrame, files: DataFrame, q: str, limit: int = TEXT_LIMIT) -> DataFrame:
-    """Bodies that hold every word of the query: weight, line of the first word, and an excerpt.
+    """Bodies that hold every word of the query as a whole word (a phrase, if it has punctuation) and as it is
+    written: weight, line of the first word, and an excerpt.
 
-    A query that is one identifier must not be part of a longer one.
+    A query that is one identifier must not be part of a longer one. Places and weights are ranked without the
+    bodies; those of the answers are fetched afterwards.
     """
-    at = T.every_word_at(F.col("body"), q)
-    hits = docs.select("path", "body", at.alias("at")).where("at > 0")
+    body = F.col("body")
+    hits = docs.where(T.matches_phrases(body, q))
     if T.identifier_shaped(q):
-        hits = hits.where(T.has_identifier(F.col("body"), q))
+        hits = hits.where(T.has_identifier(body, q))
+    hits = hits.select("path", T.every_word_at(body, q).alias("at"), T.body_weight(body, q).alias("weight")).where("at > 0")
     top = (
-        hits.withColumn("weight", T.body_weight(F.col("body"), q))
-        .join(files.select("path", "importance"), "path")
+        hits.join(files.select("path", "importance"), "path")
         .orderBy(F.desc("weight"), F.desc("importance"), "path")
         .limit(limit)
     )
-    line = T.line_at(F.col("body"), F.col("at"))
-    return top.withColumn("line", line).select(
-        "path", "weight", "importance", "line", T.excerpt(F.col("body"), F.col("line")).alias("excerpt")
+    # at most limit rows
+    found = docs.select("path", "body").join(F.broadcast(top), "path").withColumn("line", T.line_at(body, F.col("at")))
+    return found.select("path", "weight", "importance", "line", T.excerpt(body, F.col("line")).alias("excerpt")).orderBy(
+        F.desc("weight"), F.desc("importance"), "path"
     )
 
 
@@ -97,6 +100,17 @@ def find(
     )
 
 
+def other_names(symbols: DataFrame, found: DataFrame, q: str) -> DataFrame:
+    """The symbols of the best file of find's answer that match the query, the best first."""
+    best = found.orderBy(F.desc("tier"), F.desc("weight"), F.desc("importance"), "path").limit(1).select("path")
+    return (
+        symbols.withColumn("tier", T.match_tier(F.col("name"), q))
+        .where("tier is not null")
+        .join(F.broadcast(best), "path")  # one row
+        .orderBy(F.desc("tier"), "line", "name")
+    )
+
+
 def blended(symbols: DataFrame, files: DataFrame, q: str) -> DataFrame:
     """The older single score: tier + 10 * importance; a path counts without a symbol, a description without both."""
     named = (

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import bugs, calls, graph, guard, refresh, search
+from tessera.operators import bugs, calls, extract, graph, guard, refresh, search
 from tessera.plans import model
 from tessera.plans.model import SNAPSHOTS_SQL, SQL, table
+from tessera.sources.staging import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,8 +59,11 @@ _EXCERPT = r"""array_to_string(list_transform(
     lambda x, i: (i + greatest(1, line - 2) - 1)::VARCHAR || ': ' || regexp_replace(x, '\s+$', '')), chr(10))"""
 
 
+_FORM = r"(' ' || trim(regexp_replace(strip_accents(lower({0})), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ')"
+
+
 def _texts(q: str, words: list[str], limit: int) -> str:
-    held = " AND ".join(f"contains(lower(body), '{w}')" for w in words)
+    held = " AND ".join(f"contains(lower(body), '{w}') AND contains({_FORM.format('body')}, ' {w} ')" for w in words)
     return f"""
     SELECT path, {_weight(q)} AS weight, importance, {_line(f"instr(lower(body), '{words[0]}')")} AS line, body
     FROM docs JOIN files USING (path) WHERE {held} ORDER BY weight DESC, importance DESC, path LIMIT {limit}"""
@@ -77,9 +81,6 @@ def text_search_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.text_matches(model.docs(spark, sf_dir), model.files(spark, sf_dir), "of the", limit=200)
 
 
-_FORM = r"(' ' || trim(regexp_replace(strip_accents(lower({0})), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ')"
-
-
 @register(
     "phrase_search_accent_fold",
     f"{SQL} SELECT path, length(body)::BIGINT AS n FROM docs WHERE contains({_FORM.format('body')}, ' etion ') AND contains({_FORM.format('body')}, ' que ')",
@@ -262,14 +263,16 @@ def href_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "import_resolution",
     f"""{SQL}, wanted AS (
-      SELECT path, source || '/' || unnest(['en', 'fr', 'de', 'es']) || '/' || (doc_id * 7 + 20) % 1000 AS candidate, unnest([0, 1, 2, 3]) AS rank FROM base
+      SELECT path, source || '/' || unnest(['en', 'fr', 'de', 'es']) || '/' || (doc_id * 7 + 20) % (SELECT max(doc_id) + 1 FROM base) AS candidate, unnest([0, 1, 2, 3]) AS rank FROM base
     ) SELECT wanted.path, arg_min(candidate, rank) AS target FROM wanted JOIN files ON candidate = files.path GROUP BY wanted.path""",
 )
 def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = ((F.col("doc_id") * 7 + 20) % 1000).cast("string")
-    source = F.split_part("path", F.lit("/"), F.lit(1))
     files = model.files(spark, sf_dir)
-    specs = files.select("path", F.array(*[F.concat_ws("/", source, F.lit(lang), n) for lang in ("en", "fr", "de", "es")]).alias("candidates"))
+    n = ((F.col("doc_id") * 7 + 20) % F.col("ids")).cast("string")
+    source = F.split_part("path", F.lit("/"), F.lit(1))
+    ids = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("ids"))
+    specs = files.crossJoin(F.broadcast(ids)).select(  # one row
+        "path", F.array(*[F.concat_ws("/", source, F.lit(lang), n) for lang in ("en", "fr", "de", "es")]).alias("candidates"))
     return graph.first_candidate(specs, files, ["path"])
 
 
@@ -283,7 +286,7 @@ def _pagerank_sql() -> str:
     return f"""
     WITH nodes AS (SELECT n_nationkey AS node FROM nation), total AS (SELECT count(*) AS n FROM nation), links AS (
       SELECT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-      JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey % 5 <> 0 AND s_nationkey % 3 <> 0
+      JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
     ), shares AS MATERIALIZED (
       SELECT src, dst, count(*) / any_value(degree) AS share FROM links JOIN (SELECT src, count(*) AS degree FROM links GROUP BY src) USING (src) GROUP BY src, dst
     ), r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nodes, total), {', '.join(steps)}
@@ -343,7 +346,7 @@ _TARGETED = f"{_ATTRIBUTED}, goal AS (SELECT name, target FROM attributed WHERE
     FROM attributed a JOIN goal ON a.name = goal.name""",
 )
 def caller_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _attributed(spark, sf_dir)
+    found = checkpointed(_attributed(spark, sf_dir).select("path", "name", "receiver", "receiver_type", "line", "n_declaring", "via", "target"))
     goal = found.where("target is not null").groupBy("name", "target").agg(F.count(F.lit(1)).alias("n"))
     top = goal.orderBy(F.desc("n"), "name", "target").limit(1).first()
     return calls.report(found, top.name if top else "", top.target if top else "")
@@ -356,7 +359,7 @@ def caller_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORDER BY importance DESC, a.path, line LIMIT 20""",
 )
 def top_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _attributed(spark, sf_dir)
+    found = checkpointed(_attributed(spark, sf_dir).select("path", "name", "receiver", "receiver_type", "line", "n_declaring", "via", "target"))
     goal = found.where("target is not null").groupBy("name", "target").agg(F.count(F.lit(1)).alias("n"))
     top = goal.orderBy(F.desc("n"), "name", "target").limit(1).first()
     return calls.top_callers(found, model.files(spark, sf_dir), top.name if top else "", top.target if top else "")
@@ -513,10 +516,27 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "pad_cjk",
-    r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS padded FROM documents",
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(translate(text, 'eoa', '日ほ한'), '([日ほ한])', ' \1 ', 'g'), '\s+', ' ', 'g')) AS padded FROM documents""",
 )
 def pad_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.pad_cjk(F.col("text")).alias("padded"))
+    """Over the texts with three of their vowels as characters of three scripts."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.pad_cjk(F.translate("text", "eoa", "日ほ한")).alias("padded"))
+
+
+@register("extracted_symbols", f"{SQL} SELECT path, d AS name, 'function' AS kind, (3 * k - 1)::INTEGER AS line, (3 * k)::INTEGER AS end_line FROM blocks")
+def extracted_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.symbols(model.code_files(spark, sf_dir))
+
+
+@register("extracted_imports", f"{SQL} SELECT DISTINCT path, '.' || c AS spec FROM blocks")
+def extracted_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.imports(model.code_files(spark, sf_dir))
+
+
+@register("extracted_calls", f"{SQL} SELECT path, c AS name, (3 * k)::INTEGER AS line, d AS caller FROM blocks")
+def extracted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = checkpointed(model.code_files(spark, sf_dir))
+    return extract.calls(code, checkpointed(extract.symbols(code))).select("path", "name", "line", "caller")
 
 
 @register(

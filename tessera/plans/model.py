@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import extract
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +36,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.split("text", "\n", -1)).cast("long").alias("lines"),
         T.estimate_tokens(F.col("text")).alias("tokens"),
         F.col("lang").alias("language"),
-        F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(80)).alias("description"),
+        F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(200)).alias("description"),
         "importance",
-        F.when(F.col("doc_id") % 10 == 0, F.get(T.words(F.col("text")), F.lit(0))).alias("class_name"),
+        F.get(T.words(F.col("text")), F.lit(0)).alias("class_name"),
     )
 
 
@@ -79,13 +80,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two listings of orders: the newer lost every 11th, gained every 13th and touched every 7th."""
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("path"), F.unix_timestamp("o_orderdate").cast("double").alias("mtime_ms"), F.col("o_custkey").alias("bytes")
-    )
-    key = F.col("path")
-    new = orders.where(key % 11 != 0).withColumn("mtime_ms", F.when(key % 7 == 0, F.col("mtime_ms") + 1).otherwise(F.col("mtime_ms")))
-    return orders.where(key % 13 != 0), new
+    """Two listings of orders: the newer lost those finished, gained those in part, and touched those of high priority."""
+    orders = table(spark, sf_dir, "orders")
+    at = F.unix_timestamp("o_orderdate").cast("double")
+    touched = F.when(F.col("o_orderpriority") == "2-HIGH", at + 1).otherwise(at)
+    lost, gained = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"), F.col("o_orderstatus") == "P"
+
+    def listing(rows, mtime):
+        return rows.select(F.col("o_orderkey").alias("path"), mtime.alias("mtime_ms"), F.col("o_custkey").alias("bytes"))
+
+    return listing(orders.where(~gained), at), listing(orders.where(~lost), touched)
 
 
 def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -96,14 +100,34 @@ def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         .join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
         .join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .where("c_nationkey % 5 <> 0 and s_nationkey % 3 <> 0")
         .select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
     )
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node")), edges
 
 
+#: Words that code_files leaves out, as they would be read as code.
+NO_NAMES = sorted({*extract.KEYWORDS, *extract.DECLARING, *extract.SELF_RECEIVERS, "as"})
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a Python file (path, language, content): of each line whose first two words are plain, an
+    import of a module of the second, and a function of the first that calls the second."""
+    first, second = F.get("w", F.lit(0)), F.get("w", F.lit(1))
+    plain = [F.rlike(c, F.lit("^[a-z]+$")) & ~c.isin(*NO_NAMES) for c in (first, second)]
+    block = F.format_string("from .%2$s import %1$s\ndef %1$s():\n    %2$s(1)", first, second)
+    lines = _lines(spark, sf_dir).where(plain[0] & plain[1]).select("path", F.struct("line", block.alias("block")).alias("b"))
+    text = F.array_join(F.array_sort(F.collect_list("b")).getField("block"), "\n")
+    return lines.groupBy("path").agg(text.alias("content")).select("path", F.lit("py").alias("language"), "content")
+
+
 _WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2)"
 
+
+
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 #: Common table expressions of the same tables, to be followed by a query.
 SQL = f"""
 WITH base AS (
@@ -112,8 +136,8 @@ WITH base AS (
   SELECT source, round(n / avg(n) OVER (), 4) AS importance FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)
 ), files AS (
   SELECT doc_id, path, strlen(text)::BIGINT AS bytes, len(string_split(text, chr(10)))::BIGINT AS lines,
-         ceil(length(text) / 4.0)::BIGINT AS tokens, lang AS language, left(string_split(text, chr(10))[1], 80) AS description,
-         importance, CASE WHEN doc_id % 10 = 0 THEN ({_WORDS.format('text')})[1] END AS class_name
+         ceil(length(text) / 4.0)::BIGINT AS tokens, lang AS language, left(string_split(text, chr(10))[1], 200) AS description,
+         importance, ({_WORDS.format('text')})[1] AS class_name
   FROM base JOIN weights USING (source)
 ), docs AS (SELECT doc_id, path, text AS body FROM base
 ), split AS (
@@ -125,13 +149,17 @@ WITH base AS (
 ), calls0 AS (
   SELECT path, w[2] AS name, CASE WHEN len(w) >= 3 AND length(w[3]) % 2 = 0 THEN w[3] END AS receiver, line FROM lined WHERE len(w) >= 2
 ), calls AS (SELECT *, CASE WHEN starts_with(receiver, 'th') THEN 'self' END AS receiver_type FROM calls0
+), blocks AS (
+  SELECT path, w[1] AS d, w[2] AS c, row_number() OVER (PARTITION BY path ORDER BY line) AS k FROM lined
+  WHERE len(w) >= 2 AND regexp_full_match(w[1], '[a-z]+') AND regexp_full_match(w[2], '[a-z]+')
+    AND w[1] NOT IN ({_quoted(NO_NAMES)}) AND w[2] NOT IN ({_quoted(NO_NAMES)})
 ), edges AS (SELECT a.path AS src, b.path AS dst FROM base a JOIN base b ON b.doc_id = a.doc_id // 2
 )"""
 
 SNAPSHOTS_SQL = """
 WITH listing AS (
-  SELECT o_orderkey AS path, epoch(o_orderdate)::DOUBLE AS mtime_ms, o_custkey AS bytes FROM orders
-), old AS (SELECT * FROM listing WHERE path % 13 <> 0
+  SELECT o_orderkey AS path, epoch(o_orderdate)::DOUBLE AS mtime_ms, o_custkey AS bytes, o_orderstatus AS s, o_orderpriority AS p FROM orders
+), old AS (SELECT path, mtime_ms, bytes FROM listing WHERE s <> 'P'
 ), new AS (
-  SELECT path, CASE WHEN path % 7 = 0 THEN mtime_ms + 1 ELSE mtime_ms END AS mtime_ms, bytes FROM listing WHERE path % 11 <> 0
+  SELECT path, CASE WHEN p = '2-HIGH' THEN mtime_ms + 1 ELSE mtime_ms END AS mtime_ms, bytes FROM listing WHERE NOT (s = 'F' AND p = '1-URGENT')
 )"""

@@ -84,6 +84,10 @@ class Project:
         t = self._tables()
         return search.find(t["symbols"], t["files"], t["docs"], query, limit, text_limit, per_file)
 
+    def other_names(self, query: str) -> DataFrame:
+        """The other matching names of the file that find puts first."""
+        return search.other_names(self._tables()["symbols"], self.find(query), query)
+
     def find_within(self, query: str, budget: int = search.FIND_BUDGET) -> DataFrame:
         """find, cut to what a token budget holds."""
         cost = T.hit_cost(F.col("path"), F.coalesce("name", F.lit("")))

@@ -91,6 +91,17 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return small.unionByName(large).withColumn("readable", F.col("content").isNotNull())
 
 
+def capped_text(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(path, text, bytes, truncated) of the files at a path: their first max_bytes bytes as text."""
+    rows = spark.read.format("binaryFile").load(path)
+    return rows.select(
+        "path",
+        F.decode(F.substring("content", 1, max_bytes), "UTF-8").alias("text"),
+        F.col("length").alias("bytes"),
+        (F.col("length") > max_bytes).alias("truncated"),
+    )
+
+
 def _prefix(spark: SparkSession, root: str) -> str:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(root)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toString().rstrip("/") + "/"

@@ -49,10 +49,12 @@ def write(spark: SparkSession, root: str, tables: dict[str, DataFrame], meta: di
     out.write(bytearray(json.dumps(pointer), "utf-8"))
     out.close()
     current, _ = _fs(spark, f"{root}/{POINTER}")
-    if fs.exists(current):
-        fs.delete(current, False)
-    if not fs.rename(new, current):
-        raise OSError(f"the pointer of {root} could not be replaced")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    target = fs.makeQualified(current)
+    # one call of the store that replaces the pointer; HDFS does it atomically
+    hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), target, over)
     return name
 
 

@@ -60,7 +60,7 @@ def sections(pages: DataFrame, key: str = "path", text: str = "text") -> DataFra
     numbered = number_sections(lines, [key], "at", F.startswith("line", F.lit("## ")))
     body = F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("at", "line"))))
     return numbered.groupBy(key, "section").agg(
-        F.max(F.when(F.col("heading"), F.trim(F.substring("line", 4, 1_000_000)))).alias("title"),
+        F.max(F.when(F.col("heading"), F.trim(F.regexp_replace("line", "^## ", "")))).alias("title"),
         _stripped(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("body"),
     )
 
