@@ -32,7 +32,7 @@ def rotate(
     learned from, in the same offsets: the text and closing mark of the perspective's own turns, empty for
     other turns. Turns are ordered by number (null last), then speaker and text; repeated rows are rendered
     each. A null speaker is "unknown", a null text is empty, a null conv_id is a conversation of its own;
-    opening marks inside texts are broken by a space. A conversation with system turns only, like an empty
+    opening marks inside texts and names are broken by a space, line breaks in names become one. A conversation with system turns only, like an empty
     table, gives no row. Other columns are not read.
     """
     rows = turns.select(
@@ -45,10 +45,12 @@ def rotate(
         rows.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("speaker").alias("perspective")).distinct()
     )
     own = F.col("speaker") == F.col("perspective")
+    # a name can neither open or close a turn nor end its line
+    name = F.regexp_replace(F.replace("speaker", F.lit("<|"), F.lit("< |")), r"[\r\n]", " ")
     header = (
         F.when(F.col("speaker") == SYSTEM, F.lit(f"{OPEN}system\n"))
         .when(own, F.lit(f"{OPEN}assistant\n"))
-        .otherwise(F.concat(F.lit(f"{OPEN}user name="), F.col("speaker"), F.lit("\n")))
+        .otherwise(F.concat(F.lit(f"{OPEN}user name="), name, F.lit("\n")))
     )
     segments = (
         rows.join(participants, F.col("conv_id").eqNullSafe(F.col("conv")))

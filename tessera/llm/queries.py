@@ -16,7 +16,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = url_filter.train(url_filter.default_labelled(spark))
+    model = url_filter.train(url_filter.default_labelled(spark).where("not held_out"))
     return url_filter.judge(table(spark, sf_dir, "pages"), model)
 
 
@@ -117,7 +117,7 @@ WITH t AS (
   SELECT t.conv_id, perspective, turn, speaker, body,
          CASE WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10)
               WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10)
-              ELSE '<|im_start|>user name=' || speaker || chr(10) END AS header
+              ELSE '<|im_start|>user name=' || regexp_replace(replace(speaker, '<|', '< |'), '[' || chr(13) || chr(10) || ']', ' ', 'g') || chr(10) END AS header
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), g AS (SELECT *, header || body || '<|im_end|>' || chr(10) AS segment FROM s
 ), o AS (
