@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last
 return the columns of documents. The driver of the pipeline writes each result as Parquet and reads it again
 as the next stage's docs; run does the same in the folder of spark.checkpoint.dir.
+
+In every stage null texts count as empty, repeated rows are rows of their own (the copies among them go in the
+two stages for copies), an empty table stays empty, and columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, mixing, near_dedup, sentencepiece_codec, toxicity
-from tessera.llm.common import NULL_ID, stage, table, text_keys, text_sha
+from tessera.llm.common import NULL_ID, fresh, stage, table, text_keys, text_sha
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,16 +36,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts of one id, or of null, are documents of their own, in the order of their SHA-256.
     """
+    kept_id, kept_sha = fresh(docs.columns, "kept_id", "kept_sha")
     node, sha = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), text_sha(docs["text"])
     keys = text_keys(stage(docs.select(node.alias("doc"), sha.alias("sha")), "digests"))
     if keys is None:
-        kept = near_dedup.near_copies(docs).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__kept")).distinct()
-        return docs.join(kept, node == F.col("__kept"), "left_semi")
+        kept = near_dedup.near_copies(docs).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(kept_id)).distinct()
+        return docs.join(kept, node == F.col(kept_id), "left_semi")
     keyed = docs.select(node.alias("doc"), sha.alias("sha"), "text").join(keys, ["doc", "sha"])
     found = near_dedup.near_copies(stage(keyed.select(F.col("node").alias("doc_id"), "text"), "keyed"))
     kept = found.where("kept").select(F.col("doc_id").alias("node")).distinct().join(keys, "node")
-    kept = kept.select(F.col("doc").alias("__doc"), F.col("sha").alias("__sha"))
-    return docs.join(kept, (node == F.col("__doc")) & (sha == F.col("__sha")), "left_semi")
+    kept = kept.select(F.col("doc").alias(kept_id), F.col("sha").alias(kept_sha))
+    return docs.join(kept, (node == F.col(kept_id)) & (sha == F.col(kept_sha)), "left_semi")
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
