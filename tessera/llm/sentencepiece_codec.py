@@ -29,7 +29,7 @@ CHUNKS_AT_ONCE = 64
 FAN_IN = 256
 
 
-def _forced(text: str, start: int, stop: int) -> int:
+def first_cut(text: str, start: int, stop: int) -> int:
     """The first place from start, before stop, that no piece spans; -1 if there is none."""
     at = text.find(SPACE, max(1, start))
     while 0 <= at < stop:
@@ -62,7 +62,7 @@ def transfer(text: str, length: int, units: Units) -> np.ndarray:
     """
     v = units.v
     states = v.longest
-    first, last = _forced(text, states - 1, length), _forced_last(text, states - 1, length)
+    first, last = first_cut(text, states - 1, length), _forced_last(text, states - 1, length)
     out = np.full((states, states), NONE)
     if first < 0:
         for a in range(min(states, length)):
@@ -91,7 +91,7 @@ def traces(text: str, length: int, scores: list[float], units: Units):
     """
     v = units.v
     states = v.longest
-    first, last = _forced(text, states - 1, length), _forced_last(text, states - 1, length)
+    first, last = first_cut(text, states - 1, length), _forced_last(text, states - 1, length)
     shared: list[int] = []
     entry = None
     if first < 0:

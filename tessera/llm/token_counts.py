@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_pandas
-from tessera.llm.sentencepiece_codec import VOCABULARY
+from tessera.llm.sentencepiece_codec import VOCABULARY, first_cut
 from tessera.llm.unigram import CACHED_CHARS, CACHED_UNITS, NONE, Vocabulary, marked
 
+#: Characters of the parts in which a long text is read.
+PART = 1 << 18
+
 
 class Counter:
     """Counts the ids of a text without making them; units are cached within a bound."""
@@ -53,12 +56,46 @@ class Counter:
             best[e + 1], count[e + 1] = top, pieces
         return count[n]
 
+    def search_long(self, unit: str) -> int:
+        """search, with best scores and counts of the last places only, as many as the longest piece has."""
+        width, unknown = self.v.longest + 1, self.v.unknown_score
+        best, count = [0.0] + [NONE] * (width - 1), [0] * width
+        found = self.matches.iter(unit)
+        end, match = next(found, (len(unit), None))
+        for e, char in enumerate(unit):
+            top, pieces, single = NONE, 0, False
+            while end == e:
+                length, score = match
+                at = (e + 1 - length) % width
+                if best[at] + score > top:
+                    top, pieces = best[at] + score, count[at] + 1
+                single = single or length == 1
+                end, match = next(found, (len(unit), None))
+            at = e % width
+            if not single and best[at] + unknown > top:
+                top = best[at] + unknown
+                pieces = count[at] + (len(char.encode("utf-8", "surrogatepass")) if self.spelled else 1)
+            best[(e + 1) % width], count[(e + 1) % width] = top, pieces
+        return count[len(unit) % width]
+
     def count(self, text: str | None) -> int:
+        """The number of ids; a long text is read in parts that end where no piece spans."""
+        searched, total, at = marked(text), 0, 0
+        while at < len(searched):
+            stop = len(searched)
+            if stop - at > PART:
+                cut = first_cut(searched, at + PART, stop)
+                stop = cut if cut >= 0 else stop
+            total += self._part(searched[at:stop])
+            at = stop
+        return total
+
+    def _part(self, searched: str) -> int:
         total, known = 0, self.known
-        for unit in self.cut(marked(text)):
+        for unit in self.cut(searched):
             n = known.get(unit)
             if n is None:
-                n = self.search(unit)
+                n = self.search(unit) if len(unit) <= PART else self.search_long(unit)
                 if len(unit) <= CACHED_CHARS:
                     if len(known) >= CACHED_UNITS:
                         known.clear()
@@ -71,7 +108,7 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id"
     """Per row: doc_id, n_chars, n_tokens (as many as sentencepiece_codec.encode gives ids).
 
     Null and empty texts have 0 of both; repeated rows are each counted; an empty table gives an empty
-    result; other columns are not read.
+    result; other columns are not read. Besides the text itself, memory is bounded by PART.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))  # bounded by the vocabulary file
     kind = docs.schema[id_col].dataType.simpleString()

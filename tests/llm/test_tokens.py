@@ -66,6 +66,16 @@ def test_ids_equal_the_library(v):
         assert counter.count(t) == len(ids)
 
 
+def test_parts_and_windows_count_as_one_search(v, monkeypatch):
+    rng = random.Random(4)
+    texts = [*TEXTS, "".join(rng.choices(["the", "ab", "é", " ", "😀", "\n"], k=3000)), "".join(rng.choices("thein", k=5000))]
+    want = [token_counts.Counter(v).count(t) for t in texts]
+    for part in (1, 7, 300):
+        monkeypatch.setattr(token_counts, "PART", part)
+        counter = token_counts.Counter(v)
+        assert [counter.count(t) for t in texts] == want
+
+
 def test_steps_and_law(v):
     scores = [s for _, s in sorted(v.pieces.values())]
     assert scores == sorted(scores, reverse=True) and all(s * STEPS == round(s * STEPS) for s in scores)
