@@ -77,9 +77,17 @@ def _bounded(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:
-    """mapInArrow over batches of about BATCH_BYTES (or one row); what a task used is given back when it ends."""
+    """mapInArrow over batches of about BATCH_BYTES (or one row); what a task used is given back when it ends.
+
+    mapInArrow takes dots in the names of columns for fields; so it is given columns by number, and f their names.
+    """
     _bounded(df.sparkSession)
-    return df.mapInArrow(_released(f), schema)
+    names = df.columns
+
+    def named(batches):
+        return f(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(_released(named), schema)
 
 
 def map_pandas(df: DataFrame, f, schema) -> DataFrame:

@@ -74,7 +74,7 @@ def test_stages_equal_a_plain_version(spark):
 
 
 def test_stages_take_empty_tables_and_clashing_columns(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 as kept", "'x' as norm", "2 as bucket", "text as component", "3 as n", "4 as node")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 as kept", "'x' as norm", "2 as bucket", "text as component", "3 as n", "4 as node", "5 as `a.b`")
     for name, step in corpus_pipeline.STAGES[:-1]:
         assert step(spark, docs.limit(0), SF).collect() == [], name
         out = step(spark, docs.limit(40), SF)
