@@ -139,6 +139,23 @@ def text_keys(digests: DataFrame) -> DataFrame | None:
     return stage(numbered.select("doc", "sha", (within + F.col("before")).cast("long").alias("node")), "text-keys")
 
 
+def number_ranges(df: DataFrame, group: list[str], order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Numbers the rows of each group in order (nulls first) without gathering a group in one task.
+
+    Rows are dealt by ranges of group and order, rows that repeat both by where they come from too. The first table
+    has all rows with range and nth (from 0, within group and range), the second range, group, rows, and before: how many
+    rows of the group are in ranges before. before + nth is a row's number in its group.
+    """
+    tie = fresh(df.columns, "tie")[0]
+    n = shuffle_partitions(df.sparkSession)
+    dealt = df.withColumn(tie, F.spark_partition_id()).repartitionByRange(n, *group, *order, tie)
+    ranged = stage(dealt.withColumn("range", F.spark_partition_id()), name)
+    counts = ranged.groupBy("range", *group).agg(F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    nth = F.row_number().over(Window.partitionBy("range", *group).orderBy(*order, tie)) - 1
+    return ranged.withColumn("nth", nth).drop(tie), counts.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+
+
 #: A key is dealt over several tasks from so many rows on, or from an eighth of an average partition.
 HOT_ROWS = 1024
 
