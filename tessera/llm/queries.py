@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import block_search, chat_format, exact_dedup, mixing, near_dedup, repeated_spans, sentencepiece_codec, token_counts, toxicity, url_filter
+from tessera.llm import (
+    block_search, chat_format, exact_dedup, hard_negatives, merkle, mixing, near_dedup, repeated_spans, sentencepiece_codec, sharding,
+    token_counts, toxicity, url_filter,
+)
 from tessera.llm.common import table
 
 
@@ -145,9 +148,137 @@ FROM t WINDOW same AS (PARTITION BY norm)
 """
 
 
+#: DuckDB: CRC-32 of a list of bytes `b`, by the table `crc_table` of its polynomial.
+_CRC_TABLE = """
+crc AS (
+  SELECT list(c ORDER BY i) AS crc_table FROM (
+    SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))
+)"""
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda c, b: xor(c >> 8, crc_table[(1 + xor(c, b) % 256)::BIGINT])))"
+_DIGITS = "list_transform(range(1, len({x}) + 1), lambda i: ascii(substr({x}, i, 1))::BIGINT)"
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents, and every leaf climbed with the digest that its row has after the tampering."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    after = merkle.leaf_digest([F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in fields])
+    built = merkle.build(docs, fields, keep={"tampered": F.when(tampered, after)})
+    proofs = merkle.prove(built, F.coalesce("tampered", "digest"))
+    root, folded = F.lit(built.root), merkle.digest_text(F.col("folded"))
+    return proofs.select(
+        F.col("id").alias("doc_id"),
+        merkle.digest_text(F.col("leaf")).alias("leaf"),
+        "subroot",
+        root.alias("root"),
+        F.sha2(merkle.digest_text(F.col("siblings")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+        (folded == root).alias("verified"),
+    )
+
+
+def _leaf_sql(n_chars: str) -> str:
+    parts = ["doc_id::VARCHAR", "source", "lang", f"({n_chars})::VARCHAR", "text"]
+    return "sha256(" + " || ".join(f"coalesce(strlen({p})::VARCHAR || ':' || {p}, '-')" for p in parts) + ")"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE.strip()}, d AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("n_chars + 1")} AS changed,
+         coalesce({_CRC.format(bytes=_DIGITS.format(x="doc_id::VARCHAR"))} % 7 = 0, false) AS tampered
+  FROM documents, crc
+), f AS (
+  SELECT *, CASE WHEN tampered THEN changed ELSE leaf END AS claim,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS m FROM d
+), n(lang, lvl, pos, m, h) AS (
+  SELECT lang, 0, pos, m, leaf FROM f
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM n WHERE m > 1 GROUP BY lang, lvl, pos // 2, m
+), s AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS m FROM n WHERE m = 1
+), t(lvl, pos, m, h) AS (
+  SELECT 0, pos, m, subroot FROM s
+  UNION ALL
+  SELECT lvl + 1, pos // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE m > 1 GROUP BY lvl, pos // 2, m
+), c(doc_id, lang, lvl, pos, m, h, proof) AS (
+  SELECT doc_id, lang, 0, pos, m, claim, '' FROM f
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.lvl + 1, c.pos // 2, (c.m + 1) // 2,
+         sha256(CASE WHEN c.pos % 2 = 1 THEN n.h || c.h ELSE c.h || coalesce(n.h, '') END), c.proof || coalesce(n.h, '')
+  FROM c LEFT JOIN n ON n.lang IS NOT DISTINCT FROM c.lang AND n.lvl = c.lvl AND n.pos = xor(c.pos, 1) WHERE c.m > 1
+), r(doc_id, lvl, pos, m, h, proof) AS (
+  SELECT c.doc_id, 0, s.pos, s.m, c.h, c.proof FROM c JOIN s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.m = 1
+  UNION ALL
+  SELECT r.doc_id, r.lvl + 1, r.pos // 2, (r.m + 1) // 2,
+         sha256(CASE WHEN r.pos % 2 = 1 THEN t.h || r.h ELSE r.h || coalesce(t.h, '') END), r.proof || coalesce(t.h, '')
+  FROM r LEFT JOIN t ON t.lvl = r.lvl AND t.pos = xor(r.pos, 1) WHERE r.m > 1
+)
+SELECT f.doc_id, f.leaf, s.subroot, t.h AS root, sha256(r.proof) AS proof_sha256, r.h AS folded_root, r.h = t.h AS verified
+FROM f JOIN s ON s.lang IS NOT DISTINCT FROM f.lang JOIN r ON r.doc_id IS NOT DISTINCT FROM f.doc_id AND r.m = 1 JOIN t ON t.m = 1
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, label=moved)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), neg AS (
+  SELECT pos.*, vec_id AS negative_id, score AS negative_score, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank
+  FROM pos JOIN p USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
+"""
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards by doc_id alone, and where a ninth would have each document."""
+    return sharding.manifest(table(spark, sf_dir, "documents"), 8).withColumn("law", F.lit("key"))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE.strip()}, d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS x FROM documents
+), j(doc_id, shards, nxt, b, k) AS (
+  SELECT doc_id, shards, 0::BIGINT, -1::BIGINT, (CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0) END)::UHUGEINT
+  FROM documents, (VALUES (8), (9)) s(shards)
+  UNION ALL
+  SELECT doc_id, shards, floor((nxt + 1) * (2147483648::DOUBLE / (kk // 8589934592 + 1)::DOUBLE))::BIGINT, nxt, kk
+  FROM (SELECT *, (k * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS kk FROM j WHERE nxt < shards)
+), p AS (
+  SELECT doc_id, max(b) FILTER (shards = 8) AS shard, max(b) FILTER (shards = 9) AS grown FROM j GROUP BY doc_id
+)
+SELECT doc_id, size::BIGINT AS size,
+       {_CRC.format(bytes="list_transform(range(0, len(x) // 2), lambda i: (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)")} AS text_crc32,
+       'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown::INTEGER AS grown_shard
+FROM d JOIN p USING (doc_id), crc
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_toxicity, op4_nearest, op5_near_dedup, op6_repeated_spans, op7_token_counts, op8_mixing, op9_chat_format, op10_exact_dedup)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_sentencepiece, op2_url_filters, op3_toxicity, op4_nearest, op5_near_dedup, op6_repeated_spans, op7_token_counts,
+            op8_mixing, op9_chat_format, op10_exact_dedup, op11_merkle_manifest, op12_hard_negatives, op13_sharding,
+        )
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op4_nearest": OP4_SQL, "op5_near_dedup": OP5_SQL, "op6_repeated_spans": OP6_SQL, "op9_chat_format": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {
+        "op4_nearest": OP4_SQL, "op5_near_dedup": OP5_SQL, "op6_repeated_spans": OP6_SQL, "op9_chat_format": OP9_SQL, "op10_exact_dedup": OP10_SQL,
+        "op11_merkle_manifest": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_sharding": OP13_SQL,
+    }
