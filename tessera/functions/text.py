@@ -156,7 +156,22 @@ def matches_phrases(c: Column, q: str) -> Column:
     form = search_form(pad_cjk(c))
     found = F.lit(bool(query_words(q)))
     for w in query_words(q):
-        found = found & F.contains(form, search_form(pad_cjk(F.lit(w))))
+        asked = search_form(pad_cjk(F.lit(w)))
+        held = F.when(F.trim(asked) == "", False).otherwise(F.contains(form, asked))
+        found = found & (F.rlike(F.lower(c), F.lit(_apart(w))) | held if re.fullmatch("[A-Za-z0-9]+", w) else held)
+    return found
+
+
+def _apart(w: str) -> str:
+    """A plain word between what is neither letter, digit nor mark: the search form surely has it as a word."""
+    return rf"(?<![\p{{L}}\p{{N}}\p{{M}}]){w.lower()}(?![\p{{L}}\p{{N}}\p{{M}}])"
+
+
+def holds_words(c: Column, q: str) -> Column:
+    """Whether every word of the query occurs as it is written, case aside."""
+    found = F.lit(bool(query_words(q)))
+    for w in query_words(q):
+        found = found & F.contains(F.lower(c), F.lit(w.lower()))
     return found
 
 

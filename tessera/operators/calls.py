@@ -20,22 +20,6 @@ def prune(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return calls.join(symbols.select("name"), "name", "left_semi")
 
 
-def enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str) -> DataFrame:
-    """points with the name of the innermost span (greatest start) of their key that covers them, else null.
-
-    Repeated points stay; each place is looked up once.
-    """
-    inner = spans.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(name).alias("_n"))
-    places = points.select(F.col(key).alias("_key"), F.col(at).alias("_at")).distinct()
-    covered = (
-        places.join(inner, (F.col("_key") == F.col("_k")) & F.col("_at").between(F.col("_s"), F.col("_e")))
-        .groupBy("_key", "_at")
-        .agg(F.max(F.struct("_s", "_n")).alias("best"))
-        .select("_key", "_at", F.col("best._n").alias("caller"))
-    )
-    return points.join(covered, (F.col(key) == F.col("_key")) & (F.col(at) == F.col("_at")), "left").select(*points.columns, "caller")
-
-
 def attribute(calls: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
     """Every call of a declared name with via and target.
 

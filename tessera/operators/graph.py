@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.staging import checkpointed
+from tessera.sources.staging import written
 
 DAMPING, ITERATIONS = 0.85, 20
 
@@ -32,26 +32,39 @@ def unique_of_least_rank(hits: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+#: The steps that one written table takes further: each uses the one before twice.
+STEPS_WRITTEN = 4
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
     """(node, importance): PageRank after a fixed number of steps, divided by its mean, to four places.
 
-    Every edge row counts, repeated ones too. A node without edges spreads its rank over all; that mass is
-    what the others do not pass on, so that one number a step comes to the driver.
+    Every edge row counts, repeated ones too. A node without edges spreads its rank over all. What that adds is the same
+    for every node, so that the rank after k steps is a sum of the vectors that come of passing ones along the edges
+    0 to k times, and its factors follow from the sums of these vectors: no step waits for a number from the driver,
+    which sees one row of sums at the end.
     """
-    n = nodes.count()
-    if not n:
-        return nodes.select("node", F.lit(0.0).alias("importance"))
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    shares = checkpointed(
-        edges.join(degree, "src").groupBy("src", "dst").agg((F.count(F.lit(1)) / F.first("degree")).alias("share"))
-    )
-    nodes = checkpointed(nodes.select("node"))
-    rank = nodes.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(iterations):
-        inflow = shares.join(rank, shares["src"] == rank["node"]).groupBy(F.col("dst").alias("node")).agg(
-            F.sum(F.col("rank") * F.col("share")).alias("inflow")
+    shares = written(edges.join(degree, "src").groupBy("src", "dst").agg((F.count(F.lit(1)) / F.first("degree") * damping).alias("share")))
+    state = written(nodes.select("node", F.array(F.lit(1.0)).alias("passed")))
+    for step in range(1, iterations + 1):
+        inflow = (
+            shares.join(state.select(F.col("node").alias("src"), F.element_at("passed", -1).alias("last")), "src")
+            .groupBy(F.col("dst").alias("to"))
+            .agg(F.sum(F.col("last") * F.col("share")).alias("inflow"))
+        )
+        state = state.join(inflow, F.col("node") == F.col("to"), "left").select(
+            "node", F.concat("passed", F.array(F.coalesce("inflow", F.lit(0.0)))).alias("passed")
         )
-        flow = checkpointed(nodes.join(inflow, "node", "left").select("node", F.coalesce("inflow", F.lit(0.0)).alias("inflow")))
-        passed = flow.agg(F.sum("inflow")).first()[0] or 0.0
-        rank = flow.select("node", (F.lit((1 - damping) / n + damping * (1 - passed) / n) + damping * F.col("inflow")).alias("rank"))
-    return rank.select("node", F.round(F.col("rank") * n, 4).alias("importance"))
+        if step % STEPS_WRITTEN == 0 or step == iterations:
+            state = written(state)
+    sums = state.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("passed", F.lit(i))).alias(f"s{i}") for i in range(iterations + 1)]).first()
+    n = sums.n
+    if not n:
+        return state.select("node", F.lit(0.0).alias("importance"))
+    factors = [1.0 / n]
+    for _ in range(iterations):
+        passed = sum(f * sums[f"s{i + 1}"] for i, f in enumerate(factors)) / damping
+        factors = [(1 - damping) / n + damping * (1 - passed) / n, *factors]
+    rank = sum((F.get("passed", F.lit(i)) * (f * n) for i, f in enumerate(factors)), F.lit(0.0))
+    return state.select("node", F.round(rank, 4).alias("importance"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import text_index
 
 SYMBOL_LIMIT, TEXT_LIMIT, PER_FILE = 60, 6, 1
 FIND_BUDGET, MAP_BUDGET = 2000, 1200
@@ -39,15 +40,20 @@ def path_matches(files: DataFrame, q: str, limit: int = SYMBOL_LIMIT) -> DataFra
     )
 
 
-def text_matches(docs: DataFrame, files: DataFrame, q: str, limit: int = TEXT_LIMIT) -> DataFrame:
+def text_matches(docs: DataFrame, files: DataFrame, q: str, limit: int = TEXT_LIMIT, postings: DataFrame | None = None) -> DataFrame:
     """Bodies that hold every word of the query as a whole word (a phrase, if it has punctuation) and as it is
     written: weight, line of the first word, and an excerpt.
 
     A query that is one identifier must not be part of a longer one. Places and weights are ranked without the
-    bodies; those of the answers are fetched afterwards.
+    bodies; those of the answers are fetched afterwards. postings: an index of the bodies (see text_index), which says
+    in which of them the whole words are; without it all bodies are searched, by the cheapest test first.
     """
     body = F.col("body")
-    hits = docs.where(T.matches_phrases(body, q))
+    if postings is None:
+        hits = docs.where(T.holds_words(body, q)).where(T.matches_phrases(body, q))
+    else:
+        found = text_index.matching(postings, text_index.wanted(docs.sparkSession, q))
+        hits = text_index.bodies_of(docs, found).where(T.holds_words(body, q))
     if T.identifier_shaped(q):
         hits = hits.where(T.has_identifier(body, q))
     hits = hits.select("path", T.every_word_at(body, q).alias("at"), T.body_weight(body, q).alias("weight")).where("at > 0")
@@ -56,6 +62,8 @@ def text_matches(docs: DataFrame, files: DataFrame, q: str, limit: int = TEXT_LI
         .orderBy(F.desc("weight"), F.desc("importance"), "path")
         .limit(limit)
     )
+    if postings is not None:
+        docs = text_index.bodies_of(docs, top)
     # at most limit rows
     found = docs.select("path", "body").join(F.broadcast(top), "path").withColumn("line", T.line_at(body, F.col("at")))
     return found.select("path", "weight", "importance", "line", T.excerpt(body, F.col("line")).alias("excerpt")).orderBy(
@@ -76,6 +84,7 @@ def find(
     limit: int = SYMBOL_LIMIT,
     text_limit: int = TEXT_LIMIT,
     per_file: int = PER_FILE,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """One answer per file from the three sources, the best by tier, weight and importance."""
     if not q.strip():
@@ -87,7 +96,7 @@ def find(
     )
     none, zero = F.lit(None).cast("string").alias("name"), F.lit(0).cast("long")
     paths = path_matches(files, q, limit).select("path", none, "tier", zero.alias("weight"), "importance", zero.alias("line"), F.lit("path").alias("source"))
-    texts = text_matches(docs, files, q, text_limit).select("path", none, F.lit(T.TEXT).alias("tier"), "weight", "importance", "line", F.lit("text").alias("source"))
+    texts = text_matches(docs, files, q, text_limit, postings).select("path", none, F.lit(T.TEXT).alias("tier"), "weight", "importance", "line", F.lit("text").alias("source"))
     order = F.when(F.col("source") == "symbol", 0).when(F.col("source") == "path", 1).otherwise(2)
     best = Window.partitionBy("path").orderBy(F.desc("tier"), F.desc("weight"), F.desc("importance"), order, "line", "name")
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import bugs, calls, extract, graph, guard, refresh, search
+from tessera.operators import bugs, calls, extract, graph, guard, refresh, search, sweep
 from tessera.plans import model
 from tessera.plans.model import SNAPSHOTS_SQL, SQL, table
 from tessera.sources.staging import checkpointed
@@ -379,7 +379,7 @@ def semi_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 def enclosing_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = model.calls(spark, sf_dir).select("path", "name", "line")
     spans = model.symbols(spark, sf_dir).where("kind = 'function'")
-    return calls.enclosing(points, spans, "path", "line", "line", "end_line", "name")
+    return sweep.enclosing(points, spans, "path", "line", "line", "end_line", "name")
 
 
 _DIFF = """diff AS (

@@ -2,76 +2,107 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import calls as call_ops
-from tessera.operators import extract, graph, refresh, resolve, search
+from tessera.operators import extract, graph, refresh, resolve, search, text_index
 from tessera.sources import files as source
 from tessera.sources import index_store
-from tessera.sources.staging import checkpointed
-
-
-def build_index(listing: DataFrame, excludes=source.EXCLUDES, ignore: str = "") -> dict[str, DataFrame]:
-    """All tables of the index of a listing (see sources.files)."""
-    chosen = checkpointed(source.candidates(listing, excludes, ignore))
-    found = checkpointed(extract.symbols(chosen))
-    specs = checkpointed(extract.imports(chosen))
-    rows = extract.file_rows(chosen)
-    links = resolve.edges(specs, rows)
-    rank = graph.pagerank(rows.select(F.col("path").alias("node")), checkpointed(links))
-    files = rows.join(rank.withColumnRenamed("node", "path"), "path")
+from tessera.sources.staging import written
+
+
+def _rows(chosen: DataFrame, hooks: dict) -> dict[str, DataFrame]:
+    """What each file (path, bytes, mtime_ms, language, content) adds to the tables, importance aside."""
+    analyzer = hooks.get("analyzer")
+    found = written(extract.symbols(chosen, analyzer))
+    files = extract.file_rows(chosen, hooks.get("count_tokens", T.estimate_tokens), analyzer)
+    docs = chosen.select("path", extract.describe("content", "language").alias("description"), F.col("content").alias("body"))
     return {
         "files": files,
         "symbols": found,
-        "imports": specs,
+        "imports": extract.imports(chosen),
         "calls": extract.calls(chosen, found),
-        "docs": files.select("path", "description").join(chosen.select("path", F.col("content").alias("body")), "path"),
-        "coverage": source.coverage(listing, excludes, ignore),
+        "docs": docs,
+        "postings": text_index.postings(docs),
     }
 
 
+def _ranks(files: DataFrame, imports: DataFrame) -> DataFrame:
+    rank = graph.pagerank(files.select(F.col("path").alias("node")), written(resolve.edges(imports, files)))
+    return rank.withColumnRenamed("node", "path")
+
+
+def build_index(listing: DataFrame, excludes=source.EXCLUDES, ignore: str = "", **hooks) -> dict[str, DataFrame]:
+    """All tables of the index of a listing (see sources.files), whose contents are read once."""
+    indexed = written(source.known(listing, excludes, ignore).where("language is not null"))
+    chosen = indexed.where("readable")
+    tables = _rows(chosen, hooks)
+    tables["imports"] = written(tables["imports"])
+    files = written(tables["files"])
+    tables["files"] = files.join(_ranks(files, tables["imports"]), "path")
+    others = source.known(listing.select("path"), excludes, ignore).where("language is null").select("path", F.lit(False).alias("readable"))
+    tables["coverage"] = source.coverage(others.unionByName(indexed.select("path", "readable")), excludes, ignore)
+    tables["stats"] = indexed.select("path", "bytes", "mtime_ms", "language", "readable")
+    return tables
+
+
 @dataclass
 class Project:
-    """An index at a path. Every query is lazy and returns a DataFrame."""
+    """An index at a path. Queries return DataFrames.
+
+    hooks: count_tokens (text column to token count) and analyzer (language and content to declarations), as
+    extract.file_rows and extract.symbols take them.
+    """
 
     spark: SparkSession
     index: str
+    hooks: dict = field(default_factory=dict)
 
     def scan(self, root: str, excludes=source.EXCLUDES, ignore: str = "") -> str:
         listing = source.scan(self.spark, root)
-        return index_store.write(self.spark, self.index, build_index(listing, excludes, ignore), {"root": root})
-
-    def refresh(self, root: str, ignore: str = "") -> DataFrame:
-        """Brings the index up to the tree; returns what changed. Unchanged files keep their rows."""
-        old, _ = index_store.read(self.spark, self.index)
-        listing = source.scan(self.spark, root)
-        now = checkpointed(source.candidates(listing, ignore=ignore))
-        diff = checkpointed(refresh.snapshot_diff(old["files"], now))
-        if not diff.where("status <> 'reused'").limit(1).count():
-            return diff
-        came = diff.where("status in ('added', 'updated')").select("path")
-        fresh = checkpointed(now.join(came, "path", "left_semi"))
-        found = checkpointed(extract.symbols(fresh))
-        rows = refresh.sync(old["files"].drop("importance"), extract.file_rows(fresh).select(*[c for c in old["files"].columns if c != "importance"]), diff)
-        specs = checkpointed(refresh.sync(old["imports"], extract.imports(fresh), diff))
-        rows = checkpointed(rows)
-        rank = graph.pagerank(rows.select(F.col("path").alias("node")), checkpointed(resolve.edges(specs, rows)))
-        files = rows.join(rank.withColumnRenamed("node", "path"), "path")
-        bodies = fresh.select("path", extract.describe("content").alias("description"), F.col("content").alias("body"))
-        tables = {
-            "files": files,
-            "symbols": refresh.sync(old["symbols"], found, diff),
-            "imports": specs,
-            "calls": refresh.sync(old["calls"], extract.calls(fresh, found), diff),
-            "docs": refresh.sync(old["docs"], bodies, diff),
-            "coverage": source.coverage(listing, ignore=ignore),
-        }
-        index_store.write(self.spark, self.index, tables, {"root": root})
-        return diff
+        return index_store.write(self.spark, self.index, build_index(listing, excludes, ignore, **self.hooks), {"root": root})
+
+    def refresh(self, root: str, excludes=source.EXCLUDES, ignore: str = "") -> DataFrame:
+        """Brings the index up to the tree; returns what changed by path: added, updated, removed or reused.
+
+        The tree is listed without opening a file, and the listing compared with the stored one; if nothing
+        differs, that is all. Else only added and updated files are opened, and one layer with their rows is written.
+        Importance is found anew where files came or went or imports changed. Another writer in between makes the
+        refresh begin again.
+        """
+        while True:
+            old, meta = index_store.read(self.spark, self.index)
+            listing = source.stat(self.spark, root)
+            now = source.known(listing, excludes, ignore).where("language is not null")
+            diff = written(refresh.snapshot_diff(old["stats"], now))
+            if not diff.where("status <> 'reused'").limit(1).count():
+                return diff
+            came = diff.where("status in ('added', 'updated')").select("path")
+            gone = diff.where("status in ('removed', 'updated')").select("path")
+            opened = source.contents(self.spark, root, came).join(came, "path", "left_semi")
+            opened = written(opened.withColumn("language", source.language(F.col("path"))))
+            tables = _rows(opened.where("readable"), self.hooks)
+            tables["imports"], files = written(tables["imports"]), written(tables["files"])
+            tables["files"] = files
+            mine = old["imports"].join(came, "path", "left_semi").select("path", "spec")
+            fresh = tables["imports"].select("path", "spec")
+            moved = diff.where("status in ('added', 'removed')").limit(1).count() or mine.exceptAll(fresh).unionByName(fresh.exceptAll(mine)).limit(1).count()
+            if moved:
+                merged = {t: refresh.sync(old[t].select(*new.columns), new, diff) for t, new in (("imports", fresh), ("files", files))}
+                tables["ranks"] = _ranks(written(merged["files"]), written(merged["imports"]))
+            stats = opened.select("path", "bytes", "mtime_ms", "language", "readable")
+            seen = refresh.sync(old["stats"], stats, diff).select("path", "readable")
+            others = source.known(listing.select("path"), excludes, ignore).where("language is null").select("path", F.lit(False).alias("readable"))
+            tables["coverage"], tables["stats"] = source.coverage(others.unionByName(seen), excludes, ignore), stats
+            try:
+                index_store.append(self.spark, self.index, meta["number"], tables, gone, {"root": root})
+                return diff
+            except index_store.IndexMoved:
+                continue
 
     def _tables(self) -> dict[str, DataFrame]:
         return index_store.read(self.spark, self.index)[0]
@@ -82,7 +113,7 @@ class Project:
 
     def find(self, query: str, limit: int = search.SYMBOL_LIMIT, text_limit: int = search.TEXT_LIMIT, per_file: int = 1) -> DataFrame:
         t = self._tables()
-        return search.find(t["symbols"], t["files"], t["docs"], query, limit, text_limit, per_file)
+        return search.find(t["symbols"], t["files"], t["docs"], query, limit, text_limit, per_file, t.get("postings"))
 
     def other_names(self, query: str) -> DataFrame:
         """The other matching names of the file that find puts first."""

@@ -13,7 +13,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-INDEX_VERSION = 1
+INDEX_VERSION = 2
 
 
 def _table(**columns) -> StructType:
@@ -39,4 +39,15 @@ BUGS = _table(
 )
 READS = _table(session=_s, path=_s, offset=_l, limit=_l, mtime_ms=_d, size=_l, is_error=_b, at=_s)
 SOURCES = _table(path=_s, content=_s, bytes=_l, mtime_ms=_d)
+POSTINGS = _table(bucket=_i, term=_s, path=_s, places=ArrayType(_i))
+STATS = _table(path=_s, bytes=_l, mtime_ms=_d, language=_s, readable=_b)
 TABLES = {"files": FILES, "symbols": SYMBOLS, "imports": IMPORTS, "calls": CALLS, "docs": DOCS, "meta": META, "coverage": COVERAGE}
+#: What is written: importance apart from the rest of a file, as it moves with every edge; and what layers need.
+STORED = {
+    **TABLES,
+    "files": StructType([f for f in FILES if f.name != "importance"]),
+    "ranks": _table(path=_s, importance=_d),
+    "postings": POSTINGS,
+    "stats": STATS,
+    "gone": _table(path=_s),
+}

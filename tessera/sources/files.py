@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,26 +72,56 @@ def _any_ends(parts: Column, ending: str) -> Column:
     return F.exists(parts, lambda p: F.endswith(p, F.lit(ending)))
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to root, content, bytes, mtime_ms, readable) of every file below root.
-
-    Files over the size limit and binary ones (with a NUL byte) are not readable and have no content.
-    """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = rows.select("path").limit(1).first()
-    prefix = _prefix(spark, root) if base else ""
-    told = [
+def _told(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
+    prefix = _prefix(spark, root)
+    # a file that is read by its own path comes back as such
+    return rows.select(
         F.substring("path", len(prefix) + 1, 1 << 30).alias("path"),
         F.col("length").alias("bytes"),
         (F.unix_micros("modificationTime") / 1000.0).alias("mtime_ms"),
-    ]
+        "content",
+    )
+
+
+def stat(spark: SparkSession, root: str) -> DataFrame:
+    """(path relative to root, bytes, mtime_ms) of every file below root. No file is opened: the content is not asked for."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _told(spark, rows, root).drop("content")
+
+
+def _decoded(rows: DataFrame) -> DataFrame:
     # the source filters by length before it opens a file, and does not open what nobody reads the content of
     text = F.decode("content", "UTF-8")
-    small = rows.where(F.col("length") <= MAX_FILE_BYTES).select(*told, F.when(~F.contains(text, F.lit("\0")), text).alias("content"))
-    large = rows.where(F.col("length") > MAX_FILE_BYTES).select(*told, F.lit(None).cast("string").alias("content"))
+    small = rows.where(F.col("bytes") <= MAX_FILE_BYTES).withColumn("content", F.when(~F.contains(text, F.lit("\0")), text))
+    large = rows.where(F.col("bytes") > MAX_FILE_BYTES).withColumn("content", F.lit(None).cast("string"))
     return small.unionByName(large).withColumn("readable", F.col("content").isNotNull())
 
 
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """(path relative to root, bytes, mtime_ms, content, readable) of every file below root.
+
+    Files over the size limit and binary ones (with a NUL byte) are not readable and have no content.
+    """
+    return _decoded(_told(spark, spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root))
+
+
+#: So many changed files are named to the source; if more changed, the tree is read and the others are left out.
+NAMED_FILES = 10_000
+
+
+def contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """scan, of some paths only."""
+    named = [r.path for r in paths.select("path").limit(NAMED_FILES + 1).collect()]
+    if len(named) > NAMED_FILES:
+        return scan(spark, root).join(paths.select("path"), "path", "left_semi")
+    if not named:
+        return scan(spark, root).limit(0)
+    prefix = _prefix(spark, root)
+    # characters that a path pattern would take for its own
+    whole = [prefix + re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in named]
+    return _decoded(_told(spark, spark.read.format("binaryFile").load(whole), root))
+
+
 def capped_text(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """(path, text, bytes, truncated) of the files at a path: their first max_bytes bytes as text."""
     rows = spark.read.format("binaryFile").load(path)
@@ -115,15 +146,18 @@ def from_map(spark: SparkSession, contents: dict[str, str], mtime_ms: float = 0.
 
 def candidates(listing: DataFrame, excludes=EXCLUDES, ignore: str = "") -> DataFrame:
     """The files that are indexed, with their language."""
+    return known(listing, excludes, ignore).where("language is not null and readable")
+
+
+def known(listing: DataFrame, excludes=EXCLUDES, ignore: str = "") -> DataFrame:
+    """The files that are not left out, with their language, if they have one that is indexed."""
     names, endings = ignored_names(ignore)
-    kept = listing.where(~left_out(F.col("path"), (*EXCLUDES, *excludes), names, endings)).withColumn("language", language(F.col("path")))
-    return kept.where("language is not null and readable")
+    return listing.where(~left_out(F.col("path"), (*EXCLUDES, *excludes), names, endings)).withColumn("language", language(F.col("path")))
 
 
 def coverage(listing: DataFrame, excludes=EXCLUDES, ignore: str = "") -> DataFrame:
     """One row: files seen, candidates, failed and skipped, and the most frequent suffixes skipped."""
-    names, endings = ignored_names(ignore)
-    kept = listing.where(~left_out(F.col("path"), (*EXCLUDES, *excludes), names, endings)).withColumn("language", language(F.col("path")))
+    kept = known(listing, excludes, ignore)
     skipped = F.col("language").isNull()
     totals = kept.agg(
         F.count(F.lit(1)).alias("seen"),

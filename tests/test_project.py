@@ -88,7 +88,7 @@ def test_import_grammars(language, text, specs):
     ("rs", "let mut s: &mut Store = x", ("s", "Store")), ("rs", "let s = Store::open()", ("s", "Store")), ("rs", "s = Store::open()", None),
 ])
 def test_stated_types(language, line, want):
-    assert extract.declared_type(line, language) == want
+    assert extract.stated_types(line, language) == ([want] if want else [])
 
 
 def test_declaring_lines(spark):
