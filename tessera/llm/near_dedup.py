@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, join_lists, map_arrow, map_pandas, stage
 from tessera.llm.components import components
-from tessera.llm.shingles import Powers, mix, sets
+from tessera.llm.shingles import mix, sets
 
 INDEX = 16
 SKETCH = 64
@@ -63,10 +63,9 @@ def least_shared(k: int, percent: int) -> int:
 
 def _describe(words: int):
     def run(batches):
-        memory = Powers()
         for batch in batches:
             sizes, first, second, sketches = [], [], [], []
-            for found in sets(batch.column(1), words, memory):
+            for found in sets(batch.column(1), words):
                 sizes.append(len(found))
                 u = found.view(np.uint64)
                 first.append(int(u.sum(dtype=np.uint64).view(np.int64)))
@@ -82,10 +81,9 @@ def _describe(words: int):
 
 def _sets(words: int):
     def run(batches):
-        memory = Powers()
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.tobytes() for s in sets(batch.column(1), words, memory)], pa.binary())],
+                [batch.column(0), pa.array([s.tobytes() for s in sets(batch.column(1), words)], pa.binary())],
                 names=["node", "members"],
             )
 
