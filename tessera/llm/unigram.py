@@ -1,10 +1,14 @@
 """A unigram vocabulary, and the best segmentation by it.
 
-The score of a segmentation is the sum of its pieces' log-probabilities. A unigram model file gives them. A file
-of another kind has none (its scores are merge ranks), so that its pieces, which stand in order of frequency,
-get those of Zipf's law by their place; as_unigram writes the same model for the tokenizer library, whose ids
-are equal text by text. Log-probabilities are kept in steps of 1 / STEPS: sums are then exact, in the library
-(single precision) up to some 200,000 pieces a text, here always.
+The score of a segmentation is the sum of its pieces' log-probabilities. A unigram model file gives them, and they
+are taken as they are: numbers of single precision, whose sums are exact here (in double precision). The library adds in
+single precision, so that of segmentations whose sums differ by less than its rounding it may take another. A file of
+another kind has none (its scores are merge ranks), so that its pieces, which stand in order of frequency, get those of
+Zipf's law by their place, in steps of 1 / STEPS; as_unigram writes the same model for the tokenizer library, which adds
+such steps exactly up to some 200,000 pieces a text and whose ids are equal text by text.
+
+Of a file's normaliser only the space mark in front and for spaces is known; a unigram file with another one, or with
+pieces that its user defined, is refused.
 
 Ties go as in the library: of the pieces that end at one place the one that starts first wins. A character that
 is no piece counts as unknown, 10 below the smallest score, and is written as its bytes where the vocabulary
@@ -28,27 +32,32 @@ ALONE = "\n\t\r"
 CACHED_UNITS = 150_000
 CACHED_CHARS = 64
 NONE = float("-inf")
-#: Scores are multiples of 1 / STEPS.
+#: The scores of Zipf's law are multiples of 1 / STEPS.
 STEPS = 8
 #: What is added to a place in Zipf's law.
 OFFSET = 2.7
-UNIGRAM, NORMAL, UNKNOWN, CONTROL, UNUSED, BYTE = 1, 1, 2, 3, 5, 6  # fixed values of the model format
+UNIGRAM, NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 1, 2, 3, 4, 5, 6  # fixed values of the model format
 
 
 def as_unigram(path: str):
-    """The model file as a unigram model of the library's format, its normal pieces' scores in steps of 1 / STEPS."""
+    """The model file as a unigram model of the library's format: as it is, or with scores by Zipf's law."""
     from sentencepiece import sentencepiece_model_pb2
 
     model = sentencepiece_model_pb2.ModelProto()
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
+    if model.trainer_spec.model_type == UNIGRAM:
+        spec = model.normalizer_spec
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not spec.escape_whitespaces:
+            raise ValueError("the model normalises texts in a way that is not known here")
+        if any(p.type == USER_DEFINED for p in model.pieces):
+            raise ValueError("the model has pieces that its user defined")
+        return model
     normal = [p for p in model.pieces if p.type == NORMAL]
-    scores = [p.score for p in normal]
-    if model.trainer_spec.model_type != UNIGRAM:
-        weights = [1 / (place + OFFSET) for place in range(1, len(normal) + 1)]
-        scores = [math.log(w / sum_of) for sum_of in [sum(weights)] for w in weights]
-    for p, score in zip(normal, scores, strict=True):
-        p.score = round(score * STEPS) / STEPS
+    weights = [1 / (place + OFFSET) for place in range(1, len(normal) + 1)]
+    total = sum(weights)
+    for p, weight in zip(normal, weights, strict=True):
+        p.score = round(math.log(weight / total) * STEPS) / STEPS
     model.trainer_spec.model_type = UNIGRAM
     return model
 
