@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import answer, text_index
 from tessera.operators import calls as call_ops
-from tessera.operators import extract, graph, refresh, resolve, search, text_index
+from tessera.operators import extract, graph, refresh, resolve, search
 from tessera.sources import files as source
 from tessera.sources import index_store
 from tessera.sources.staging import written
@@ -108,8 +109,13 @@ class Project:
         return index_store.read(self.spark, self.index)[0]
 
     def summary(self) -> DataFrame:
+        """One row: files, symbols, tokens, symbol_source (`regex`, or `ts (N files)` where an analyzer took N), and the totals as text."""
         t = self._tables()
-        return search.index_summary(t["files"], t["symbols"])
+        found = search.index_summary(t["files"], t["symbols"])
+        parsed = t["files"].agg(F.count_if(F.col("sym_source") == "ts").alias("parsed"))
+        source_ = F.when(F.col("parsed") > 0, F.concat(F.lit("ts ("), F.col("parsed").cast("string"), F.lit(" files)"))).otherwise("regex")
+        said = F.format_string("%s files, %s symbols, %s tokens", *[answer.number(F.col(c)) for c in ("files", "symbols", "tokens")])
+        return found.crossJoin(parsed).select(*found.columns, source_.alias("symbol_source"), said.alias("said"))  # one row each
 
     def find(self, query: str, limit: int = search.SYMBOL_LIMIT, text_limit: int = search.TEXT_LIMIT, per_file: int = 1) -> DataFrame:
         t = self._tables()
@@ -125,6 +131,40 @@ class Project:
         order = [F.desc("tier"), F.desc("weight"), F.desc("importance"), F.asc("path")]
         return search.within_budget(self.find(query), order, cost, budget)
 
+    def answer(self, query: str, budget: int = search.FIND_BUDGET, bodies: int = 1, callers: int = 5, per_file: int = 1, full: bool = False) -> DataFrame:
+        """find as a reader takes it, within a token budget: headings with descriptions, the callers of the first hit,
+        other names of its file, bodies of the first hits that are symbols and excerpts of those in texts (see
+        operators.answer). full: whole bodies. One row a piece: hit, place, nth, kind, text, cost, spent, truncated."""
+        t = self._tables()
+        bodies, callers, per_file = max(0, min(8, bodies)), max(0, min(50, callers)), max(1, min(50, per_file))
+        found = self.find(query, per_file=1)
+        named = t["symbols"].select("path", "name", "kind", F.col("line").cast("long").alias("line"), "end_line").dropDuplicates(["path", "name", "line"])
+        order = Window.orderBy(F.desc("tier"), F.desc("weight"), F.desc("importance"), "path")
+        # as many rows as find's limits allow
+        hits = found.withColumn("hit", F.row_number().over(order)).join(named, ["path", "name", "line"], "left")
+        hits = written(hits.join(t["files"].select("path", "description"), "path", "left"))
+        pieces = answer.headings(hits)
+        first = hits.where("hit = 1 and source = 'symbol'").first()
+        shown = hits.where((F.col("source") == "symbol") & (F.col("hit") <= bodies))
+        if bodies:
+            most = (1 << 31) - 1 if full else answer.BODY_LINES
+            docs = text_index.bodies_of(t["docs"], shown)
+            told = search.symbol_bodies(shown.select("hit", "path", F.col("line").cast("int").alias("line"), "end_line"), docs, most)
+            pieces = pieces.unionByName(answer.bodies(hits, told.select("hit", "shown", "omitted")))
+            texts = search.text_matches(t["docs"], t["files"], query, postings=t.get("postings")).select("path", "excerpt")
+            pieces = pieces.unionByName(answer.excerpts(hits.where("source = 'text'").join(texts, "path")))
+        if first and callers and bodies:
+            report, sites = self.callers(first.name, first.path, callers)
+            by = Window.orderBy(F.desc("importance"), "path", "line")
+            sites = written(sites.withColumn("nth", F.row_number().over(by)))  # at most 50 rows
+            pieces = pieces.unionByName(answer.callers(report, sites))
+        if first and per_file > 1:
+            others = search.other_names(t["symbols"], found, query).where(F.col("name") != first.name)
+            others = others.orderBy(F.desc("tier"), "line", "name").limit(per_file - 1)
+            others = others.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("tier"), "line", "name")))
+            pieces = pieces.unionByName(answer.other_names(others.withColumn("hit", F.lit(1))))
+        return answer.fold(pieces, budget)
+
     def file(self, rel: str) -> DataFrame:
         t = self._tables()
         return search.nested_entries(search.file_detail(t["files"], rel), t["symbols"], t["imports"])
@@ -141,7 +181,7 @@ class Project:
         t = self._tables()
         return call_ops.attribute(call_ops.prune(t["calls"], t["symbols"]), t["symbols"], t["files"], resolve.edges(t["imports"], t["files"]))
 
-    def callers(self, name: str, path: str) -> tuple[DataFrame, DataFrame]:
+    def callers(self, name: str, path: str, limit: int = 20) -> tuple[DataFrame, DataFrame]:
         """The report on a declaration's callers, and the most important of them."""
         found = self.attributed_calls()
-        return call_ops.report(found, name, path), call_ops.top_callers(found, self._tables()["files"], name, path)
+        return call_ops.report(found, name, path), call_ops.top_callers(found, self._tables()["files"], name, path, limit)
