@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import bpe
 from tessera.functions import text as T
-from tessera.operators import bugs, calls, extract, graph, guard, refresh, search, sweep
+from tessera.operators import answer, bugs, calls, extract, graph, guard, refresh, resolve, search, sweep, text_index
 from tessera.plans import model
 from tessera.plans.model import SNAPSHOTS_SQL, SQL, table
-from tessera.sources.staging import checkpointed
+from tessera.sources.staging import checkpointed, written
+
+#: A byte-level BPE vocabulary, for exact counts.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -462,12 +467,12 @@ def bug_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT conv_id AS session, turn AS at, role AS kind, text FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 50",
 )
 def journal_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = table(spark, sf_dir, "conversations")
-    return (
-        notes.orderBy(F.desc("conv_id"), F.desc("turn"))
-        .limit(50)
-        .select(F.col("conv_id").alias("session"), F.col("turn").alias("at"), F.col("role").alias("kind"), "text")
-    )
+    from tessera.sources import memory
+
+    said = table(spark, sf_dir, "conversations")
+    notes = said.select(F.col("conv_id").alias("at"), F.col("turn").alias("seq"), F.col("role").alias("kind"), "text")
+    found = memory.latest(notes, 50)
+    return found.select(F.col("at").alias("session"), F.col("seq").alias("at"), "kind", "text")
 
 
 @register(
@@ -552,3 +557,135 @@ def symbol_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("important_files", f"{SQL} SELECT path, importance FROM files ORDER BY importance DESC, path LIMIT 5")
 def important_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.files(spark, sf_dir).select("path", "importance").orderBy(F.desc("importance"), "path").limit(5)
+
+
+@register(
+    "text_index_postings",
+    f"""{SQL}, terms AS (SELECT path, string_split(trim({_FORM.format('body')}), ' ') AS t FROM docs
+    ), placed AS (SELECT path, t[i] AS term, i - 1 AS place FROM (SELECT path, t, unnest(range(1, len(t) + 1)) AS i FROM terms) WHERE t[i] <> '')
+    SELECT path, term, count(*) AS n, min(place)::INTEGER AS first, sum(place)::BIGINT AS places FROM placed GROUP BY path, term""",
+)
+def text_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every posting of the index of all documents: how often a word is in a body, its first place, the sum of all."""
+    found = text_index.postings(model.docs(spark, sf_dir).select("path", "body"))
+    total = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("path", "term", F.size("places").cast("long").alias("n"), F.get("places", F.lit(0)).alias("first"), total.alias("places"))
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all documents, written as the index store writes it."""
+    return written(text_index.postings(model.docs(spark, sf_dir).select("path", "body")), partition_by="bucket")
+
+
+_INDEXED = {"the": ["the"], "of the": ["of", "the"], "que ainsi": ["que", "ainsi"], "nowhere-to-be": ["nowhere-to-be"]}
+
+
+@register(
+    "indexed_text_search",
+    SQL + " " + " UNION ALL ".join(
+        f"SELECT '{q}' AS query, path, weight, importance, line, {_EXCERPT} AS excerpt FROM ({_texts(q, words, 50)})" for q, words in _INDEXED.items()
+    ),
+)
+def indexed_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text_matches by the positional index, for a common word, two words, words of another language and one that is nowhere."""
+    docs, files, index = model.docs(spark, sf_dir).select("path", "body"), model.files(spark, sf_dir), _indexed(spark, sf_dir)
+    found = None
+    for q in _INDEXED:
+        rows = search.text_matches(docs, files, q, 50, index).select(F.lit(q).alias("query"), "path", "weight", "importance", "line", "excerpt")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@register("indexed_phrases", f"{SQL} SELECT path, contains({_FORM.format('body')}, ' the of ') AS adjacent FROM docs WHERE contains({_FORM.format('body')}, ' the of ') OR contains({_FORM.format('body')}, ' of the ')")
+def indexed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies with two words next to each other in either order, by joining their places."""
+    index = _indexed(spark, sf_dir)
+    found = [text_index.matching(index, text_index.wanted(spark, q)).withColumn("adjacent", F.lit(k)) for k, q in ((True, "the-of"), (False, "of-the"))]
+    return found[0].unionByName(found[1]).groupBy("path").agg(F.bool_or("adjacent").alias("adjacent"))
+
+
+_ANSWER_BUDGET = 400
+
+
+@register(
+    "answer_packing",
+    f"""WITH RECURSIVE {SQL.strip().removeprefix("WITH ")}, hits AS (
+      SELECT *, row_number() OVER (ORDER BY tier DESC, importance DESC, path, line, name)::INTEGER AS hit FROM ({_named('th', 1, 60)})
+    ), told AS (
+      SELECT hit, path || ':' || line || '-' || end_line || '  ' || kind || ' ' || name || '  [' || printf('%.2f', h.importance) || ']' AS heading,
+             CASE WHEN f.description <> '' THEN '    ' || f.description END AS description,
+             array_to_string(list_slice(string_split(body, chr(10)), line, least(end_line, line + 79)), chr(10)) AS body
+      FROM hits h JOIN files f USING (path) JOIN docs USING (path)
+    ), pieces AS (
+      SELECT hit, 0 AS place, 'heading' AS kind, heading AS text, ceil(length(heading) / 4.0)::BIGINT + 2 AS cost FROM told
+      UNION ALL SELECT hit, 1, 'description', description, ceil(length(description) / 4.0)::BIGINT + 1 FROM told WHERE description IS NOT NULL
+      UNION ALL SELECT hit, 8, 'body', body, ceil(length(body) / 4.0)::BIGINT + 2 FROM told WHERE hit <= 8
+    ), ordered AS (SELECT *, row_number() OVER (ORDER BY hit, place) AS k FROM pieces
+    ), fold AS (
+      SELECT 0::BIGINT AS k, 40::BIGINT AS spent, false AS ended, false AS taken, false AS cut
+      UNION ALL
+      SELECT o.k, f.spent + CASE WHEN NOT f.ended AND (f.spent + o.cost <= {_ANSWER_BUDGET} OR o.kind = 'description' OR o.k = 1) THEN o.cost ELSE 0 END,
+             f.ended OR (o.kind = 'heading' AND o.k > 1 AND f.spent + o.cost > {_ANSWER_BUDGET}),
+             NOT f.ended AND (f.spent + o.cost <= {_ANSWER_BUDGET} OR o.kind = 'description' OR o.k = 1),
+             f.cut OR (NOT f.ended AND o.kind <> 'description' AND o.k > 1 AND f.spent + o.cost > {_ANSWER_BUDGET})
+      FROM fold f JOIN ordered o ON o.k = f.k + 1
+    )
+    SELECT hit, kind, text, cost, (SELECT max(spent) FROM fold) AS spent, (SELECT bool_or(cut) FROM fold) AS truncated
+    FROM fold JOIN ordered USING (k) WHERE taken""",
+)
+def answer_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer to a search of all symbols within a budget: headings, descriptions and eight bodies."""
+    files, docs = model.files(spark, sf_dir), model.docs(spark, sf_dir).select("path", "body")
+    found = search.symbol_matches(model.symbols(spark, sf_dir), files, "th", per_file=1, limit=60)
+    order = Window.orderBy(F.desc("tier"), F.desc("importance"), "path", "line", "name")
+    hits = written(found.withColumn("hit", F.row_number().over(order)).withColumn("source", F.lit("symbol")).join(files.select("path", "description"), "path"))
+    shown = search.symbol_bodies(hits.where("hit <= 8").select("hit", "path", "line", "end_line"), text_index.bodies_of(docs, hits))
+    pieces = answer.headings(hits).unionByName(answer.bodies(hits, shown.select("hit", "shown", "omitted")))
+    return answer.fold(pieces, _ANSWER_BUDGET).select("hit", "kind", "text", "cost", "spent", "truncated")
+
+
+_REMEMBERED = 16
+
+
+@register(
+    "read_guard_evicting",
+    f"""WITH e AS (
+      SELECT event_id, event_type AS session, user_id AS win, props AS stat, event_id % 97 = 0 AS reset, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events
+    ), r AS (SELECT *, sum(reset::INTEGER) OVER (PARTITION BY session ORDER BY n) AS epoch FROM e
+    ), p AS (
+      SELECT *, lag(n) OVER w AS before, lag(stat) OVER w AS held FROM r WHERE NOT reset WINDOW w AS (PARTITION BY session, epoch, win ORDER BY n)
+    ), between_ AS (
+      SELECT p.event_id, count(DISTINCT q.win) AS others FROM p JOIN p q ON q.session = p.session AND q.n > p.before AND q.n < p.n WHERE p.held = p.stat GROUP BY p.event_id
+    )
+    SELECT r.event_id, coalesce(NOT r.reset AND p.held = p.stat AND coalesce(others, 0) < {_REMEMBERED}, false) AS duplicate
+    FROM r LEFT JOIN p USING (event_id) LEFT JOIN between_ USING (event_id)""",
+)
+def read_guard_evicting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few sessions of thousands of windows each, of which they remember the last 16."""
+    events = table(spark, sf_dir, "events").withColumn("reset", F.col("event_id") % 97 == 0)
+    found = guard.repeated_reads(events, "event_type", ["user_id"], "props", ["ts", "event_id"], "reset", most=_REMEMBERED)
+    return found.select("event_id", "duplicate")
+
+
+@register(
+    "resolved_imports",
+    f"""{SQL}, words AS (
+      SELECT split_part(path, '/', 2) AS lang, w[1] AS a, w[2] AS b FROM lined
+      WHERE len(w) >= 2 AND regexp_full_match(w[1], '[a-z]+') AND regexp_full_match(w[2], '[a-z]+')
+    ), modules AS (SELECT DISTINCT lang, a FROM words)
+    SELECT DISTINCT w.lang || '/' || w.a || '.py' AS src, w.lang || '/' || w.b || '.py' AS dst FROM words w JOIN modules m ON m.lang = w.lang AND m.a = w.b""",
+)
+def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of all lines as modules of their language, which import the second ones from their own folder."""
+    words = model.word_pairs(spark, sf_dir)
+    files = words.select(F.format_string("%s/%s.py", "lang", "a").alias("path"), F.lit("py").alias("language"), F.lit(None).cast("string").alias("class_name")).distinct()
+    specs = words.select(F.format_string("%s/%s.py", "lang", "a").alias("path"), F.concat(F.lit("."), "b").alias("spec")).distinct()
+    return resolve.edges(specs, files).select("src", "dst").distinct()
+
+
+@register("exact_tokens")
+def exact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte-level BPE count of every document by a public vocabulary (tested against its library)."""
+    with open(VOCABULARY, encoding="utf-8") as f:
+        spec = json.load(f)
+    return table(spark, sf_dir, "documents").select("doc_id", bpe.count_tokens(F.coalesce("text", F.lit("")), spec).alias("tokens"))

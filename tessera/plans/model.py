@@ -120,6 +120,13 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("path").agg(text.alias("content")).select("path", F.lit("py").alias("language"), "content")
 
 
+def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, a, b): the first two words of every line where both are plain."""
+    a, b = F.get("w", F.lit(0)), F.get("w", F.lit(1))
+    lines = _lines(spark, sf_dir).where(F.rlike(a, F.lit("^[a-z]+$")) & F.rlike(b, F.lit("^[a-z]+$")))
+    return lines.select(F.split_part("path", F.lit("/"), F.lit(2)).alias("lang"), a.alias("a"), b.alias("b"))
+
+
 _WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2)"
 
 

@@ -64,3 +64,29 @@ def test_several_columns_empty_tables_and_names(spark):
     assert {r["at"]: r.duplicate for r in found.collect()} == {1: False, 2: True, 3: False, 4: False}
     assert found.columns == [*df.columns, "duplicate"]
     assert guard.repeated_reads(df.limit(0), "session", ["path"], "a_stat", ["at"], "reset").collect() == []
+
+
+def test_keyed_state_goes_on_after_a_stop_and_expires(spark, tmp_path):
+    import time
+
+    from tessera.streaming import keyed_guard
+
+    rows = [r for r in events(5, 900, 12, 0.01) if r[0] is not None]
+    want = plain(rows, 8)
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("session", "n as event", "win as window", "stat", "reset", "ok", "n")
+    at = {name: str(tmp_path / name) for name in ("in", "state", "out")}
+    for part in range(3):  # each run stops, the next one goes on
+        df.where(f"n div 300 = {part}").coalesce(1).write.mode("append").parquet(at["in"])
+        stream_ = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at["in"])
+        keyed_guard.run(stream_, ["n"], at["state"], at["out"], most=8)
+    found = spark.read.parquet(at["out"]).collect()
+    assert len(found) == len(rows) and {r.event: r.duplicate for r in found} == want
+
+    again = spark.createDataFrame([("x", 1, "w", "s", False, True, 1)], df.schema)
+    again.coalesce(1).write.parquet(str(tmp_path / "in2"))
+    source = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in2"))
+    keyed_guard.run(source(), ["n"], str(tmp_path / "state2"), str(tmp_path / "out2"), idle_ms=2000)
+    time.sleep(3)
+    again.selectExpr("session", "2L as event", "window", "stat", "reset", "ok", "2L as n").coalesce(1).write.mode("append").parquet(str(tmp_path / "in2"))
+    keyed_guard.run(source(), ["n"], str(tmp_path / "state2"), str(tmp_path / "out2"), idle_ms=2000)
+    assert {r.event: r.duplicate for r in spark.read.parquet(str(tmp_path / "out2")).collect()} == {1: False, 2: False}
