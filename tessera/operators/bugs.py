@@ -64,20 +64,26 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def merge(known: DataFrame, reports: DataFrame) -> DataFrame:
-    """upsert onto an existing log: known bugs count with their occurrences and keep their first sight."""
-    fresh = upsert(reports)
+    """upsert onto an existing log: known bugs count with their occurrences and keep their first sight.
+
+    New bugs get the numbers after the largest known one, by first sight, ranges at a time.
+    """
+    fresh = upsert(reports).drop("id")
     k = known.select(*[F.col(c).alias(f"k_{c}") for c in known.columns])
-    both = fresh.join(k, F.col("symptom") == F.col("k_symptom"), "full_outer")
-    newest = F.coalesce(F.max(F.regexp_extract("k_id", r"(\d+)$", 1).cast("int")).over(Window.partitionBy()), F.lit(0))
-    order = Window.partitionBy(F.col("k_id").isNull()).orderBy("first_seen", "symptom")
-    number = F.format_string("bug-%03d", (newest + F.row_number().over(order)).cast("int"))
+    both = checkpointed(fresh.join(k, F.col("symptom") == F.col("k_symptom"), "full_outer"))
+    newest = both.agg(F.coalesce(F.max(F.regexp_extract("k_id", r"(\d+)$", 1).try_cast("int")), F.lit(0)).alias("n")).first().n
+    numbered = _numbered(both.where("k_id is null"), ["first_seen", "symptom"])
+    old = both.where("k_id is not null").withColumn("number", F.lit(0))
+    every = numbered.unionByName(old)
+    number = F.format_string("bug-%03d", (F.lit(newest) + F.col("number")).cast("int"))
     pick = lambda c: F.coalesce(F.when(F.trim(F.col(c).cast("string")) != "", F.col(c)), F.col(f"k_{c}")).alias(c)
-    return both.select(
+    none = F.array().cast("array<string>")
+    return every.select(
         F.coalesce("k_id", number).alias("id"),
         F.coalesce("k_symptom", "symptom").alias("symptom"),
         F.coalesce("k_error_message", "error_message").alias("error_message"),
         *[pick(c) for c in ("root_cause", "fix", "file", "line")],
-        F.array_union(F.coalesce("k_tags", F.array().cast("array<string>")), F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"),
+        F.array_union(F.coalesce("k_tags", none), F.coalesce("tags", none)).alias("tags"),
         (F.coalesce("k_occurrences", F.lit(0)) + F.coalesce("occurrences", F.lit(0))).alias("occurrences"),
         F.coalesce("k_first_seen", "first_seen").alias("first_seen"),
         F.coalesce("last_seen", "k_last_seen").alias("last_seen"),

@@ -55,7 +55,7 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[0] != ".")
 
 
-def _version(spark: SparkSession, root: str, number: int | None = None) -> dict:
+def version_of(spark: SparkSession, root: str, number: int | None = None) -> dict:
     known = versions(spark, root)
     if not known or (number is not None and number not in known):
         raise IndexMissing(root)
@@ -70,7 +70,7 @@ def _version(spark: SparkSession, root: str, number: int | None = None) -> dict:
     return found
 
 
-def _publish(spark: SparkSession, root: str, number: int, layers: list[dict], meta: dict) -> None:
+def publish(spark: SparkSession, root: str, number: int, layers: list[dict], meta: dict) -> None:
     """Makes a version visible, or raises IndexMoved if there is one of its number."""
     text = json.dumps({"version": INDEX_VERSION, "number": number, "layers": layers, "meta": meta})
     new, fs = _fs(spark, f"{root}/{VERSIONS}/.{number:08d}.{time.time_ns()}")
@@ -120,7 +120,7 @@ def write(spark: SparkSession, root: str, tables: dict[str, DataFrame], meta: di
     while True:
         number = (versions(spark, root) or [0])[-1] + 1
         try:
-            _publish(spark, root, number, [layer], meta or {})
+            publish(spark, root, number, [layer], meta or {})
             return layer["name"]
         except IndexMoved:  # the whole index is replaced, whatever the other writer did
             continue
@@ -131,14 +131,14 @@ def append(spark: SparkSession, root: str, after: int, tables: dict[str, DataFra
 
     If there is a version after `after` already, IndexMoved is raised and nothing changes.
     """
-    before = _version(spark, root, after)
+    before = version_of(spark, root, after)
     if versions(spark, root)[-1] != after:
         raise IndexMoved(f"{root} went on from version {after}")
     layer = _write_layer(spark, root, tables | {"gone": gone})
     layers = [*before["layers"], layer]
     if len(layers) > MAX_LAYERS:
         layers = [_write_layer(spark, root, _merged(spark, root, layers))]
-    _publish(spark, root, after + 1, layers, {**before["meta"], **(meta or {})})
+    publish(spark, root, after + 1, layers, {**before["meta"], **(meta or {})})
     return after + 1
 
 
@@ -172,7 +172,7 @@ def _merged(spark: SparkSession, root: str, layers: list[dict]) -> dict[str, Dat
 
 def read(spark: SparkSession, root: str, number: int | None = None) -> tuple[dict[str, DataFrame], dict]:
     """The tables and meta values of a version, the latest if none is said; an index of another format is refused."""
-    version = _version(spark, root, number)
+    version = version_of(spark, root, number)
     found = _merged(spark, root, version["layers"])
     if "files" in found and "ranks" in found:
         found["files"] = found["files"].join(found["ranks"], "path", "left")

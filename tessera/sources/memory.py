@@ -11,15 +11,24 @@ NOTE_LIMIT, DECISION_LIMIT = 200, 400
 SECTIONS = ("Now", "Next", "Open", "Avoid")
 
 
-def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """The journal's notes; lines that are no JSON are left out. seq is the place in the file."""
-    lines = spark.read.text(path)
+def checked_notes(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of the journal that is not blank: the note, seq (its place in the file), and problem, which says why
+    the line is no note: no JSON (a torn line, say), a field missing or of another type. Null is a note."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq")).where(F.trim("value") != "")
+    loose = F.try_parse_json("value")
     parsed = F.from_json("value", schema.NOTES, {"mode": "PERMISSIVE"})
-    return (
-        lines.select(parsed.alias("note"), F.monotonically_increasing_id().alias("seq"))
-        .where("note.at is not null and note.text is not null")
-        .select("note.*", "seq")
-    )
+    kind = lambda c: F.schema_of_variant(F.try_variant_get(loose, f"$.{c}", "variant"))
+    bad = [
+        F.when(loose.isNull() | ~F.startswith(F.schema_of_variant(loose), F.lit("OBJECT")), "not a JSON object"),
+        *[F.when(F.coalesce(kind(c), F.lit("VOID")) == "VOID", f"no {c}") for c in ("at", "text")],
+        *[F.when(~F.coalesce(kind(c), F.lit("VOID")).isin("STRING", "VOID"), f"{c} is no text") for c in ("at", "session", "kind", "text")],
+    ]
+    return lines.select(parsed.alias("note"), "seq", F.coalesce(*bad).alias("problem"), "value").select("note.*", "seq", "problem", F.when(F.col("problem").isNotNull(), F.col("value")).alias("line"))
+
+
+def read_notes(spark: SparkSession, path: str) -> DataFrame:
+    """The journal's notes; lines that are none are left out (see checked_notes). seq is the place in the file."""
+    return checked_notes(spark, path).where("problem is null").drop("problem", "line")
 
 
 def latest(notes: DataFrame, n: int) -> DataFrame:
@@ -35,13 +44,39 @@ def append_notes(notes: DataFrame, path: str) -> None:
     notes.select("at", "session", "kind", "text").write.mode("append").json(path)
 
 
-def read_bugs(spark: SparkSession, path: str) -> DataFrame:
-    """A bug log, as {"version": ..., "bugs": [...]} or as the bare array."""
-    text = spark.read.option("wholetext", True).text(path)
+LOG_BYTES = 8 << 20
+
+
+def checked_bugs(spark: SparkSession, path: str, most: int = LOG_BYTES) -> DataFrame:
+    """One row a bug of the logs at a path, and one with a problem for a log that is too large or is no log, or for an
+    entry without an id or an error message. A log is {"version": ..., "bugs": [...]} or the bare array."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= most).select("path", F.decode("content", "UTF-8").alias("value"))
     bare = F.from_json("value", F.lit(f"array<{schema.BUGS.simpleString()}>"))
-    wrapped = F.from_json("value", F.lit(f"struct<version:int,bugs:array<{schema.BUGS.simpleString()}>>"))
-    found = F.when(F.startswith(F.ltrim("value"), F.lit("[")), bare).otherwise(wrapped["bugs"])
-    return text.select(F.explode(found).alias("bug")).select("bug.*")
+    wrapped = F.from_json("value", F.lit(f"struct<version:int,bugs:array<{schema.BUGS.simpleString()}>>"))["bugs"]
+    shape = F.coalesce(F.schema_of_variant(F.try_parse_json("value")), F.lit(""))
+    array, held = F.startswith(shape, F.lit("ARRAY")), F.rlike(shape, F.lit(r"^OBJECT<.*\bbugs: ARRAY"))
+    read = small.select("path", F.when(array, bare).when(held, wrapped).alias("found"), F.when(shape == "", "not JSON").when(~array & ~held, "no list of bugs").alias("broken"))
+    none = F.lit(None).cast(schema.BUGS)
+    rows = read.where("broken is null").select("path", F.explode("found").alias("bug"))
+    missing = F.when(F.col("bug.id").isNull(), "no id").when(F.col("bug.error_message").isNull(), "no error message")
+    told = rows.select("path", "bug", missing.alias("problem"))
+    told = told.unionByName(read.where("broken is not null").select("path", none.alias("bug"), F.col("broken").alias("problem")))
+    large = files.where(F.col("length") > most).select("path", none.alias("bug"), F.format_string("%s bytes, more than %s", F.format_number("length", 0), F.format_number(F.lit(most), 0)).alias("problem"))
+    return told.unionByName(large).select("bug.*", "problem", "path")
+
+
+def read_bugs(spark: SparkSession, path: str) -> DataFrame:
+    """The bugs of a log. A log that is broken or too large raises BrokenLog: it must not pass for an empty one."""
+    checked = checked_bugs(spark, path)
+    wrong = checked.where("id is null and error_message is null and problem is not null").select("path", "problem").limit(1).collect()
+    if wrong:
+        raise BrokenLog(f"{wrong[0].path}: {wrong[0].problem}")
+    return checked.where("problem is null").drop("problem", "path")
+
+
+class BrokenLog(Exception):
+    """The file is no bug log."""
 
 
 def number_sections(lines: DataFrame, key: list[str], at: str, heading: Column) -> DataFrame:

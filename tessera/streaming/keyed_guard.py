@@ -22,7 +22,7 @@ from tessera.operators.guard import MAX_WINDOWS, remembering
 #: How long an idle session is remembered.
 IDLE_MS = 24 * 3600 * 1000
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
-STATE = "windows array<string>, stats array<string>"
+STATE = "windows array<string>, stats array<string>, touched long"
 
 
 def _missing(x):
@@ -38,15 +38,17 @@ def repeated_reads(events: DataFrame, order: list[str], most: int = MAX_WINDOWS,
             state.remove()
             return
         known, step = remembering(most)
+        now = state.getCurrentProcessingTimeMs()
         if state.exists:
-            windows, stats = state.get
-            known.update(zip(windows, stats, strict=True))
+            windows, stats, touched = state.get
+            if now - touched < idle_ms:  # events may come after the time, but before the timeout is seen
+                known.update(zip(windows, stats, strict=True))
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         told = [
             step(_missing(w), _missing(s), bool(r), bool(ok))
             for w, s, r, ok in zip(rows["window"], rows["stat"], rows["reset"], rows["ok"], strict=True)
         ]
-        state.update((list(known), list(known.values())))
+        state.update((list(known), list(known.values()), now))
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"session": [_missing(key[0])] * len(rows), "event": rows["event"].to_numpy(), "duplicate": told})
 
