@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.sources.staging import checkpointed
+from tessera.sources.staging import written
 
 _COLUMNS = ["symptom", "error_message", "root_cause", "fix", "file", "line", "tags", "occurrences", "first_seen", "last_seen"]
 
@@ -51,7 +51,7 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with number from 1 in the given order: by ranges, each on from the rows of those before it."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # kept, since another run could draw the ranges otherwise
-    ranged = checkpointed(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    ranged = written(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # one row a range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -70,7 +70,7 @@ def merge(known: DataFrame, reports: DataFrame) -> DataFrame:
     """
     fresh = upsert(reports).drop("id")
     k = known.select(*[F.col(c).alias(f"k_{c}") for c in known.columns])
-    both = checkpointed(fresh.join(k, F.col("symptom") == F.col("k_symptom"), "full_outer"))
+    both = written(fresh.join(k, F.col("symptom") == F.col("k_symptom"), "full_outer"))
     newest = both.agg(F.coalesce(F.max(F.regexp_extract("k_id", r"(\d+)$", 1).try_cast("int")), F.lit(0)).alias("n")).first().n
     numbered = _numbered(both.where("k_id is null"), ["first_seen", "symptom"])
     old = both.where("k_id is not null").withColumn("number", F.lit(0))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SELF = "self"
+#: Over so many keys calls without a receiver are spread where receivers are joined.
+SPREAD = 1024
 
 
 def type_owners(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -38,16 +40,16 @@ def attribute(calls: DataFrame, symbols: DataFrame, files: DataFrame, edges: Dat
         .groupBy("path", "name")
         .agg(F.count(F.lit(1)).alias("n_reached"), F.min("dst").alias("reached"))
     )
-    by_type = owners.select(F.col("type").alias("receiver_type"), F.col("owner").alias("typed"))
-    by_receiver = owners.select(F.col("type").alias("receiver"), F.col("owner").alias("named"))
+    # a call without a receiver matches no type; such calls are spread by a key that none has
+    spread_key = F.concat(F.lit("\0"), F.pmod(F.xxhash64("path", "line"), F.lit(SPREAD)).cast("string"))
+    wanted = F.coalesce("receiver_type", "receiver", spread_key)
     owns = declared.select("name", F.col("path").alias("owner"), F.lit(True).alias("owns"))
     base = (
         calls.join(spread, "name")
         .join(here, ["name", "path"], "left")
         .join(reach, ["path", "name"], "left")
-        .join(by_type, "receiver_type", "left")
-        .join(by_receiver, "receiver", "left")
-        .withColumn("owner", F.when(F.col("receiver_type").isNotNull(), F.col("typed")).otherwise(F.col("named")))
+        .withColumn("type", wanted)
+        .join(owners, "type", "left")
         .join(owns, ["name", "owner"], "left")
     )
     itself = F.col("receiver_type").eqNullSafe(F.lit(SELF))

@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from tessera.operators.graph import unique_of_least_rank
-
 #: Suffixes that a specifier may leave out, in the order they are tried.
 SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".rs", ".gd", ".tscn", ".tres")
 _KIND = ArrayType(StructType().add("key", StringType()).add("value", StringType()).add("rank", IntegerType()))
@@ -85,6 +83,8 @@ def edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     there = files.select(F.col("path").alias("dst"), F.explode(known).alias("k")).select("dst", "k.key", "k.value").where("value is not null")
     classes = files.where("class_name is not null").groupBy(F.col("class_name").alias("value")).agg(F.min("path").alias("dst"))
     there = there.unionByName(classes.select("dst", F.lit("class").alias("key"), "value"))
-    hits = wanted.join(there, ["key", "value"]).select("path", "spec", "rank", F.col("dst").alias("file"))
-    best = unique_of_least_rank(hits.select(F.struct("path", "spec").alias("site"), "rank", F.col("file").alias("path")), ["site"])
-    return best.select(F.col("site.path").alias("src"), F.col("target").alias("dst"))
+    # what several files share names none of them, however many they are
+    named = there.groupBy("key", "value").agg(F.min("dst").alias("file"), (F.min("dst") != F.max("dst")).alias("shared"))
+    hits = wanted.join(named, ["key", "value"])
+    best = hits.groupBy("path", "spec").agg(F.min_by(F.struct("file", "shared"), "rank").alias("best"))
+    return best.where("not best.shared").select(F.col("path").alias("src"), F.col("best.file").alias("dst"))

@@ -13,7 +13,7 @@ from tessera.functions import text as T
 from tessera.operators import answer, bugs, calls, extract, graph, guard, refresh, resolve, search, sweep, text_index
 from tessera.plans import model
 from tessera.plans.model import SNAPSHOTS_SQL, SQL, table
-from tessera.sources.staging import checkpointed, written
+from tessera.sources.staging import written
 
 #: A byte-level BPE vocabulary, for exact counts.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -351,7 +351,7 @@ _TARGETED = f"{_ATTRIBUTED}, goal AS (SELECT name, target FROM attributed WHERE
     FROM attributed a JOIN goal ON a.name = goal.name""",
 )
 def caller_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = checkpointed(_attributed(spark, sf_dir).select("path", "name", "receiver", "receiver_type", "line", "n_declaring", "via", "target"))
+    found = written(_attributed(spark, sf_dir).select("path", "name", "receiver", "receiver_type", "line", "n_declaring", "via", "target"))
     goal = found.where("target is not null").groupBy("name", "target").agg(F.count(F.lit(1)).alias("n"))
     top = goal.orderBy(F.desc("n"), "name", "target").limit(1).first()
     return calls.report(found, top.name if top else "", top.target if top else "")
@@ -364,7 +364,7 @@ def caller_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORDER BY importance DESC, a.path, line LIMIT 20""",
 )
 def top_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = checkpointed(_attributed(spark, sf_dir).select("path", "name", "receiver", "receiver_type", "line", "n_declaring", "via", "target"))
+    found = written(_attributed(spark, sf_dir).select("path", "name", "receiver", "receiver_type", "line", "n_declaring", "via", "target"))
     goal = found.where("target is not null").groupBy("name", "target").agg(F.count(F.lit(1)).alias("n"))
     top = goal.orderBy(F.desc("n"), "name", "target").limit(1).first()
     return calls.top_callers(found, model.files(spark, sf_dir), top.name if top else "", top.target if top else "")
@@ -540,8 +540,8 @@ def extracted_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("extracted_calls", f"{SQL} SELECT path, c AS name, (3 * k)::INTEGER AS line, d AS caller FROM blocks")
 def extracted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = checkpointed(model.code_files(spark, sf_dir))
-    return extract.calls(code, checkpointed(extract.symbols(code))).select("path", "name", "line", "caller")
+    code = written(model.code_files(spark, sf_dir))
+    return extract.calls(code, written(extract.symbols(code))).select("path", "name", "line", "caller")
 
 
 @register(
