@@ -20,12 +20,6 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, kept in the shared folder, without the plan that made them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """The rows as written once to the shared folder and read from there: no lineage, and each is computed once."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tessera-{uuid.uuid4().hex}"
