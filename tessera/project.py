@@ -12,7 +12,7 @@ from tessera.operators import answer, text_index
 from tessera.operators import calls as call_ops
 from tessera.operators import extract, graph, refresh, resolve, search
 from tessera.sources import files as source
-from tessera.sources import index_store
+from tessera.sources import index_store, memory
 from tessera.sources.staging import written
 
 
@@ -166,8 +166,48 @@ class Project:
         return answer.fold(pieces, budget)
 
     def file(self, rel: str) -> DataFrame:
+        """The file of a path (or of its end) with its symbols and imports, which are read for that path only."""
         t = self._tables()
-        return search.nested_entries(search.file_detail(t["files"], rel), t["symbols"], t["imports"])
+        found = search.file_detail(t["files"], rel).select("path").first()
+        mine = F.col("path") == (found.path if found else "")
+        return search.nested_entries(*[t[name].where(mine) for name in ("files", "symbols", "imports")])
+
+    def status(self, page: str | None = None, journal: str | None = None, bug_log: str | None = None, notes: int = 5) -> DataFrame:
+        """What is known of the project as one answer, in order: part, place, title, text.
+
+        The sections of the status page, the newest notes of the journal and how many of its lines are none, how many
+        bugs the log has or why it cannot be read, and what the index covers. A path that is not said is left out.
+        """
+        line = lambda part, place, title, text: [F.lit(part).alias("part"), place.cast("long").alias("place"), title.cast("string").alias("title"), text.cast("string").alias("text")]
+        none, one, parts = F.lit(None), F.lit(1), []
+        if page:
+            text = self.spark.read.option("wholetext", True).text(page).select(F.lit(page).alias("path"), F.col("value").alias("text"))
+            parts.append(memory.sections(text).where("title is not null").select(*line("section", F.col("section"), F.col("title"), F.col("body"))))
+        if journal:
+            lines = memory.checked_notes(self.spark, journal)
+            newest = Window.orderBy(F.desc("at"), F.desc("seq"))  # over the newest few
+            latest = memory.latest(lines.where("problem is null"), max(1, min(50, notes))).withColumn("nth", F.row_number().over(newest))
+            parts.append(latest.select(*line("note", F.col("nth"), F.concat_ws(" ", "at", "kind"), F.col("text"))))
+            torn = lines.agg(F.count_if(F.col("problem").isNotNull()).alias("n")).where("n > 0")
+            parts.append(torn.select(*line("journal", one, none, F.concat(answer.number(F.col("n")), F.lit(" lines are no notes")))))
+        if bug_log:
+            found = memory.checked_bugs(self.spark, bug_log).agg(
+                F.count_if(F.col("problem").isNull()).alias("n"), F.array_join(F.array_sort(F.collect_set("problem")), "; ").alias("problems")
+            )
+            said = F.concat(answer.number(F.col("n")), F.lit(" bugs"), F.when(F.col("problems") != "", F.concat(F.lit("; "), "problems")).otherwise(""))
+            parts.append(found.select(*line("bugs", one, none, said)))
+        try:
+            parts.append(self.summary().select(*line("index", one, F.col("symbol_source"), F.col("said"))))
+            seen = self._tables()["coverage"]
+            said = F.format_string("%s of %s files indexed, %s failed, %s of other kinds", *[answer.number(F.col(c)) for c in ("candidates", "seen", "failed", "skipped")])
+            parts.append(seen.select(*line("index", F.lit(2), none, said)))
+        except index_store.IndexMissing:
+            parts.append(self.spark.range(1).select(*line("index", one, none, F.lit("there is no index"))))
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        order = F.array_position(F.array(*[F.lit(p) for p in ("section", "note", "journal", "bugs", "index")]), F.col("part"))
+        return found.orderBy(order, "place")
 
     def map(self, focus: str = "", budget: int = search.MAP_BUDGET) -> DataFrame:
         t = self._tables()

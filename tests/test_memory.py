@@ -67,3 +67,23 @@ def test_two_writers_of_the_log_lose_nothing(spark, tmp_path, monkeypatch):
     assert (boom.first_seen.second, boom.last_seen.second) == (1, 7)
     plan = merged(log, rows(report("x", 9)))._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(first_seen" not in plan
+
+
+def test_status_is_one_answer(spark, tmp_path):
+    from tessera.project import Project
+
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "a.py").write_text("def f():\n    pass\n")
+    (tmp_path / "tree" / "b.txt").write_text("x")
+    (tmp_path / "page").write_text("intro\n## Now\nbusy\n\n## Next\nrest\n")
+    (tmp_path / "journal").write_text("".join(json.dumps({"at": f"2024-01-0{i}", "session": "s", "kind": "note", "text": f"n{i}"}) + "\n" for i in range(1, 9)) + "torn{\n")
+    (tmp_path / "bugs").write_text("[broken")
+    project = Project(spark, str(tmp_path / "index"))
+    at = {k: str(tmp_path / k) for k in ("page", "journal")}
+    rows = project.status(**at, bug_log=str(tmp_path / "bugs"), notes=2).collect()
+    assert [(r.part, r.title, r.text) for r in rows] == [
+        ("section", "Now", "busy"), ("section", "Next", "rest"), ("note", "2024-01-08 note", "n8"), ("note", "2024-01-07 note", "n7"),
+        ("journal", None, "1 lines are no notes"), ("bugs", None, "0 bugs; not JSON"), ("index", None, "there is no index"),
+    ]
+    project.scan(str(tmp_path / "tree"))
+    assert [r.text for r in project.status().collect()] == ["1 files, 1 symbols, 5 tokens", "1 of 2 files indexed, 0 failed, 1 of other kinds"]
