@@ -489,5 +489,5 @@ def test_mixing_edges(spark):
 
 def test_each_operator_has_one_query():
     names = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries())
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
