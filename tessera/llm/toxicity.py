@@ -7,6 +7,8 @@ text. On the scale of Karlin and Altschul a segment of score S in n tokens is wo
 lambda solves E exp(lambda * score) = 1 over the tokens of clean training texts, K is the maximum-likelihood
 estimate from their best segments. The evidence of a text adds up its significant segments by the law of the
 sum of the r best (those of a normalised score above SIGNIFICANT), and a one-dimensional logistic fit turns it into a probability.
+
+Which segments are significant is chosen in the fit, by a split inside the rows that may be learned from.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -31,13 +33,17 @@ PRIOR = 20.0
 MIN_Z = 3.0
 #: And, above zero, if they are so large.
 MIN_ODDS = 2.0
+#: A model has at most so many features, those farthest from zero in standard errors; it is sent to every task.
 MAX_FEATURES = 50_000
-DRIFT = 1.0
-#: The normalised score from which a segment is added to a better one.
-SIGNIFICANT = 5.0
+DRIFT = 0.5
+#: The normalised score from which a segment is added to a better one: what a fit chooses from, and takes if it can't.
+SIGNIFICANTS, SIGNIFICANT = (2.0, 3.0, 5.0, 8.0), 5.0
+#: What compare compares by default.
+DRIFTS = (0.5, 1.0, 1.5, 2.0)
 AFFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
-HELD_OUT = 2
+#: Remainders of crc32 of the id modulo 4: never learned from, and what settings are measured on.
+HELD_OUT, INNER = 2, 3
 #: Words whose score a task remembers, and the length up to which it does.
 CACHED_WORDS = 100_000
 CACHED_CHARS = 32
@@ -55,6 +61,8 @@ class Model:
     k: float = 0.1
     slope: float = 1.0
     intercept: float = -3.0
+    drift: float = DRIFT
+    significant: float = SIGNIFICANT
 
 
 def features(word: str) -> list[str]:
@@ -71,15 +79,15 @@ def features(word: str) -> list[str]:
 class Scorer:
     """Token scores with a bounded cache of words."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+    def __init__(self, model: Model):
+        self.weights, self.drift = model.weights, model.drift
         self.known: dict[str, float] = {}
 
     def word(self, word: str) -> float:
-        """The features' largest log-odds, the least where none is above zero, 0 without any; less DRIFT."""
+        """The features' largest log-odds, the least where none is above zero, 0 without any; less the drift."""
         found = [o for f in features(word) if (o := self.weights.get(f)) is not None]
         most = max(found, default=0.0)
-        score = (most if most > 0 else min(found, default=0.0)) - DRIFT
+        score = (most if most > 0 else min(found, default=0.0)) - self.drift
         if len(word) <= CACHED_CHARS and len(self.known) < CACHED_WORDS:
             self.known[word] = score
         return score
@@ -129,14 +137,14 @@ def normalised(raw: float, n_tokens: int, model: Model) -> float:
 def evidence(scores: list[float], n_tokens: int, model: Model) -> float:
     """Minus the logarithm of the chance of the text's segments, between -20 and 40.
 
-    The best segment counts as it is. The r best of those above SIGNIFICANT together have the sum T of their normalised
+    The best segment counts as it is. The r best of those above model.significant together have the sum T of their normalised
     scores, and a chance of about exp(-T) T^(r-1) / (r! (r-1)!), times 2^r for the choice of r.
     """
     ranked = sorted((normalised(s, n_tokens, model) for s in scores), reverse=True)
     best = ranked[0] if ranked else normalised(0.0, n_tokens, model)
     total = 0.0
     for r, s in enumerate(ranked, 1):
-        if s <= SIGNIFICANT:
+        if s <= model.significant:
             break
         total += s
         if r > 1 and total > r:
@@ -148,9 +156,9 @@ def probability(x: float, model: Model) -> float:
     return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, model.slope * x + model.intercept))))
 
 
-def held_out(id_col: Column) -> Column:
-    """Whether crc32 of the id as text leaves HELD_OUT modulo 4; a null id is not held out."""
-    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
+def held_out(id_col: Column, *remainders: int) -> Column:
+    """Whether crc32 of the id as text leaves HELD_OUT (or one of remainders) modulo 4; a null id is not held out."""
+    return F.coalesce((F.crc32(id_col.cast("string").cast("binary")) % 4).isin(*(remainders or (HELD_OUT,))), F.lit(False))
 
 
 def _count_features(batches):
@@ -183,33 +191,100 @@ def log_odds(n1: Column, n0: Column, d1: int, d0: int) -> tuple[Column, Column]:
     return odds, odds / F.sqrt(1 / y1 + 1 / y0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_TRAINING_DOCS) -> Model:
-    """Learns from at most about max_docs labelled rows outside the held-out quarter.
+def _labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): each id once, toxic if any row says so; rows with a null id or label are left out."""
+    told = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    return told.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
-    Rows with a null label or id are not learned from; a repeated id in labels counts as toxic if any row
-    says so. Without toxic or without clean examples the model has no feature and scores every text alike.
-    """
-    told = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        .where(~held_out(F.col("doc_id")))
-    )
+
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_docs: int) -> DataFrame:
+    """(inner, text, toxic): about max_docs labelled texts outside the held-out quarter at most, as a written table."""
+    told = _labelled(labels).where(~held_out(F.col("doc_id")))
     share = min(1.0, max_docs / max(1, told.count()))
     chosen = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(
         F.col("doc_id").alias("__id"), "toxic"
     )
-    sample = stage(
+    found = (
         docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))  # bounded by max_docs
-        .select("text", "toxic"),
-        "toxicity-sample",
+        .select(held_out(F.col("__id"), INNER).alias("inner"), "text", "toxic")
     )
+    return stage(found, "toxicity-sample")
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_docs: int = MAX_TRAINING_DOCS,
+    drift: float = DRIFT,
+    significant: float | None = None,
+) -> Model:
+    """Learns from at most about max_docs labelled rows outside the held-out quarter.
+
+    significant, if not given, is the one of SIGNIFICANTS with the best F1 on the rows of remainder INNER by a model
+    that learned from the other rows; then all rows are learned from.
+    Rows with a null label or id are not learned from; a repeated id in labels counts as toxic if any row
+    says so. Without toxic or without clean examples the model has no feature and scores every text alike.
+    """
+    sample = _sample(docs, labels, id_col, text_col, max_docs)
+    weights = _weights(sample)
+    if weights is None:
+        return Model()
+    if significant is None:
+        seen = _compared(sample, (drift,), SIGNIFICANTS)
+        best = max(seen, key=lambda r: (f1(r[2], r[3]), r[1] == SIGNIFICANT), default=(drift, SIGNIFICANT))
+        significant = best[1]
+    model = _scaled(Model(weights, drift=drift, significant=significant), sample)
+    found = _evidence(sample, model, (significant,)).toPandas()  # one row a training text
+    model.slope, model.intercept = fit_logistic(np.array(found.x.tolist()).reshape(-1), found.toxic.to_numpy(dtype=float))
+    return model
+
+
+def f1(precision: float, recall: float) -> float:
+    return 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+
+
+def compare(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_docs: int = MAX_TRAINING_DOCS,
+    drifts: tuple[float, ...] = DRIFTS,
+    significants: tuple[float, ...] = SIGNIFICANTS,
+) -> list[tuple[float, float, float, float]]:
+    """(drift, significant, precision, recall) of models for each pair of settings.
+
+    The held-out quarter is not read: of the rows that may be learned from, those of remainder INNER are measured
+    and the others learned from. No result without toxic and clean examples among the latter.
+    """
+    return _compared(_sample(docs, labels, id_col, text_col, max_docs), drifts, significants)
+
+
+def _compared(sample: DataFrame, drifts: tuple[float, ...], significants: tuple[float, ...]) -> list[tuple[float, float, float, float]]:
+    rest = sample.where("not inner")
+    weights, found = _weights(rest), []
+    for drift in drifts if weights is not None else ():
+        model = _scaled(Model(weights, drift=drift), rest)
+        seen = _evidence(sample, model, significants).toPandas()  # one row a training text
+        y, inner, x = seen.toxic.to_numpy(dtype=float), seen.inner.to_numpy(dtype=bool), np.array(seen.x.tolist())
+        for i, significant in enumerate(significants):
+            model.slope, model.intercept = fit_logistic(x[~inner, i], y[~inner])
+            told = np.array([probability(v, model) >= THRESHOLD for v in x[inner, i]], dtype=bool)
+            hits = float((told & (y[inner] == 1)).sum())
+            found.append((drift, significant, hits / max(1, told.sum()), hits / max(1.0, y[inner].sum())))
+    return found
+
+
+def _weights(sample: DataFrame) -> dict[str, float] | None:
+    """The log-odds of the features that count; None without toxic or without clean texts."""
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     d1, d0 = sizes.get(1, 0), sizes.get(0, 0)
     if not d1 or not d0:
-        return Model()
-    counts = sample.transform(map_pandas, _count_features, "feature string, n1 long, n0 long").groupBy("feature").agg(
+        return None
+    counts = sample.select("text", "toxic").transform(map_pandas, _count_features, "feature string, n1 long, n0 long").groupBy("feature").agg(
         F.sum("n1").alias("n1"), F.sum("n0").alias("n0")
     )
     odds, z = log_odds(F.col("n1"), F.col("n0"), d1, d0)
@@ -221,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .limit(MAX_FEATURES)
         .collect()
     )
-    return _calibrate(Model(weights={r.feature: r.odds for r in best}), sample)
+    return {r.feature: r.odds for r in best}
 
 
 def solve_scale(values: np.ndarray, counts: np.ndarray) -> float:
@@ -234,40 +309,56 @@ def solve_scale(values: np.ndarray, counts: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _calibrate(model: Model, sample: DataFrame) -> Model:
-    """lambda and K from the clean texts of the bounded sample, then the logistic fit on all of it."""
-    weights = model.weights
+def _evidence(sample: DataFrame, model: Model, significants: tuple[float, ...]) -> DataFrame:
+    """(inner, toxic, x) of each text, x being its evidence by the model with each of significants."""
+    models = [replace(model, significant=v) for v in significants]
+
+    def run(batches):
+        scorer = Scorer(model)
+        for pdf in batches:
+            x = []
+            for text in pdf["text"]:
+                n, hits = scorer.hits(text or "")
+                scores = [s[2] for s in segments(hits)]
+                x.append([evidence(scores, n, m) for m in models])
+            yield pd.DataFrame({"inner": pdf["inner"], "toxic": pdf["toxic"], "x": x})
+
+    return sample.transform(map_pandas, run, "inner boolean, toxic int, x array<double>")
+
+
+def _scaled(model: Model, sample: DataFrame) -> Model:
+    """The model with lambda and K from the clean texts of the bounded sample.
+
+    Segments stay in the tasks: what comes back is counts by score and two sums.
+    """
+    clean = sample.where("toxic = 0").select("text")
 
     def spread(batches):
         """How often each token score occurs in clean texts."""
-        scorer, seen = Scorer(weights), Counter()
+        scorer, seen = Scorer(model), Counter()
         for pdf in batches:
-            for text in pdf.loc[pdf["toxic"] == 0, "text"]:
+            for text in pdf["text"]:
                 seen.update(round(STEPS * s) for s in scorer.tokens(text or ""))
         yield pd.DataFrame({"step": np.array(list(seen), dtype=np.int64), "n": np.array(list(seen.values()), dtype=np.int64)})
 
-    def measure(batches):
-        scorer = Scorer(weights)
+    def best_segments(batches):
+        """The number of texts, and the sum of their tokens times exp(-lambda * best score)."""
+        scorer, texts, total = Scorer(model), 0, 0.0
         for pdf in batches:
-            rows = []
-            for text, label in zip(pdf["text"], pdf["toxic"], strict=True):
+            for text in pdf["text"]:
                 n, hits = scorer.hits(text or "")
-                rows.append((label, n, [s[2] for s in segments(hits)]))
-            yield pd.DataFrame(rows, columns=["toxic", "n", "scores"])
+                texts += n > 0
+                total += n * math.exp(-model.scale * max((s[2] for s in segments(hits)), default=0.0))
+        yield pd.DataFrame({"texts": [texts], "total": [total]})
 
     # at most as many rows as the features have different scores
-    steps = sample.transform(map_pandas, spread, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toPandas()
+    steps = clean.transform(map_pandas, spread, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toPandas()
     if not len(steps) or steps.step.max() <= 0:  # no clean token is above zero: any hit is beyond chance
         steps = pd.concat([steps, pd.DataFrame({"step": [STEPS], "n": [1]})])
     model.scale = solve_scale(steps.step.to_numpy() / STEPS, steps.n.to_numpy(dtype=float))
-    # one row a training document
-    seen = sample.transform(map_pandas, measure, "toxic int, n long, scores array<double>").toPandas()
-    clean = seen[(seen.toxic == 0) & (seen.n > 0)]
-    if len(clean):
-        best = np.array([max(s, default=0.0) for s in clean.scores])
-        model.k = float(len(clean) / (clean.n.to_numpy() * np.exp(-model.scale * best)).sum())
-    x = np.array([evidence(list(s), n, model) for s, n in zip(seen.scores, seen.n, strict=True)])
-    model.slope, model.intercept = fit_logistic(x, seen.toxic.to_numpy(dtype=float))
+    best = clean.transform(map_pandas, best_segments, "texts long, total double").agg(F.sum("texts").alias("texts"), F.sum("total").alias("total")).first()
+    if best.texts and best.total > 0:
+        model.k = best.texts / best.total
     return model
 
 
@@ -314,7 +405,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches):
-        scorer = Scorer(model.weights)
+        scorer = Scorer(model)
         for pdf in batches:
             rows = [judge(text, scorer, model) for text in pdf["text"]]
             out = pdf[["doc_id", "held_out"]].copy()
@@ -343,7 +434,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def run(batches):
-        scorer = Scorer(model.weights)
+        scorer = Scorer(model)
         for batch in batches:
             keep = []
             for text in batch.column(at):
