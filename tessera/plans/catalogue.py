@@ -544,6 +544,34 @@ def extracted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.calls(code, written(extract.symbols(code))).select("path", "name", "line", "caller")
 
 
+@register("language_symbols", f"{model.CODE_SQL} SELECT * FROM declared")
+def language_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, members, types and functions, with their ends, of files in four languages made of every line."""
+    return extract.symbols(model.code_in_languages(spark, sf_dir))
+
+
+@register(
+    "language_imports",
+    model.CODE_SQL
+    + r""" SELECT DISTINCT path, coalesce(nullif(regexp_extract(raw, '^import (?:.* from )?"([^"]+)"', 1), ''), nullif(regexp_extract(raw, '^from (\S+) import', 1), ''),
+      regexp_extract(raw, '^use ([^;]+);', 1)) AS spec FROM code WHERE regexp_matches(raw, '^(import|from|use) ')""",
+)
+def language_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.imports(model.code_in_languages(spark, sf_dir))
+
+
+@register(
+    "language_calls",
+    f"""{model.CODE_SQL} SELECT s.path, s.name, s.receiver, CASE WHEN s.receiver IN ('self', 'this') THEN 'self' ELSE t.kind END AS receiver_type, s.line,
+      (SELECT arg_max(d.name, d.line) FROM declared d WHERE d.path = s.path AND d.kind IN ('function', 'method') AND s.line BETWEEN d.line AND d.end_line) AS caller
+      FROM sites s LEFT JOIN typed t ON t.path = s.path AND t.receiver = s.receiver""",
+)
+def language_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with receivers, stated types and callers of the same files."""
+    code = written(model.code_in_languages(spark, sf_dir))
+    return extract.calls(code, written(extract.symbols(code))).select("path", "name", "receiver", "receiver_type", "line", "caller")
+
+
 @register(
     "symbol_bodies",
     f"""{SQL} SELECT s.path, s.name, s.line, array_to_string(list_slice(string_split(body, chr(10)), s.line, least(s.end_line, s.line + 1)), chr(10)) AS shown,

@@ -120,6 +120,72 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("path").agg(text.alias("content")).select("path", F.lit("py").alias("language"), "content")
 
 
+#: What code_in_languages writes for a line: @x is its words, @a and @b names made of the first and the last, @k its number.
+#: Calls, braces and comment signs within comments and strings are none.
+TEMPLATES = {
+    "py": """# @x(
+from .@b import @a
+class K@k(Base):
+    def @a(self, o@k: T@k):
+        said = "@x({#"
+        o@k.@b(said)
+        self.@b(1)
+@b(2)""",
+    "js": """// @x(
+import { @a } from "./@b";
+export class K@k extends Base {
+  @a(n) {
+    const said = "@x({//";
+    const o@k = new T@k(said);
+    o@k.@b(said);
+    this.@b(1);
+  }
+}
+@b(2);""",
+    "go": """// @x(
+import "@b"
+type K@k struct {
+\tf int
+}
+func (o *K@k) @a(n int) {
+\tsaid := "@x({//"
+\to@k := T@k{said}
+\to@k.@b(said)
+}
+func z@k() {
+\t@b(2)
+}""",
+    "rs": """// @x(
+use crate::@b;
+pub struct K@k {
+    n: u32,
+}
+pub fn @a(n: u32) {
+    let said = "@x({//";
+    let o@k: T@k = said.into();
+    o@k.@b(said);
+}""",
+}
+
+
+def code_in_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a source file (path, language, content) of one of four languages: each line with a word
+    becomes the declarations, imports, bindings and calls of its language's template."""
+    template = F.get(F.array(*map(F.lit, TEMPLATES.values())), F.pmod("doc_id", F.lit(len(TEMPLATES))).cast("int"))
+    language = F.get(F.array(*map(F.lit, TEMPLATES)), F.pmod("doc_id", F.lit(len(TEMPLATES))).cast("int"))
+
+    def block(line, at):
+        w = T.words(line)
+        named = lambda prefix, i: F.concat(F.lit(prefix), F.regexp_replace(F.element_at(w, i), "[^a-z0-9]", "_"))
+        filled = F.replace(F.col("template"), F.lit("@x"), F.trim(F.regexp_replace(line, r"[^\p{L}\p{N}]+", " ")))
+        filled = F.replace(F.replace(filled, F.lit("@a"), named("a_", 1)), F.lit("@b"), named("b_", -1))
+        return F.when(F.size(w) >= 1, F.replace(filled, F.lit("@k"), (at + 1).cast("string")))
+
+    rows = table(spark, sf_dir, "documents").select(_path().alias("path"), language.alias("language"), template.alias("template"), "text")
+    blocks = F.filter(F.transform(F.split("text", "\n", -1), block), lambda b: b.isNotNull())
+    return rows.select("path", "language", F.array_join(blocks, "\n").alias("content"))
+
+
 def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(lang, a, b): the first two words of every line where both are plain."""
     a, b = F.get("w", F.lit(0)), F.get("w", F.lit(1))
@@ -163,6 +229,52 @@ WITH base AS (
 ), edges AS (SELECT a.path AS src, b.path AS dst FROM base a JOIN base b ON b.doc_id = a.doc_id // 2
 )"""
 
+_TEMPLATE = "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TEMPLATES.values())) + " END"
+_BLOCK = (
+    "replace(replace(replace(replace(template, '@x', trim(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'))), "
+    "'@a', 'a_' || regexp_replace(w[1], '[^a-z0-9]', '_', 'g')), '@b', 'b_' || regexp_replace(w[-1], '[^a-z0-9]', '_', 'g')), '@k', line::VARCHAR)"
+)
+#: code_in_languages read by patterns over lines: raw and code (without strings and comments) of each line, what it
+#: declares, and where that ends by running sums of braces, or by indentation.
+CODE_SQL = (
+    SQL
+    + f""", filled AS (
+  SELECT path, doc_id % 4 AS lang, line, {_BLOCK} AS block
+  FROM (SELECT path, line, all_lines[line] AS text, w FROM lined JOIN split USING (path, line)) JOIN (SELECT path, doc_id, {_TEMPLATE} AS template FROM base) USING (path)
+  WHERE len(w) >= 1
+), code0 AS (SELECT path, lang, string_agg(block, chr(10) ORDER BY line) AS content FROM filled GROUP BY path, lang
+), code1 AS (SELECT path, lang, unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1)::INTEGER AS n FROM code0"""
+    + r"""
+), code2 AS (SELECT *, regexp_replace(regexp_replace(raw, '"[^"]*"', '""', 'g'), CASE WHEN lang = 0 THEN '#.*$' ELSE '//.*$' END, '') AS code FROM code1
+), code AS (
+  SELECT *, length(raw) - length(ltrim(raw)) AS indent, sum(step) OVER (PARTITION BY path ORDER BY n) AS depth,
+         max(n) OVER (PARTITION BY path) AS ends,
+         last_value(CASE WHEN lang = 1 THEN nullif(regexp_extract(code, 'class (\w+)', 1), '') END IGNORE NULLS) OVER (PARTITION BY path ORDER BY n) AS owner
+  FROM (SELECT *, length(replace(code, '}', '')) - length(replace(code, '{', '')) AS step FROM code2)
+), heads AS (
+  SELECT *, CASE
+      WHEN lang = 1 AND regexp_matches(code, '^ +\w+\(\w*\) \{$') THEN owner || '.' || regexp_extract(code, '(\w+)\(', 1)
+      WHEN lang = 2 AND starts_with(code, 'func (') THEN regexp_extract(code, '\) (\w+)\(', 1)
+      ELSE nullif(regexp_extract(code, '^\s*(?:export |pub )?(?:class|def|type|func|struct|fn) (\w+)', 1), '') END AS name,
+    CASE WHEN regexp_matches(code, '\bclass ') THEN 'class' WHEN regexp_matches(code, '\bstruct\b') THEN 'type'
+      WHEN lang = 1 OR starts_with(code, 'func (') THEN 'method' ELSE 'function' END AS kind FROM code
+), declared AS (
+  SELECT h.path, h.name, h.kind, h.n AS line,
+    CASE WHEN h.lang = 0 THEN coalesce(min(c.n) FILTER (c.n > h.n AND c.indent <= h.indent) - 1, h.ends) ELSE min(c.n) FILTER (c.depth <= h.depth - h.step) END::INTEGER AS end_line
+  FROM heads h JOIN code c ON c.path = h.path AND c.n >= h.n WHERE h.name IS NOT NULL
+  GROUP BY h.path, h.name, h.kind, h.n, h.lang, h.ends, h.depth, h.step, h.indent
+), sites AS (
+  SELECT DISTINCT path, n AS line, nullif(c.receiver, '') AS receiver, c.name AS name
+  FROM (SELECT path, n, unnest(list_zip(regexp_extract_all(code, '(?:(\w+) )?(?:(\w+)\.)?(\w+)\(', 1), regexp_extract_all(code, '(?:(\w+) )?(?:(\w+)\.)?(\w+)\(', 2),
+                                        regexp_extract_all(code, '(?:(\w+) )?(?:(\w+)\.)?(\w+)\(', 3))) AS z FROM code),
+       LATERAL (SELECT {'word': z[1], 'receiver': z[2], 'name': z[3]} AS c)
+  WHERE coalesce(c.word, '') NOT IN ('class', 'def', 'func', 'fn')
+), typed AS (
+  SELECT DISTINCT path, regexp_extract(code, '\b(o\d+)(?:: | := | = new )(T\d+)', 1) AS receiver, regexp_extract(code, '\b(o\d+)(?:: | := | = new )(T\d+)', 2) AS kind
+  FROM code WHERE regexp_matches(code, '\b(o\d+)(?:: | := | = new )(T\d+)')
+)"""
+)
+
 SNAPSHOTS_SQL = """
 WITH listing AS (
   SELECT o_orderkey AS path, epoch(o_orderdate)::DOUBLE AS mtime_ms, o_custkey AS bytes, o_orderstatus AS s, o_orderpriority AS p FROM orders
