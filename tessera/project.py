@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,20 +15,27 @@ from tessera.operators import calls as call_ops
 from tessera.operators import extract, graph, refresh, resolve, search
 from tessera.sources import files as source
 from tessera.sources import index_store, memory
-from tessera.sources.staging import written
+from tessera.sources.staging import together, written
 
 
 def _rows(chosen: DataFrame, hooks: dict) -> dict[str, DataFrame]:
-    """What each file (path, bytes, mtime_ms, language, content) adds to the tables, importance aside."""
+    """What each file (path, bytes, mtime_ms, language, content) adds to the tables, importance aside.
+
+    symbols, files and imports are written, as others are made of them.
+    """
     analyzer = hooks.get("analyzer")
-    found = written(extract.symbols(chosen, analyzer))
-    files = extract.file_rows(chosen, hooks.get("count_tokens", T.estimate_tokens), analyzer)
+    symbols, files, imports = together(
+        chosen.sparkSession,
+        lambda: written(extract.symbols(chosen, analyzer)),
+        lambda: written(extract.file_rows(chosen, hooks.get("count_tokens", T.estimate_tokens), analyzer)),
+        lambda: written(extract.imports(chosen)),
+    )
     docs = chosen.select("path", extract.describe("content", "language").alias("description"), F.col("content").alias("body"))
     return {
         "files": files,
-        "symbols": found,
-        "imports": extract.imports(chosen),
-        "calls": extract.calls(chosen, found),
+        "symbols": symbols,
+        "imports": imports,
+        "calls": extract.calls(chosen, symbols),
         "docs": docs,
         "postings": text_index.postings(docs),
     }
@@ -39,12 +48,16 @@ def _ranks(files: DataFrame, imports: DataFrame) -> DataFrame:
 
 def build_index(listing: DataFrame, excludes=source.EXCLUDES, ignore: str = "", **hooks) -> dict[str, DataFrame]:
     """All tables of the index of a listing (see sources.files), whose contents are read once."""
+    tables = _made(listing, excludes, ignore, hooks)
+    return tables | {"files": tables["files"].join(tables.pop("ranks")(), "path")}
+
+
+def _made(listing: DataFrame, excludes, ignore: str, hooks: dict) -> dict[str, DataFrame | Callable[[], DataFrame]]:
+    """As build_index, with what makes ranks (path, importance) instead of importance."""
     indexed = written(source.known(listing, excludes, ignore).where("language is not null"))
     chosen = indexed.where("readable")
     tables = _rows(chosen, hooks)
-    tables["imports"] = written(tables["imports"])
-    files = written(tables["files"])
-    tables["files"] = files.join(_ranks(files, tables["imports"]), "path")
+    tables["ranks"] = partial(_ranks, tables["files"], tables["imports"])
     others = source.known(listing.select("path"), excludes, ignore).where("language is null").select("path", F.lit(False).alias("readable"))
     tables["coverage"] = source.coverage(others.unionByName(indexed.select("path", "readable")), excludes, ignore)
     tables["stats"] = indexed.select("path", "bytes", "mtime_ms", "language", "readable")
@@ -65,7 +78,7 @@ class Project:
 
     def scan(self, root: str, excludes=source.EXCLUDES, ignore: str = "") -> str:
         listing = source.scan(self.spark, root)
-        return index_store.write(self.spark, self.index, build_index(listing, excludes, ignore, **self.hooks), {"root": root})
+        return index_store.write(self.spark, self.index, _made(listing, excludes, ignore, self.hooks), {"root": root})
 
     def refresh(self, root: str, excludes=source.EXCLUDES, ignore: str = "") -> DataFrame:
         """Brings the index up to the tree; returns what changed by path: added, updated, removed or reused.
@@ -87,14 +100,12 @@ class Project:
             opened = source.contents(self.spark, root, came).join(came, "path", "left_semi")
             opened = written(opened.withColumn("language", source.language(F.col("path"))))
             tables = _rows(opened.where("readable"), self.hooks)
-            tables["imports"], files = written(tables["imports"]), written(tables["files"])
-            tables["files"] = files
             mine = old["imports"].join(came, "path", "left_semi").select("path", "spec")
             fresh = tables["imports"].select("path", "spec")
             moved = diff.where("status in ('added', 'removed')").limit(1).count() or mine.exceptAll(fresh).unionByName(fresh.exceptAll(mine)).limit(1).count()
             if moved:
-                merged = {t: refresh.sync(old[t].select(*new.columns), new, diff) for t, new in (("imports", fresh), ("files", files))}
-                tables["ranks"] = _ranks(written(merged["files"]), written(merged["imports"]))
+                merged = {t: refresh.sync(old[t].select(*new.columns), new, diff) for t, new in (("imports", fresh), ("files", tables["files"]))}
+                tables["ranks"] = lambda found=merged: _ranks(*together(self.spark, *[partial(written, found[t]) for t in ("files", "imports")]))
             stats = opened.select("path", "bytes", "mtime_ms", "language", "readable")
             seen = refresh.sync(old["stats"], stats, diff).select("path", "readable")
             others = source.known(listing.select("path"), excludes, ignore).where("language is null").select("path", F.lit(False).alias("readable"))

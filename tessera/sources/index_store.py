@@ -15,12 +15,15 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
+from functools import partial
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.schema import INDEX_VERSION, STORED
+from tessera.sources.staging import together
 
 VERSIONS = "_versions"
 WHOLE = ("coverage", "ranks", "meta")
@@ -94,27 +97,31 @@ def _sorted(df: DataFrame, table: str) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def _write_layer(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> dict:
-    name, held = f"layer-{time.time_ns()}", []
-    if "files" in tables and "importance" in tables["files"].columns:
+def _write_table(at: str, table: str, found: DataFrame | Callable[[], DataFrame]) -> None:
+    found = found() if callable(found) else found
+    found = found.select(*[found[f.name].cast(f.dataType).alias(f.name) for f in STORED[table]])
+    if table in WHOLE:
+        found.write.parquet(f"{at}/{table}")
+        return
+    writer = _sorted(found, table).write.option("parquet.block.size", ROW_GROUP).option("parquet.bloom.filter.enabled#path", "true")
+    if table == "postings":
+        writer = writer.option("parquet.bloom.filter.enabled#term", "true").partitionBy("bucket")
+    writer.parquet(f"{at}/{table}")
+
+
+def _write_layer(spark: SparkSession, root: str, tables: dict[str, DataFrame | Callable[[], DataFrame]]) -> dict:
+    """Writes the tables side by side; one may be a function that makes it, which then runs beside the others' writes."""
+    name = f"layer-{time.time_ns()}"
+    if isinstance(tables.get("files"), DataFrame) and "importance" in tables["files"].columns:
         tables = tables | {"ranks": tables["files"].select("path", "importance")}
-    for table, schema in STORED.items():
-        if table not in tables:
-            continue
-        found = tables[table]
-        found = found.select(*[found[f.name].cast(f.dataType).alias(f.name) for f in schema])
-        held.append(table)
-        if table in WHOLE:
-            found.write.parquet(f"{root}/{name}/{table}")
-            continue
-        writer = _sorted(found, table).write.option("parquet.block.size", ROW_GROUP).option("parquet.bloom.filter.enabled#path", "true")
-        if table == "postings":
-            writer = writer.option("parquet.bloom.filter.enabled#term", "true").partitionBy("bucket")
-        writer.parquet(f"{root}/{name}/{table}")
+    held = [table for table in STORED if table in tables]
+    # those that are made here take longest and begin first
+    first = sorted(held, key=lambda table: not callable(tables[table]))
+    together(spark, *[partial(_write_table, f"{root}/{name}", table, tables[table]) for table in first])
     return {"name": name, "tables": held}
 
 
-def write(spark: SparkSession, root: str, tables: dict[str, DataFrame], meta: dict | None = None) -> str:
+def write(spark: SparkSession, root: str, tables: dict[str, DataFrame | Callable[[], DataFrame]], meta: dict | None = None) -> str:
     """Writes all tables as one layer and makes it the next version; its name comes back."""
     layer = _write_layer(spark, root, tables)
     while True:
@@ -126,7 +133,9 @@ def write(spark: SparkSession, root: str, tables: dict[str, DataFrame], meta: di
             continue
 
 
-def append(spark: SparkSession, root: str, after: int, tables: dict[str, DataFrame], gone: DataFrame, meta: dict | None = None) -> int:
+def append(
+    spark: SparkSession, root: str, after: int, tables: dict[str, DataFrame | Callable[[], DataFrame]], gone: DataFrame, meta: dict | None = None
+) -> int:
     """The next version after `after`: rows of older layers of the paths in gone go, those of tables come.
 
     If there is a version after `after` already, IndexMoved is raised and nothing changes.

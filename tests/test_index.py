@@ -9,7 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import answer, search, text_index
 from tessera.project import Project
 from tessera.sources import index_store
-from tessera.sources.staging import written
+from tessera.sources.staging import together, written
 
 BODIES = [
     ("a", "The quick brown fox.\nÉtion que the lazy dog"), ("b", "quick-brown things; brown quick"), ("c", "日本語 text と the end"), ("d", ""), ("e", "!!! ---"),
@@ -162,3 +162,34 @@ def test_an_answer_with_bodies_callers_and_names(spark, tmp_path):
     assert [r.kind for r in project.answer("lengthy", budget=4000).collect()][-1] == "more"
     said = project.summary().first()
     assert (said.symbol_source, said.files) == ("regex", 3) and said.said.startswith("3 files, ")
+
+
+def test_jobs_side_by_side_come_back_in_order_and_the_first_error_is_raised(spark):
+    """Errors wait for the other jobs; a layer with a table that cannot be made is not seen."""
+    ended = []
+    assert together(spark) == []
+    assert together(spark, *[lambda i=i: spark.range(i).count() for i in range(12)]) == list(range(12))
+
+    def broken():
+        raise ValueError("broken")
+
+    with pytest.raises(ValueError, match="broken"):
+        together(spark, broken, lambda: ended.append(spark.range(1000).count()))
+    assert ended == [1000]
+
+
+def test_a_layer_that_fails_leaves_the_index_as_it_was(spark, tmp_path):
+    at = str(tmp_path / "index")
+    table = spark.createDataFrame([("a", "x")], "path string, spec string")
+
+    def broken():
+        raise ValueError("no ranks")
+
+    index_store.write(spark, at, {"imports": table})
+    with pytest.raises(ValueError, match="no ranks"):
+        index_store.write(spark, at, {"imports": table.limit(0), "ranks": broken})
+    found, meta = index_store.read(spark, at)
+    assert found["imports"].count() == 1 and meta["number"] == 1
+    made = lambda: spark.createDataFrame([("a", 2.0)], "path string, importance double")
+    index_store.write(spark, at, {"imports": table, "ranks": made})
+    assert [tuple(r) for r in index_store.read(spark, at)[0]["ranks"].collect()] == [("a", 2.0)]
