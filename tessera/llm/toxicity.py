@@ -162,22 +162,25 @@ def held_out(id_col: Column, *remainders: int) -> Column:
 
 
 def _count_features(batches):
-    """(feature, toxic documents, clean documents) of parts of the bounded training sample."""
+    """(feature, toxic documents, clean documents, and those of either that are inner) of parts of the bounded sample."""
 
-    def told(toxic, clean):
-        names = list(toxic | clean)
-        return pd.DataFrame({"feature": names, "n1": [toxic[f] for f in names], "n0": [clean[f] for f in names]})
+    def told(seen):
+        names = list(set().union(*seen.values()))
+        n = {of: np.array([c[f] for f in names], dtype=np.int64) for of, c in seen.items()}
+        both = {label: n[label, True] + n[label, False] for label in (1, 0)}
+        return pd.DataFrame({"feature": names, "n1": both[1], "n0": both[0], "i1": n[1, True], "i0": n[0, True]})
 
-    toxic, clean = Counter(), Counter()
+    empty = lambda: {(label, inner): Counter() for label in (1, 0) for inner in (True, False)}
+    seen = empty()
     for pdf in batches:
-        for text, label in zip(pdf["text"], pdf["toxic"], strict=True):
+        for text, label, inner in zip(pdf["text"], pdf["toxic"], pdf["inner"], strict=True):
             words = set(WORD.findall((text or "").lower()))
-            (toxic if label else clean).update({f for w in words for f in features(w)})
-            if len(toxic) + len(clean) > 200_000:
-                yield told(toxic, clean)
-                toxic, clean = Counter(), Counter()
-    if toxic or clean:
-        yield told(toxic, clean)
+            seen[int(bool(label)), bool(inner)].update({f for w in words for f in features(w)})
+            if sum(map(len, seen.values())) > 200_000:
+                yield told(seen)
+                seen = empty()
+    if any(seen.values()):
+        yield told(seen)
 
 
 def log_odds(n1: Column, n0: Column, d1: int, d0: int) -> tuple[Column, Column]:
@@ -229,15 +232,17 @@ def fit(
     says so. Without toxic or without clean examples the model has no feature and scores every text alike.
     """
     sample = _sample(docs, labels, id_col, text_col, max_docs)
-    weights = _weights(sample)
+    counts = _counted(sample)
+    weights = _weights(counts)
     if weights is None:
         return Model()
     if significant is None:
-        seen = _compared(sample, (drift,), SIGNIFICANTS)
+        seen = _compared(sample, counts, (drift,), SIGNIFICANTS)
         best = max(seen, key=lambda r: (f1(r[2], r[3]), r[1] == SIGNIFICANT), default=(drift, SIGNIFICANT))
         significant = best[1]
-    model = _scaled(Model(weights, drift=drift, significant=significant), sample)
-    found = _evidence(sample, model, (significant,)).toPandas()  # one row a training text
+    model = Model(weights, drift=drift, significant=significant)
+    segmented = _segmented(sample, model)
+    found = _evidence(segmented, _scaled(model, segmented), (significant,)).toPandas()  # one row a training text
     model.slope, model.intercept = fit_logistic(np.array(found.x.tolist()).reshape(-1), found.toxic.to_numpy(dtype=float))
     return model
 
@@ -260,15 +265,17 @@ def compare(
     The held-out quarter is not read: of the rows that may be learned from, those of remainder INNER are measured
     and the others learned from. No result without toxic and clean examples among the latter.
     """
-    return _compared(_sample(docs, labels, id_col, text_col, max_docs), drifts, significants)
+    sample = _sample(docs, labels, id_col, text_col, max_docs)
+    return _compared(sample, _counted(sample), drifts, significants)
 
 
-def _compared(sample: DataFrame, drifts: tuple[float, ...], significants: tuple[float, ...]) -> list[tuple[float, float, float, float]]:
-    rest = sample.where("not inner")
-    weights, found = _weights(rest), []
+def _compared(sample: DataFrame, counts: Counts, drifts: tuple[float, ...], significants: tuple[float, ...]) -> list[tuple[float, float, float, float]]:
+    weights, found = _weights(counts, inner=False), []
     for drift in drifts if weights is not None else ():
-        model = _scaled(Model(weights, drift=drift), rest)
-        seen = _evidence(sample, model, significants).toPandas()  # one row a training text
+        model = Model(weights, drift=drift)
+        segmented = _segmented(sample, model)
+        model = _scaled(model, segmented.where("not inner"))
+        seen = _evidence(segmented, model, significants).toPandas()  # one row a training text
         y, inner, x = seen.toxic.to_numpy(dtype=float), seen.inner.to_numpy(dtype=bool), np.array(seen.x.tolist())
         for i, significant in enumerate(significants):
             model.slope, model.intercept = fit_logistic(x[~inner, i], y[~inner])
@@ -278,18 +285,30 @@ def _compared(sample: DataFrame, drifts: tuple[float, ...], significants: tuple[
     return found
 
 
-def _weights(sample: DataFrame) -> dict[str, float] | None:
-    """The log-odds of the features that count; None without toxic or without clean texts."""
-    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    d1, d0 = sizes.get(1, 0), sizes.get(0, 0)
+@dataclass
+class Counts:
+    """Of a sample: its texts by (toxic, inner), and in how many of them each feature is, as a written table."""
+
+    texts: dict[tuple[int, bool], int]
+    features: DataFrame
+
+
+def _counted(sample: DataFrame) -> Counts:
+    texts = {(r.toxic, r.inner): r.n for r in sample.groupBy("toxic", "inner").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = sample.select("text", "toxic", "inner").transform(map_pandas, _count_features, "feature string, n1 long, n0 long, i1 long, i0 long")
+    return Counts(texts, stage(counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n1", "n0", "i1", "i0")]), "toxicity-features"))
+
+
+def _weights(counts: Counts, inner: bool = True) -> dict[str, float] | None:
+    """The log-odds of the features that count, with or without inner texts; None without toxic or without clean ones."""
+    d1, d0 = (sum(n for (toxic, i), n in counts.texts.items() if toxic == label and (inner or not i)) for label in (1, 0))
     if not d1 or not d0:
         return None
-    counts = sample.select("text", "toxic").transform(map_pandas, _count_features, "feature string, n1 long, n0 long").groupBy("feature").agg(
-        F.sum("n1").alias("n1"), F.sum("n0").alias("n0")
-    )
+    n1, n0 = (F.col(f"n{label}") if inner else F.col(f"n{label}") - F.col(f"i{label}") for label in (1, 0))
     odds, z = log_odds(F.col("n1"), F.col("n0"), d1, d0)
     best = (
-        counts.where("n1 + n0 >= 3")
+        counts.features.select("feature", n1.alias("n1"), n0.alias("n0"))
+        .where("n1 + n0 >= 3")
         .select("feature", odds.alias("odds"), z.alias("z"))
         .where((F.abs("z") >= MIN_Z) & ((F.col("odds") < 0) | (F.col("odds") >= MIN_ODDS)))
         .orderBy(F.desc(F.abs("z")), "feature")
@@ -309,54 +328,58 @@ def solve_scale(values: np.ndarray, counts: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _evidence(sample: DataFrame, model: Model, significants: tuple[float, ...]) -> DataFrame:
+def _segmented(sample: DataFrame, model: Model) -> DataFrame:
+    """What lambda, K and evidence are found from, as a written table, so that a text is scored once for a model.
+
+    Rows of texts: inner, toxic, tokens and scores (of all maximal segments). Rows of how many tokens of clean texts
+    have a score, in steps: inner, step, times; at most as many a batch as the features have different scores.
+    """
+
+    def run(batches):
+        scorer = Scorer(model)
+        for pdf in batches:
+            tokens, scores, spread = [], [], {True: Counter(), False: Counter()}
+            for text, inner, toxic in zip(pdf["text"], pdf["inner"], pdf["toxic"], strict=True):
+                found = np.array(scorer.tokens(text or ""), dtype=np.float64)
+                with_it = np.cumsum(found)
+                above = np.flatnonzero(found > 0)
+                before = np.where(above > 0, with_it[above - 1], 0.0)
+                tokens.append(len(found))
+                scores.append([s[2] for s in segments(list(zip(above.tolist(), before.tolist(), with_it[above].tolist(), strict=True)))])
+                if not toxic:
+                    spread[bool(inner)].update(dict(zip(*(v.tolist() for v in np.unique(np.rint(STEPS * found).astype(np.int64), return_counts=True)), strict=True)))
+            yield pd.DataFrame({"inner": pdf["inner"], "toxic": pdf["toxic"], "tokens": tokens, "scores": scores, "step": pd.array([None] * len(pdf), "Int64"), "times": 0})
+            rows = [(inner, step, n) for inner, seen in spread.items() for step, n in seen.items()]
+            if rows:
+                told = pd.DataFrame(rows, columns=["inner", "step", "times"])
+                yield told.assign(toxic=pd.array([None] * len(rows), "Int32"), tokens=0, scores=[[]] * len(rows), step=told["step"].astype("Int64"))
+
+    rows = sample.transform(map_pandas, run, "inner boolean, toxic int, tokens long, scores array<double>, step long, times long")
+    return stage(rows, "toxicity-segments")
+
+
+def _evidence(segmented: DataFrame, model: Model, significants: tuple[float, ...]) -> DataFrame:
     """(inner, toxic, x) of each text, x being its evidence by the model with each of significants."""
     models = [replace(model, significant=v) for v in significants]
 
     def run(batches):
-        scorer = Scorer(model)
         for pdf in batches:
-            x = []
-            for text in pdf["text"]:
-                n, hits = scorer.hits(text or "")
-                scores = [s[2] for s in segments(hits)]
-                x.append([evidence(scores, n, m) for m in models])
+            x = [[evidence(list(s), n, m) for m in models] for s, n in zip(pdf["scores"], pdf["tokens"], strict=True)]
             yield pd.DataFrame({"inner": pdf["inner"], "toxic": pdf["toxic"], "x": x})
 
-    return sample.transform(map_pandas, run, "inner boolean, toxic int, x array<double>")
-
-
-def _scaled(model: Model, sample: DataFrame) -> Model:
-    """The model with lambda and K from the clean texts of the bounded sample.
+    texts = segmented.where("step is null").select("inner", "toxic", "tokens", "scores")
+    return texts.transform(map_pandas, run, "inner boolean, toxic int, x array<double>")
 
-    Segments stay in the tasks: what comes back is counts by score and two sums.
-    """
-    clean = sample.where("toxic = 0").select("text")
-
-    def spread(batches):
-        """How often each token score occurs in clean texts."""
-        scorer, seen = Scorer(model), Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
-                seen.update(round(STEPS * s) for s in scorer.tokens(text or ""))
-        yield pd.DataFrame({"step": np.array(list(seen), dtype=np.int64), "n": np.array(list(seen.values()), dtype=np.int64)})
-
-    def best_segments(batches):
-        """The number of texts, and the sum of their tokens times exp(-lambda * best score)."""
-        scorer, texts, total = Scorer(model), 0, 0.0
-        for pdf in batches:
-            for text in pdf["text"]:
-                n, hits = scorer.hits(text or "")
-                texts += n > 0
-                total += n * math.exp(-model.scale * max((s[2] for s in segments(hits)), default=0.0))
-        yield pd.DataFrame({"texts": [texts], "total": [total]})
 
+def _scaled(model: Model, segmented: DataFrame) -> Model:
+    """The model with lambda and K from the clean texts of a table as _segmented makes it; counts and two sums come back."""
     # at most as many rows as the features have different scores
-    steps = clean.transform(map_pandas, spread, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toPandas()
+    steps = segmented.where("step is not null").groupBy("step").agg(F.sum("times").alias("n")).toPandas()
     if not len(steps) or steps.step.max() <= 0:  # no clean token is above zero: any hit is beyond chance
         steps = pd.concat([steps, pd.DataFrame({"step": [STEPS], "n": [1]})])
-    model.scale = solve_scale(steps.step.to_numpy() / STEPS, steps.n.to_numpy(dtype=float))
-    best = clean.transform(map_pandas, best_segments, "texts long, total double").agg(F.sum("texts").alias("texts"), F.sum("total").alias("total")).first()
+    model.scale = solve_scale(steps.step.to_numpy(dtype=float) / STEPS, steps.n.to_numpy(dtype=float))
+    chance = F.col("tokens") * F.exp(-model.scale * F.coalesce(F.array_max("scores"), F.lit(0.0)))
+    best = segmented.where("toxic = 0 and tokens > 0").agg(F.count(F.lit(1)).alias("texts"), F.sum(chance).alias("total")).first()
     if best.texts and best.total > 0:
         model.k = best.texts / best.total
     return model
