@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -96,13 +97,33 @@ def map_pandas(df: DataFrame, f, schema) -> DataFrame:
     return df.mapInPandas(_released(f), schema)
 
 
+#: Whether Spark removes the shuffle files of a query when the query ends, not when the driver next collects its garbage.
+SHUFFLE_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """SHUFFLE_SETTING for the queries that end within; others keep what the session has."""
+    before = spark.conf.get(SHUFFLE_SETTING, None)
+    spark.conf.set(SHUFFLE_SETTING, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_SETTING)
+        else:
+            spark.conf.set(SHUFFLE_SETTING, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and returns them as read from there.
 
-    This cuts the lineage: a lost executor costs no more than the tasks that read these files.
+    This cuts the lineage: a lost executor costs no more than the tasks that read these files. What the query
+    shuffled is of no use once they are written, and goes.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessera-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -126,8 +147,9 @@ def text_keys(digests: DataFrame) -> DataFrame | None:
     Ranges are numbered on their own, each on from the rows of those before it.
     """
     shas = digests.groupBy("doc").agg(F.min("sha").alias("low"), F.max("sha").alias("high"))
-    if not shas.where("low <> high").limit(1).count():
-        return None
+    with _shuffles_dropped(digests.sparkSession):
+        if not shas.where("low <> high").limit(1).count():
+            return None
     n = shuffle_partitions(digests.sparkSession)
     distinct = digests.select("doc", "sha").distinct()
     ranged = stage(distinct.repartitionByRange(n, "doc", "sha").withColumn("range", F.spark_partition_id()), "ranges")

@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import repeated_spans
+from tessera.llm.common import SHUFFLE_SETTING
 
 
 def brute(rows, depth):
@@ -121,3 +124,25 @@ def test_parts_of_a_long_text_have_its_anchors():
     parts = list(repeated_spans.text_anchors(data, 100, Powers(), most=1000))
     assert (np.concatenate([p[0] for p in parts]) == whole[0]).all()
     assert (np.concatenate([p[1] for p in parts]) == whole[1]).all()
+
+
+def _shuffles(spark):
+    """The numbers of the shuffles that have files on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {n.split("_")[1] for n in names if n.startswith("shuffle_")}
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    """Of all that was shuffled only what the caller's own query reads stays while the driver collects no garbage."""
+    kept = spark.conf.get(SHUFFLE_SETTING, None)
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("many words of a text "), 9).alias("text"))
+    before = _shuffles(spark)
+    result = repeated_spans.remove_repeats(docs)
+    for _ in range(50):  # files go in the background
+        if not _shuffles(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not _shuffles(spark) - before
+    assert spark.conf.get(SHUFFLE_SETTING, None) == kept
+    assert result.where("n_removed = n_bytes").count() == 199
