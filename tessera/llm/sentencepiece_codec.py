@@ -70,7 +70,7 @@ def transfer(text: str, length: int, units: Units) -> np.ndarray:
             ends = best[length : length + states]
             out[a, : len(ends)] = ends
         return out
-    middle = sum(units.score(u) for u in units.cut(text[first:last]))
+    middle = units.score(units.cut(text[first:last]))
     best, _ = _forward(text[last:], [0.0], length - last, units)
     tail = best[length - last : length - last + states]
     for a in range(min(states, first + 1)):
@@ -99,8 +99,7 @@ def traces(text: str, length: int, scores: list[float], units: Units):
     else:
         best, back = _forward(text[:first], list(scores[: first + 1]), first, units)
         entry, shared = trace(text, back, first, v)
-        for u in units.cut(text[first:last]):
-            shared.extend(units.get(u))
+        shared.extend(units.encode(text[first:last]))
         start, init = last, [0.0]
     best, back = _forward(text[start:], init, length - start, units)
     ends, entries = [], []
@@ -268,7 +267,7 @@ def encode(
     def whole(batches):
         units = shared_units(vocabulary.value)
         for batch in batches:
-            ids = [np.array(units.encode(marked(t.as_py())), dtype=np.int32) for t in batch.column(1)]
+            ids = [np.frombuffer(i, dtype="<i4") for i in units.encode_all(marked(t.as_py()) for t in batch.column(1))]
             ends = np.cumsum([0, *map(len, ids)])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), listed], names=["doc_id", "text_md5", "ids"])
@@ -307,9 +306,10 @@ def round_trip(
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded boolean"
 
     def told(decoder, ids, md5):
-        text = decoder.decode(ids)
+        """ids: 4-byte little-endian numbers."""
+        text = decoder.decode(np.frombuffer(ids, dtype="<i4").tolist())
         same = hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest() == md5
-        return len(ids), hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest(), same
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), same
 
     def batch_of(ids, rows):
         n, sha, same = zip(*rows, strict=True) if rows else ((), (), ())
@@ -321,17 +321,15 @@ def round_trip(
     def whole(batches):
         units, decoder = shared_units(vocabulary.value), Decoder(vocabulary.value)
         for batch in batches:
-            rows = [
-                told(decoder, units.encode(marked(t.as_py())), m.as_py())
-                for t, m in zip(batch.column(1), batch.column(2), strict=True)
-            ]
+            found = units.encode_all(marked(t.as_py()) for t in batch.column(1))
+            rows = [told(decoder, ids, m.as_py()) for ids, m in zip(found, batch.column(2), strict=True)]
             yield batch_of(batch.column(0), rows)
 
     def joined(batches):
         decoder = Decoder(vocabulary.value)
         for batch in batches:
             rows = [
-                told(decoder, i.as_py(), m.as_py())
+                told(decoder, i.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), m.as_py())
                 for m, i in zip(batch.column(1), batch.column(2), strict=True)
             ]
             yield batch_of(batch.column(0), rows)

@@ -26,11 +26,15 @@ import math
 import re
 from dataclasses import dataclass
 
+import numpy as np
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 ALONE = "\n\t\r"
 CACHED_UNITS = 150_000
 CACHED_CHARS = 64
+#: So many characters of texts are cut into units at a time, and so many unknown units searched in one go or, if fewer, each by itself.
+GROUP_CHARS, SIDE_BY_SIDE, FEW = 1 << 19, 16_384, 32
 NONE = float("-inf")
 #: The scores of Zipf's law are multiples of 1 / STEPS.
 STEPS = 8
@@ -123,8 +127,63 @@ def trace(text: str, back: list[int], end: int, v: Vocabulary) -> tuple[int, lis
     return end, ids[::-1]
 
 
+class Trie:
+    """The pieces as a tree: its edges are looked up for many characters at once, by exact (node, character) keys."""
+
+    _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        chars = {c: i for i, c in enumerate(sorted({c for p in pieces for c in p}), 1)}
+        self.width = len(chars) + 1
+        self.index = np.zeros(0x110000, dtype=np.int32)
+        self.index[[ord(c) for c in chars]] = list(chars.values())
+        edges: dict[int, int] = {}
+        ids, scores = [-1], [0.0]
+        for text, (i, score) in pieces.items():
+            at = 0
+            for c in text:
+                key = at * self.width + chars[c]
+                at = edges.get(key, 0)
+                if not at:
+                    at = edges[key] = len(ids)
+                    ids.append(-1)
+                    scores.append(0.0)
+            ids[at], scores[at] = i, score
+        self.ids, self.scores = np.array(ids, dtype=np.int32), np.array(scores)
+        bits = (4 * len(edges)).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.nodes = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
+        key, node = np.array(list(edges), dtype=np.int64), np.array(list(edges.values()), dtype=np.int32)
+        slot = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[free]], self.nodes[slot[free]] = key[free], node[free]
+            key, node, slot = (np.delete(x, free) for x in (key, node, slot))
+            slot = (slot + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * self._SPREAD) >> self.shift).astype(np.int64)
+
+    def child(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes that the characters lead to; 0 where there is none."""
+        key = node.astype(np.int64) * self.width + char
+        slot = self._slot(key)
+        held, out = self.keys[slot], self.nodes[slot]
+        off = np.flatnonzero((held != key) & (held >= 0))
+        while len(off):
+            slot[off] = next_ = (slot[off] + 1) & self.mask
+            held, out[off] = self.keys[next_], self.nodes[next_]
+            off = off[(held != key[off]) & (held >= 0)]
+        return out
+
+
 class Units:
-    """Searches by an automaton of the pieces, with a cache of units that is emptied when its bound is reached."""
+    """Searches by the pieces, with a cache of units that is emptied when its bound is reached.
+
+    Many unknown units are searched side by side by the tree, single ones and those with unknown characters by an
+    automaton; both give the same.
+    """
 
     def __init__(self, v: Vocabulary):
         import ahocorasick
@@ -135,7 +194,9 @@ class Units:
             self.matches.add_word(text, (len(text), score, i))
         self.matches.make_automaton()
         self.cut = re.compile(v.units).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.trie = Trie(v.pieces)
+        #: unit -> its ids as 4-byte little-endian numbers
+        self.known: dict[str, bytes] = {}
         self.scores: dict[str, float] = {}
 
     def relax(self, text: str, best: list[float], back: list[int], stop: int) -> None:
@@ -161,25 +222,125 @@ class Units:
             if came >= 0:
                 best[e + 1], back[e + 1] = top, came
 
-    def get(self, unit: str) -> tuple[int, ...]:
-        """The unit's ids."""
-        found = self.known.get(unit)
-        if found is None:
-            found = self._search(unit)[0]
-            if len(unit) <= CACHED_CHARS:
-                if len(self.known) >= CACHED_UNITS:
-                    self.known.clear()
-                self.known[unit] = found
-        return found
-
-    def score(self, unit: str) -> float:
-        """The score of the unit's best path."""
-        found = self.scores.get(unit)
-        if found is None:
-            found = self._search(unit)[1]
-            if len(unit) <= CACHED_CHARS and len(self.scores) < CACHED_UNITS // 4:
-                self.scores[unit] = found
-        return found
+    def spelled(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of units, one after another, as 4-byte little-endian numbers."""
+        wanted = set().union(*texts)
+        missed = wanted.difference(self.known)
+        if len(self.known) + len(missed) > CACHED_UNITS:
+            self.known.clear()
+            missed = wanted
+        missed = list(missed)
+        self.known.update(zip(missed, self._searched(missed)[0], strict=True))
+        out = [b"".join(map(self.known.__getitem__, units)) for units in texts]
+        for unit in missed:
+            if len(unit) > CACHED_CHARS:
+                del self.known[unit]
+        return out
+
+    def score(self, units: list[str]) -> float:
+        """The sum of the scores of the units' best paths."""
+        wanted = set(units)
+        missed = wanted.difference(self.scores)
+        if len(self.scores) + len(missed) > CACHED_UNITS // 4:
+            self.scores.clear()
+            missed = wanted
+        missed = list(missed)
+        self.scores.update(zip(missed, self._searched(missed)[1], strict=True))
+        out = sum(map(self.scores.__getitem__, units))
+        for unit in missed:
+            if len(unit) > CACHED_CHARS:
+                del self.scores[unit]
+        return out
+
+    def _searched(self, units: list[str]) -> tuple[list[bytes], list[float]]:
+        """_search of each of the units: ids as bytes, and scores."""
+        ids: list[bytes] = [b""] * len(units)
+        scores = [0.0] * len(units)
+        alone = [i for i, u in enumerate(units) if len(u) > CACHED_CHARS] if len(units) >= FEW else list(range(len(units)))
+        if len(alone) < len(units):
+            by = sorted((i for i, u in enumerate(units) if len(u) <= CACHED_CHARS), key=lambda i: -len(units[i]))
+            for some in (by[i : i + SIDE_BY_SIDE] for i in range(0, len(by), SIDE_BY_SIDE)):
+                for i, spelling, score in zip(some, *self._side_by_side([units[i] for i in some]), strict=True):
+                    ids[i], scores[i] = spelling, score
+                    if spelling is None:
+                        alone.append(i)
+        for i in alone:
+            found, scores[i] = self._search(units[i])
+            ids[i] = np.array(found, dtype="<i4").tobytes()
+        return ids, scores
+
+    def _side_by_side(self, units: list[str]) -> tuple[list[bytes | None], list[float]]:
+        """_search of units in order of length, the longest first; None for the ids of units with unknown characters.
+
+        All places that end e characters into their unit are settled in one go, by the pieces of each length in turn
+        from the shortest: of equal scores the longer piece, which starts first, wins.
+        """
+        trie, n_units = self.trie, len(units)
+        lengths = np.fromiter(map(len, units), dtype=np.int64, count=n_units)
+        stops = np.cumsum(lengths)
+        chars = trie.index[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        n = len(chars)
+        unit = np.repeat(np.arange(n_units), lengths)
+        left, within = stops[unit] - np.arange(n), np.arange(n) - (stops - lengths)[unit]
+        node = trie.child(np.zeros(n, dtype=np.int32), chars)
+        single = trie.ids[node]
+        step = np.where(single >= 0, trie.scores[node], self.v.unknown_score)
+        at = np.flatnonzero((node > 0) & (left > 1))
+        node, size, found = node[at], 1, []
+        while len(at):
+            node = trie.child(node, chars[at + size])
+            size += 1
+            at, node = at[node > 0], node[node > 0]
+            piece = trie.ids[node] >= 0
+            found.append((at[piece], node[piece], np.full(int(piece.sum()), size)))
+            more = left[at] > size
+            at, node = at[more], node[more]
+        none = np.zeros(0, dtype=np.int64)
+        at, node, size = (np.concatenate([none, *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
+        longest = self.v.longest + 1
+        turn = (within[at] + size) * longest + size
+        turn = turn.astype(np.min_scalar_type((CACHED_CHARS + 1) * longest))  # 16 bits are sorted by radix
+        by = np.argsort(turn, kind="stable")
+        rows = np.bincount(turn)
+        turns = np.flatnonzero(rows)
+        last = np.cumsum(rows[turns])
+        first = last - rows[turns]
+        # the place behind the e-th character of a unit is at begin + e
+        begin = stops - lengths + np.arange(n_units)
+        start, gain, which = (at + unit[at])[by], trie.scores[node[by]], trie.ids[node[by]]
+        best, back, piece = np.zeros(n + n_units), np.ones(n + n_units, dtype=np.int64), np.full(n + n_units, -1, dtype=np.int32)
+        piece[np.arange(n) + unit + 1] = single
+        done = 0
+        for turn, a, b in zip([*turns.tolist(), (CACHED_CHARS + 1) * longest], [*first.tolist(), 0], [*last.tolist(), 0], strict=True):
+            e, size = divmod(turn, longest)
+            while done < min(e, int(lengths[0])):  # the pieces of one character, and unknown ones
+                here = int(np.searchsorted(-lengths, -done, side="left"))  # units of more than done characters
+                place = begin[:here] + done
+                best[place + 1] = best[place] + step[place - np.arange(here)]
+                done += 1
+            s = start[a:b]
+            score = best[s] + gain[a:b]
+            wins = np.flatnonzero(score >= best[s + size])
+            place = s[wins] + size
+            best[place], back[place], piece[place] = score[wins], size, which[a:b][wins]
+        end = begin + lengths
+        place, live, steps = end, np.arange(n_units), []
+        while len(live):
+            steps.append((live, piece[place]))
+            place = place - back[place]
+            more = place > begin[live]
+            live, place = live[more], place[more]
+        counts = np.bincount(np.concatenate([live for live, _ in steps]), minlength=n_units)
+        stops = np.cumsum(counts)
+        ids = np.zeros(int(stops[-1]), dtype="<i4")
+        for k, (live, pieces) in enumerate(steps, 1):
+            ids[stops[live] - k] = pieces
+        unknown = set(np.repeat(np.arange(n_units), counts)[ids < 0].tolist())
+        data, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
+        spelt = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in unknown:
+            spelt[i] = None
+        return spelt, best[end].tolist()
 
     def _search(self, unit: str) -> tuple[tuple[int, ...], float]:
         """relax and trace in one, for a unit on its own: places are filled in order, so that none is unreached."""
@@ -217,12 +378,19 @@ class Units:
         return tuple(reversed(ids)), best[-1]
 
     def encode(self, searched: str) -> list[int]:
-        ids: list[int] = []
-        known, get = self.known, self.get
-        for unit in self.cut(searched):
-            found = known.get(unit)
-            ids.extend(found if found is not None else get(unit))
-        return ids
+        return np.frombuffer(self.spelled([self.cut(searched)])[0], dtype="<i4").tolist()
+
+    def encode_all(self, searched):
+        """The ids of each text, as 4-byte little-endian numbers."""
+        held, chars = [], 0
+        for text in searched:
+            held.append(self.cut(text))
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                yield from self.spelled(held)
+                held, chars = [], 0
+        if held:
+            yield from self.spelled(held)
 
 
 _shared: dict[str, Units] = {}

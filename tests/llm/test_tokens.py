@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import sentencepiece_codec as codec
-from tessera.llm import token_counts
+from tessera.llm import token_counts, unigram
 from tessera.llm.unigram import SPACE, STEPS, Decoder, Units, Vocabulary, as_unigram, marked, trace
 
 NONE = float("-inf")
@@ -157,3 +157,31 @@ def test_empty_table_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 2, 3)], "doc_id long, text string, ids string, row int, chunk int")
     assert [r.doc_id for r in codec.round_trip(docs).collect()] == [1]
     assert token_counts.count_tokens(docs).first().n_chars == 3
+
+
+@pytest.mark.parametrize("alphabet", ["abcdeinorst", "aeéß日本\U0001f600q▁<0x>\t\n"])
+def test_units_side_by_side_equal_units_alone(alphabet, monkeypatch):
+    """Ids and scores of many new units, without a search of its own for each that the pieces can spell."""
+    rng = random.Random(11)
+    units = Units(Vocabulary.load(codec.VOCABULARY))
+    words = list({"".join(rng.choices(alphabet, k=rng.randint(1, unigram.CACHED_CHARS + 2))) for _ in range(1500)} | {"a" * n for n in range(1, 70)})
+    alone, calls = units._search, []
+    monkeypatch.setattr(units, "_search", lambda unit: calls.append(unit) or alone(unit))
+    want = [alone(w) for w in words]
+    found = units.spelled([[w] for w in words])
+    assert [tuple(np.frombuffer(f, "<i4").tolist()) for f in found] == [ids for ids, _ in want]
+    assert all(len(w) > unigram.CACHED_CHARS or any(c not in units.v.pieces for c in w) for w in calls)
+    assert len(calls) < len(words)
+    assert units.score(words) == sum(score for _, score in want)
+    assert all(len(w) <= unigram.CACHED_CHARS for held in (units.known, units.scores) for w in held)
+
+
+def test_a_full_cache_is_emptied_and_texts_stay_whole(monkeypatch):
+    monkeypatch.setattr(unigram, "CACHED_UNITS", 200)
+    monkeypatch.setattr(unigram, "GROUP_CHARS", 300)
+    rng = random.Random(12)
+    texts = [marked(" ".join("".join(rng.choices("aeinrst", k=rng.randint(1, 7))) for _ in range(rng.randint(0, 90)))) for _ in range(60)]
+    units = Units(Vocabulary.load(codec.VOCABULARY))
+    found = [np.frombuffer(f, "<i4").tolist() for f in units.encode_all(texts)]
+    assert found == [[i for u in units.cut(t) for i in units._search(u)[0]] for t in texts]
+    assert len(units.known) <= 200 + 300
