@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import text_index
+from tessera.sources.staging import written
 
 SYMBOL_LIMIT, TEXT_LIMIT, PER_FILE = 60, 6, 1
 FIND_BUDGET, MAP_BUDGET = 2000, 1200
@@ -49,20 +50,26 @@ def text_matches(docs: DataFrame, files: DataFrame, q: str, limit: int = TEXT_LI
     in which of them the whole words are; without it all bodies are searched, by the cheapest test first.
     """
     body = F.col("body")
+
+    def told(bodies):
+        bodies = bodies.where(T.holds_words(body, q))
+        if postings is None:
+            bodies = bodies.where(T.matches_phrases(body, q))
+        if T.identifier_shaped(q):
+            bodies = bodies.where(T.has_identifier(body, q))
+        return bodies.select("path", T.every_word_at(body, q).alias("at"), T.body_weight(body, q).alias("weight")).where("at > 0")
+
     if postings is None:
-        hits = docs.where(T.holds_words(body, q)).where(T.matches_phrases(body, q))
+        hits = told(docs)
     else:
-        found = text_index.matching(postings, text_index.wanted(docs.sparkSession, q))
-        hits = text_index.bodies_of(docs, found).where(T.holds_words(body, q))
-    if T.identifier_shaped(q):
-        hits = hits.where(T.has_identifier(body, q))
-    hits = hits.select("path", T.every_word_at(body, q).alias("at"), T.body_weight(body, q).alias("weight")).where("at > 0")
+        hits = text_index.bodies_of(docs, text_index.matching(postings, text_index.wanted(docs.sparkSession, q)), told)
     top = (
         hits.join(files.select("path", "importance"), "path")
         .orderBy(F.desc("weight"), F.desc("importance"), "path")
         .limit(limit)
     )
     if postings is not None:
+        top = written(top)  # else it is found once more for the bodies
         docs = text_index.bodies_of(docs, top)
     # at most limit rows
     found = docs.select("path", "body").join(F.broadcast(top), "path").withColumn("line", T.line_at(body, F.col("at")))

@@ -8,40 +8,66 @@ bloom filters, their row groups.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import bounded_batches
 
 BUCKETS = 64
 #: So many paths are named to the scan that fetches their bodies; more are joined.
 FEW = 1000
+#: Postings of an Arrow batch that goes back to Spark.
+ROWS = 1 << 16
 
 
 def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(bucket, term, path, places): where each word of a body (path, body) stands, from 0."""
+def placed(batches):
+    """Batches of (term, path, places) of batches of (path, form), of ROWS rows at most each.
+
+    Words stay in Arrow and numpy as codes and places; a list a word of Python numbers would take many times the text.
+    """
+    for batch in batches:
+        paths = batch.column(0)
+        # null forms have no list, empty ones a list of an empty word
+        lists = pc.split_pattern(pc.ascii_trim(batch.column(1), " "), " ")
+        words, rows = lists.flatten(), pc.list_parent_indices(lists)
+        held = pc.not_equal(words, "")
+        words, rows = words.filter(held).dictionary_encode(), rows.filter(held).to_numpy().astype(np.int64)
+        if not len(rows):
+            continue
+        codes, terms = words.indices.to_numpy(), words.dictionary
+        counts = np.bincount(rows)
+        places = (np.arange(len(rows)) - (np.cumsum(counts) - counts)[rows]).astype(np.int32)
+        keys = rows * len(terms) + codes
+        order = np.argsort(keys, kind="stable")
+        keys, places = keys[order], places[order]
+        starts = np.append(np.flatnonzero(np.diff(keys, prepend=-1)), len(keys))
+        for at in range(0, len(starts) - 1, ROWS):
+            bounds = starts[at : at + ROWS + 1]
+            row, code = np.divmod(keys[bounds[:-1]], len(terms))
+            columns = [
+                terms.take(pa.array(code)).cast(pa.string()),
+                paths.take(pa.array(row)).cast(pa.string()),
+                pa.ListArray.from_arrays(pa.array((bounds - bounds[0]).astype(np.int32)), pa.array(places[bounds[0] : bounds[-1]])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "path", "places"])
 
-    def run(batches):
-        for batch in batches:
-            terms, paths, places = [], [], []
-            for path, form in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held: dict[str, list[int]] = {}
-                for at, term in enumerate((form or "").split()):
-                    held.setdefault(term, []).append(at)
-                terms += held
-                paths += [path] * len(held)
-                places += held.values()
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(paths, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["term", "path", "places"])
 
+def postings(docs: DataFrame) -> DataFrame:
+    """(bucket, term, path, places): where each word of a body (path, body) stands, from 0."""
+    bounded_batches(docs.sparkSession)
     forms = docs.select("path", T.search_form(T.pad_cjk(F.col("body"))).alias("form"))
-    found = forms.mapInArrow(run, "term string, path string, places array<int>")
+    found = forms.mapInArrow(placed, "term string, path string, places array<int>")
     return found.select(bucket_of(F.col("term")).alias("bucket"), "term", "path", "places")
 
 
@@ -88,9 +114,13 @@ def matching(index: DataFrame, query: Wanted) -> DataFrame:
     return by_path.where(found).select("path")
 
 
-def bodies_of(docs: DataFrame, paths: DataFrame) -> DataFrame:
-    """The rows of docs of some paths: named to the scan, where Parquet can skip by them, if they are few."""
+def bodies_of(docs: DataFrame, paths: DataFrame, told: Callable[[DataFrame], DataFrame] = lambda bodies: bodies) -> DataFrame:
+    """The rows of docs of some paths: named to the scan, where Parquet can skip by them, if they are few.
+
+    told: what is asked of each row, with its path; of many rows it is told before they are joined, so that bodies are
+    not shuffled.
+    """
     few = [r.path for r in paths.select("path").distinct().limit(FEW + 1).collect()]
     if len(few) <= FEW:
-        return docs.where(F.col("path").isin(few)) if few else docs.limit(0)
-    return docs.join(paths.select("path").distinct(), "path", "left_semi")
+        return told(docs.where(F.col("path").isin(few)) if few else docs.limit(0))
+    return told(docs).join(paths.select("path").distinct(), "path", "left_semi")

@@ -3,6 +3,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
 from tessera.functions import text as T
@@ -39,6 +40,46 @@ def test_a_search_reads_the_folders_of_its_words_only(spark):
     assert read and all(f"bucket={asked.buckets[0]}/" in r.f for r in read)
 
 
+def test_postings_of_odd_texts_are_made_in_bounded_batches(spark, monkeypatch):
+    texts = [None, "", "!!!", "the the of the", "Étion x² 日本 the", "of " * 3000 + "the", *(f"w{i} the w{i % 7}" for i in range(300))]
+    own = spark.newSession()
+    docs = own.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "path string, body string")
+    found = {(r.term, r.path): r.places for r in text_index.postings(docs).collect()}
+    size = own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert int(size) <= 4 << 20  # a batch of 10,000 long texts doesn't fit a task
+    want, forms = {}, docs.select("path", T.search_form(T.pad_cjk(T.F.col("body"))).alias("form")).collect()
+    for r in forms:
+        for at, term in enumerate((r.form or "").split()):
+            want.setdefault((term, r.path), []).append(at)
+    assert found == want
+    monkeypatch.setattr(text_index, "ROWS", 37)
+    batch = pa.RecordBatch.from_pydict({"path": [r.path for r in forms], "form": [r.form for r in forms]})
+    parts = list(text_index.placed([batch.slice(0, 100), batch.slice(100)]))
+    assert max(p.num_rows for p in parts) == 37
+    assert {(r["term"], r["path"]): r["places"] for p in parts for r in p.to_pylist()} == want
+
+
+def nodes_of(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from nodes_of(plan.children().apply(i))
+
+
+def test_a_search_with_many_candidates_shuffles_no_bodies(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(text_index, "FEW", 3)
+    spark.createDataFrame(BODIES, "path string, body string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    files = docs.selectExpr("path", "cast(ascii(path) as double) as importance")
+    index, ranked = written(text_index.postings(docs), partition_by="bucket"), []
+    monkeypatch.setattr(search, "written", lambda df: ranked.append(df) or written(df), raising=False)
+    for q in ("the", "quick brown", "validate_token"):
+        assert search.text_matches(docs, files, q, 20, index).collect() == search.text_matches(docs, files, q, 20).collect()
+    plan = ranked[0]._jdf.queryExecution().optimizedPlan()  # what is ranked is found once, for the bodies too
+    joins = [n for n in nodes_of(plan) if n.nodeName() == "Join"]
+    assert len(ranked) == 3 and len(joins) == 2
+    assert not any("body" in n.children().apply(i).output().mkString(",") for n in joins for i in (0, 1))
+
+
 def tables_of(project):
     found, _ = index_store.read(project.spark, project.index)
     return {t: sorted(map(repr, df.select(*sorted(df.columns)).collect())) for t, df in found.items() if t != "meta"}
