@@ -2,6 +2,7 @@
 
 import os
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -59,6 +60,20 @@ def test_postings_of_odd_texts_are_made_in_bounded_batches(spark, monkeypatch):
     assert {(r["term"], r["path"]): r["places"] for p in parts for r in p.to_pylist()} == want
 
 
+def test_phrases_of_a_long_text_are_placed_in_little_memory(spark):
+    long = " ".join(f"w{i % 900} the of" if i != 70_000 else "of the" for i in range(140_000))
+    batch = pa.RecordBatch.from_pydict({"path": ["long"], "form": [f" {long} "]})
+    tracemalloc.start()
+    n = sum(p.num_rows for p in text_index.placed([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 902 and peak < 80 * 420_000  # 90 as Python strings and numbers
+    docs = spark.createDataFrame([("long", long), ("one", "the of w"), ("none", "the w of")], "path string, body string")
+    index = written(text_index.postings(docs), partition_by="bucket")
+    of = lambda q: {r.path for r in text_index.matching(index, text_index.wanted(spark, q)).collect()}
+    assert of("the-of") == {"long", "one"} and of("of-the") == {"long"} and of("of-the-the") == set()
+
+
 def nodes_of(plan):
     yield plan
     for i in range(plan.children().size()):
