@@ -13,6 +13,7 @@ from tessera.functions import text as T
 from tessera.operators import answer, bugs, calls, extract, graph, guard, refresh, resolve, search, sweep, text_index
 from tessera.plans import model
 from tessera.plans.model import SNAPSHOTS_SQL, SQL, table
+from tessera.session import bounded_batches
 from tessera.sources.staging import written
 
 #: A byte-level BPE vocabulary, for exact counts.
@@ -716,4 +717,5 @@ def exact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The byte-level BPE count of every document by a public vocabulary (tested against its library)."""
     with open(VOCABULARY, encoding="utf-8") as f:
         spec = json.load(f)
+    bounded_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", bpe.count_tokens(F.coalesce("text", F.lit("")), spec).alias("tokens"))

@@ -123,3 +123,38 @@ def test_exact_token_counts_equal_the_library(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").where("text is not null")
     rows = docs.select("text", bpe.count_tokens(F.col("text"), spec).alias("n")).collect()
     assert [r.n for r in rows] == [len(x.ids) for x in library.encode_batch([r.text for r in rows], add_special_tokens=False)]
+
+
+def test_pieces_counted_side_by_side_equal_the_library():
+    """Odd strings, a block and the memory of counts much smaller than the pieces, and pieces without a space in them."""
+    import json
+    import os
+    import random
+    import time
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("the vocabulary file is not here")
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    rng = random.Random(7)
+    odd = ["the", "  ", "\n", "\n\n", " ", "é", "日本", "0", "12", "'s", "'ll", "!?", "<|endoftext|>", "😀", "\t", "x" * 70, "ab" * 40, "=-=" * 30, "\u0301", "\r\n"]
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    texts = ["", *("".join(rng.choices(odd, k=rng.randrange(25))) for _ in range(500)), *(letters(rng.randrange(140)) for _ in range(500)), "the of " * 5000]
+    want = [len(x.ids) for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    model = bpe.Bpe(spec)
+    assert model.count([None, *texts]) == [0, *want]
+    old = bpe.BLOCK, bpe.COUNTED, bpe.LONG_TEXT
+    bpe.BLOCK, bpe.COUNTED, bpe.LONG_TEXT = 50, 100, 1000
+    try:
+        assert model.count(texts) == want and len(model.counted) <= 150
+    finally:
+        bpe.BLOCK, bpe.COUNTED, bpe.LONG_TEXT = old
+    assert [len(model.encode(t)) for t in texts[::7]] == want[::7]
+    # its time must not grow with the square of a piece
+    long = letters(100_000)
+    began = time.process_time()
+    ids = model.encode(long)
+    assert time.process_time() - began < 20 and len(ids) == model.count([long])[0] == len(Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids)
